@@ -6,9 +6,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -27,7 +28,7 @@ def lcs_length(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence of two texts; null if either is null."""
     return pd.Series([None if x is None or y is None else lcs_length(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
