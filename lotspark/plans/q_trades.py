@@ -226,10 +226,10 @@ def g2_parcels(spark, d):
 
 
 def g3_plots(spark, d):
-    """Plots without a shop and of 2,000 and more, at the nearest complex within 400 m."""
+    """Plots without a shop and of 2,000 and more, at the nearest complex within 1,500 m."""
     p = table(spark, d, "places")
     plots = p.where("kind = 'customer' and households >= 700 and name <> 'BUILDING'").withColumn("kind", F.lit("complex"))
-    return geo.nearest(plots, p.where("kind = 'supplier'"), 400.0, "kind").select("id", "nearest", F.round("metres", 4).alias("metres"))
+    return geo.nearest(plots, p.where("kind = 'supplier'"), 1500.0, "kind").select("id", "nearest", F.round("metres", 4).alias("metres"))
 
 
 QUERIES = {f.__name__: f for f in (j7_same_complex, j7b_similar, a11_chips, a12_most_frequent, w5_latest_trade, j8_complexes, j9_register, j10_asking, a13_listing_summary, a15_posted_price, j1_winners, j1b_first_winners, j13_districts, j14_towns, j20_shop_demand, r9_shop_kinds, r10_rents_and_warnings, j20b_station_pull, j21_nearest, a22_clusters, a18_flow_grid, t5_spots, g1_clusters, a17_majority, g2_parcels, g3_plots)}
@@ -269,5 +269,5 @@ ORACLES = {
     "g2_parcels": """with f as (select p_partkey as k, p_retailprice * 7 as area, nullif(regexp_extract('12-' || p_partkey % 90 || ['대', '전 ', '도', '임(산)', '공장용지', ''][p_partkey % 6 + 1], '([가-힣])[^가-힣]*$', 1), '') as z from part)
       select k as parcel, case when z not in ('도', '천', '구', '제', '묘', '철') then z end as kind, case when k % 11 = 0 then 'own' when k % 5 = 0 then 'apartment' when k % 7 <> 0 and k % 3 = 0 then 'school' when k % 2 = 0 then 'home' when k % 13 = 0 then 'shop' else 'none' end as class,
         case when area >= 2000 then round_even(area / 50000 * 1300, 0)::bigint else 0 end as households from f""",
-    "g3_plots": oracle(f"with p as (select a.id, b.id as nearest, {_D} as metres from places a join places b on a.kind = 'customer' and a.households >= 700 and a.name <> 'BUILDING' and b.kind = 'supplier' and {_D} <= 400) select id, nearest, round(metres, 4) as metres from (select *, row_number() over (partition by id order by metres, nearest) as n from p) where n = 1"),
+    "g3_plots": oracle(f"with p as (select a.id, b.id as nearest, {_D} as metres from places a join places b on a.kind = 'customer' and a.households >= 700 and a.name <> 'BUILDING' and b.kind = 'supplier' and {_D} <= 1500) select id, nearest, round(metres, 4) as metres from (select *, row_number() over (partition by id order by metres, nearest) as n from p) where n = 1"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_scalars", "q_rights", "q_comparables", "q_trades")
+MODULES = ("q_scalars", "q_rights", "q_comparables", "q_trades", "q_search")
 
 
 def _all(name: str) -> dict:

@@ -41,12 +41,12 @@ def upsert_into(path: str, key: str, order: str, keep: tuple[str, ...] = ()):
 
 def unsent(links: DataFrame, key: str, ts: str, memory: str = "7 days") -> DataFrame:
     """Stream of links that weren't sent within the watermark."""
-    return links.withWatermark(ts, memory).dropDuplicatesWithinWatermark([key])
+    return links.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, memory).dropDuplicatesWithinWatermark([key])
 
 
 def counts_by_window(events: DataFrame, ts: str, kind: str, late: str = "10 minutes", length: str = "1 hour") -> DataFrame:
     """Counts and sums per window and kind, with late rows up to a bound."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, length).alias("w"), kind).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, length).alias("w"), kind).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
 def run_once(stream: DataFrame, checkpoint: str, each) -> None:
