@@ -190,5 +190,22 @@ def p_names(spark, d):
 
 P_NAMES = oracle(r"""select seq, replace(replace(replace(replace(lower(regexp_replace(address, '[\s\-_()·,.]', '', 'g')), '이편한세상', 'e편한세상'), '에스케이', 'sk'), '케이비', 'kb'), '엘에이치', 'lh') as name from items""")
 
-QUERIES = {f.__name__: f for f in (p_kinds, p_rights_text, p_areas, p_addresses, p_cases, p_vehicles, p_web, p_geo, p_names)}
-ORACLES = {"p_kinds": P_KINDS, "p_rights_text": P_RIGHTS_TEXT, "p_areas": P_AREAS, "p_addresses": P_ADDRESSES, "p_cases": P_CASES, "p_vehicles": P_VEHICLES, "p_web": P_WEB, "p_geo": P_GEO, "p_names": P_NAMES}
+def p_uses(spark, d):
+    """Uses that register texts name, and labels of insurance histories."""
+    it = table(spark, d, "items")
+    k = c("seq") % 4
+    text = F.concat(F.when(k == 0, "공부상 용도는 근린생활시설이며 ").when(k == 1, "현황 다세대주택 사무소로 등재됨 ").otherwise("주변에 사무실 밀집 "), F.lit("전유부 3층 "), F.when(c("seq") % 3 == 0, "제2종근린 점포").when(c("seq") % 3 == 1, c("usage_name")).otherwise("기타"), F.when(c("seq") % 5 != 0, " 공용부 계단 주택").otherwise(" 소유자 주택"), F.repeat(F.lit(" 끝"), 20))
+    v = F.to_json(F.struct((c("seq") % 3).alias("myAccidentCnt"), F.when(c("seq") % 2 == 0, c("appraisal_price")).alias("myAccidentCost"), (c("seq") % 2).alias("otherAccidentCnt"), (c("seq") * 15000).alias("otherAccidentCost"), (c("seq") % 7).alias("business"), (c("seq") % 11 - 9).alias("loan")))
+    x = it.select("seq", text.alias("t"), F.when(c("seq") % 13 != 0, v).alias("v")).withColumn("l", S.insurance_labels(c("v")))
+    return x.select("seq", S.nonresidential_sign(c("t")).alias("sign"), S.unit_use(c("t")).alias("unit"), c("l.own").alias("own"), c("l.other").alias("other"), c("l.use").alias("use"))
+
+
+P_USES = oracle(r"""with x as (select seq, usage_name, appraisal_price as a, seq % 13 <> 0 as has from items)
+select seq, case seq % 4 when 0 then '공부상 용도는 근린생활시설' when 1 then '사무소로 등재' end as sign,
+  case when seq % 3 = 0 then 'NONRES' when seq % 3 = 1 and regexp_matches(usage_name, '다세대주택|연립주택|아파트|오피스텔|주택') then 'RES' when seq % 3 = 1 and regexp_matches(usage_name, '근린생활시설|사무소|점포') then 'NONRES' else 'UNCLEAR' end as unit,
+  case when has and seq % 3 > 0 then seq % 3 || '회·' || case when seq % 2 = 0 then round_even(a / 10000, 0)::bigint else 0 end || '만원' else '없음' end as own,
+  case when has and seq % 2 > 0 then seq % 2 || '회·' || round_even(seq * 15000 / 10000, 0)::bigint || '만원' else '없음' end as other,
+  case when has and (seq % 7 > 0 or seq % 11 > 9) then concat_ws('/', case when seq % 7 > 0 then '영업용' end, case when seq % 11 > 9 then '대여용' end) else '없음' end as use from x""")
+
+QUERIES = {f.__name__: f for f in (p_kinds, p_rights_text, p_areas, p_addresses, p_cases, p_vehicles, p_web, p_geo, p_names, p_uses)}
+ORACLES = {"p_kinds": P_KINDS, "p_rights_text": P_RIGHTS_TEXT, "p_areas": P_AREAS, "p_addresses": P_ADDRESSES, "p_cases": P_CASES, "p_vehicles": P_VEHICLES, "p_web": P_WEB, "p_geo": P_GEO, "p_names": P_NAMES, "p_uses": P_USES}
