@@ -80,7 +80,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.expr("bit_or(shiftleft(1L, tpos))").alias("mask"), F.min("pos").alias("low"), F.max("pos").alias("high"),
     )
     along = W.partitionBy("_id", "template").orderBy("diagonal")
-    apart = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR) | (F.col("low") - F.max("high").over(along.rowsBetween(W.unboundedPreceding, -1)) > NEAR), 1).otherwise(0)
+    apart = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR) | (F.col("low") - F.max("high").over(along.rowsBetween(W.unboundedPreceding, -1)) > NEAR + 2), 1).otherwise(0)
     marked = voted.withColumn("run", F.sum(apart).over(along.rowsBetween(W.unboundedPreceding, 0)))
     spans = marked.groupBy("_id", "template", "run").agg(
         F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("words").alias("words"),
