@@ -67,7 +67,9 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     own = captures.withColumn("latest", latest).where("kind = 'revisit'").select("record_id", "url", "run", "ts", "latest").distinct()
     chosen = own.join(carried, ["url", "run"], "left").select("record_id", "url", "ts", F.coalesce("latest", "carried").getField("record_id").alias("source_id"))
     source = full.select(F.col("record_id").alias("source_id"), F.col("headers").alias("old"), F.col("payload_digest").alias("old_digest")).dropDuplicates(["source_id"])
-    joined = revisits.join(chosen, ["record_id", "url", "ts"], "left").join(source, "source_id", "left")
+    # revisits without a source aren't dealt by it
+    sourced = chosen.where("source_id is not null").join(source, "source_id")
+    joined = revisits.join(sourced, ["record_id", "url", "ts"], "left")
     tag, old_tag, since, old_since = _weak(F.col("headers")["etag"]), _weak(F.col("old")["etag"]), F.col("headers")["last-modified"], F.col("old")["last-modified"]
     status = (
         F.when(F.col("source_id").isNull(), "missing")
