@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Callable, Iterator
 
 import duckdb
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Distinct pre-tokens that a task remembers; beyond it the memory starts anew.
 CACHE = 150_000
+#: Bytes of a pre-token beyond which a heap finds its merges instead of the query.
+LONG = 400
 #: Characters of text whose pre-tokens are collected before the next query.
 BLOCK = 3_000_000
 
@@ -34,25 +37,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+#: A row's key is its pair's rank and place in one number, so the least key of a word is its leftmost pair of
+#: least rank, the head. The row after the head is eaten; only the head and the row before it get new pairs.
 ENCODE = """
-with recursive step(word, place, token, live) as (
-  select word, place, token, true from start
+with recursive step(word, round, place, token, after, next_place, key) as (
+  select s.word, 0, s.place, s.token, s.after, s.next_place, p.rank * 4294967296 + s.place
+  from (select word, place, token, lead(token) over w as after, lead(place) over w as next_place from start window w as (partition by word order by place)) s
+  left join pairs p on p.a = s.token and p.b = s.after
   union all
-  select word, row_number() over (partition by word order by place)::integer, token, live from (
-    select word, place, coalesce(merged, token) as token, best is not null as live,
-           lag(merged is not null, 1, false) over (partition by word order by place) as eaten
-    from (
-      select word, place, token, best,
-             case when rank = best and place = min(case when rank = best then place end) over (partition by word) then rank end as merged
-      from (
-        select word, place, token, rank, min(rank) over (partition by word) as best
-        from (
-          select l.word, l.place, l.token, p.rank
-          from (select word, place, token, lead(token) over (partition by word order by place) as after from step where live) l
-          left join pairs p on p.a = l.token and p.b = l.after)))
-  ) where not eaten
+  select n.word, n.round, n.place, n.token, n.after, n.next_place, case when n.changed then p.rank * 4294967296 + n.place else n.key end
+  from (
+    select s.word, s.round + 1 as round, s.place, s.key, s.place = m.head or s.next_place = m.head as changed,
+           case when s.place = m.head then m.merged else s.token end as token,
+           case when s.place = m.head then m.after when s.next_place = m.head then m.merged else s.after end as after,
+           case when s.place = m.head then m.next_place else s.next_place end as next_place
+    from step s join (
+      select h.word, h.head, h.merged, h.eaten, e.after, e.next_place
+      from (select word, (min(key) & 4294967295)::integer as head, (min(key) >> 32)::integer as merged, arg_min(next_place, key) as eaten from step group by word having min(key) is not null) h
+      join step e on e.word = h.word and e.place = h.eaten
+    ) m on s.word = m.word and s.place <> m.eaten
+  ) n left join pairs p on n.changed and p.a = n.token and p.b = n.after
 )
-select word, list(token order by place) as ids from step where not live group by word
+select word, list(token order by place) as ids from step join (select word, max(round) as round from step group by word) using (word, round) group by word
 """
 
 DECODE = "select row, string_agg(t.hex, '' order by place) as hex from tokens join vocabulary t using (token) group by row"
@@ -77,6 +83,8 @@ class Tokenizer:
                     rank.append(i)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         self._table("pairs", a=left, b=right, rank=rank)
+        self.db.execute("alter table pairs alter rank type bigint")
+        self.pairs = dict(zip(zip(left, right, strict=True), rank, strict=True))
         self.db.register("v", pa.table({"token": pa.array(list(self.bytes_of), pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]}))
         self.db.execute("create table vocabulary as select * from v")
 
@@ -92,10 +100,12 @@ class Tokenizer:
             if word not in self.known:
                 raw = word.encode("utf-8", "surrogatepass")
                 whole = self.ranks.get(raw)
-                if whole is None:
-                    new.append((word, raw))
-                else:
+                if whole is not None:
                     self.known[word] = whole.to_bytes(4, "little")
+                elif len(raw) > LONG:
+                    self.known[word] = np.array(self._merged(raw), "<u4").tobytes()
+                else:
+                    new.append((word, raw))
         if not new:
             return
         lens = np.array([len(raw) for _, raw in new])
@@ -111,6 +121,24 @@ class Tokenizer:
         for word, a, b in zip(got.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             self.known[new[word][0]] = flat[4 * (a - base) : 4 * (b - base)]
 
+    def _merged(self, raw: bytes) -> list[int]:
+        """Ids of a very long pre-token by a heap of pairs; one contraction a round would take its square."""
+        token = self.single[np.frombuffer(raw, np.uint8)].tolist()
+        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
+        heap = [(r, i, i + 1) for i in range(len(token) - 1) if (r := self.pairs.get((token[i], token[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, j = heapq.heappop(heap)
+            if token[i] < 0 or after[i] != j or self.pairs.get((token[i], token[j])) != rank:
+                continue  # one of the two was merged meanwhile
+            token[i], token[j], after[i] = rank, -1, after[j]
+            if after[i] < len(token):
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < len(token) and (r := self.pairs.get((token[a], token[b]))) is not None:
+                    heapq.heappush(heap, (r, a, b))
+        return [t for t in token if t >= 0]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
