@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens that a task remembers; beyond it the memory starts anew.
-CACHE = 700_000
+CACHE = 400_000
 #: Bytes of a pre-token beyond which a heap finds its merges instead of the query.
 LONG = 400
 #: Characters of text whose pre-tokens are collected before the next query.
