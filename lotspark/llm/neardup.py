@@ -11,11 +11,10 @@ Plan:
    sets go by size class; within a class at most D shingles can differ between
    linked sets, so of D + 4 bands four at least are equal.
 3. Every class of a band that several share is compared with the band's hub, the
-   class of most copies. Those that are linked with it leave the band together
-   with it, so a group of copies costs as much as it has members. What is left
-   in a band is compared pair by pair, in blocks of bounded size. A class that
-   fails at a hub isn't compared with the hub's group in that band; a link to
-   another of the group shows in the bands in which the two differ from the hub.
+   class of most copies, and the links with hubs make components. A band whose
+   classes are in one component is done, so a group of copies costs as much as it
+   has members. In other bands all pairs of different components are compared, in
+   blocks of bounded size: also what failed at the hub with what is linked with it.
 4. A pair is dropped early if its collision-corrected Jaccard estimate lies five
    standard deviations under the threshold; else its full sets decide.
 """
@@ -161,8 +160,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     """Pairs (a, b) that ``may_link``, out of rows sorted by band and pair of blocks.
 
     Rows of one band and pair of blocks are a run, of twice ``BLOCK`` rows or so. A
-    pair is given out in the first of its common bands only, unless one of it is
-    linked with a hub, and not at all if both have the same ``own``.
+    pair is given out in the first of its common bands only, and not at all if both
+    have the same ``own``, the component that the hubs have made.
     """
     j = percent / 100
     names = ("key", "low", "high", "block", "c", "own", "slot", "n")
@@ -187,9 +186,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             near = np.flatnonzero(same - chance >= either * j - SLACK * np.sqrt(either * j * (1 - j) * unseen))
             if len(near):
                 shared = np.logical_and.reduceat(equal[near], begins, axis=1) & np.logical_or.reduceat(used[i], begins)
-                # who is linked with a hub may have left their first common band
-                moved = (x["own"][at[near]] != x["c"][at[near]]) | (x["own"][i] != x["c"][i])
-                other = x["c"][at[near[(shared.argmax(axis=1) == band) | moved]]]
+                other = x["c"][at[near[shared.argmax(axis=1) == band]]]
                 out.append(np.stack([np.minimum(other, x["c"][i]), np.maximum(other, x["c"][i])]))
 
     def pairs(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
@@ -273,19 +270,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     regs = scratch.save(classes.join(live.select("c").distinct(), "c", "left_semi").select("c", "n", "regs", "least_id"))
     scratch.drop(classes)
     rows = regs.select("c", "n", "regs")
-    # first, each band's classes with its hub; who is linked leaves the band, and so does the hub
+    # first, each band's classes with its hub
     asked = live.where("c <> hub")
     tests = asked.select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
     found = tests.join(_renamed(rows, "b", "c", "n", "regs"), "b").join(_renamed(rows, "a", "c", "n", "regs"), "a").where(may_link(percent)).select("a", "b")
     with_hub = _verified(found, texts, regs, percent, shingle, scratch)
-    done = with_hub.select(F.col("a").alias("hub"), F.col("b").alias("c"))
-    left = scratch.save(asked.join(done, ["hub", "c"], "left_anti").select("key", "c", "slot"))
+    # then the bands in which classes of several components meet, pair by pair, but for pairs within a component
+    own = connected_components(with_hub, scratch).select(F.col("node").alias("c"), F.col("root").alias("own"))
+    named_hubs = own.select(F.col("c").alias("hub"), F.col("own").alias("main"))
+    left = asked.join(own, "c", "left").join(named_hubs, "hub", "left").select("key", "c", "slot", F.coalesce("own", "c").alias("own"), F.coalesce("main", "hub").alias("main"))
+    left = scratch.save(left)
     scratch.drop(live)
-    # then what is left, pair by pair, but for classes that are linked with one hub
-    own = with_hub.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("own"))
-    blocks = left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    member = left.join(blocks, "key").join(rows, "c").join(own, "c", "left").withColumn("own", F.coalesce("own", "c"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a band's rows in the hub's component meet the others only; the others meet all
+    others = F.count_if(F.col("own") != F.col("main"))
+    size = left.groupBy("key").agg(F.count("*").alias("m"), others.alias("r"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi")
+    blocks = size.select("key", F.ceil(F.col("r") / BLOCK).cast("int").alias("rest"), F.when(F.col("m") <= BLOCK, 0).otherwise(F.ceil((F.col("m") - F.col("r")) / BLOCK)).cast("int").alias("mains"))
+    member = left.join(blocks, "key").join(rows, "c").withColumn("inner", (F.col("own") == F.col("main")) & (F.col("mains") > 0))
+    member = member.withColumn("block", F.expr("if(inner, rest + pmod(xxhash64(c), mains), pmod(xxhash64(c), rest))").cast("int"))
+    member = member.withColumn("other", F.explode(F.expr("sequence(0, if(inner, rest, rest + mains) - 1)")))
     dealt = member.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "c", "own", "slot", "n", "regs")
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     found = dealt.mapInArrow(lambda it: _pairs(it, percent), "a long, b long").distinct()

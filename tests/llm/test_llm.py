@@ -85,6 +85,27 @@ def test_near_duplicates(spark, docs):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_near_duplicates_beside_hub(spark, monkeypatch):
+    """Chains h-a-b: h has most copies and is linked with a, b is linked with a but not with h."""
+    rows = []
+    for chain, n in enumerate([1000, 2000] + [3000] * 8):
+        words = [f"c{chain}w{i}" for i in range(n)]
+        least = -(-3 * (n - 4) // 37) // 5  # so many lone words edited keep 0.85
+        own = [words, words, words, edited(words, [n // 2]).split(), edited(words, [n // 2, *range(7, 7 + least * 9, 9)]).split()]
+        rows += [(chain * 10 + k, " ".join(w)) for k, w in enumerate(own)]
+    # the same with many classes about the hub, in several blocks
+    words = [f"m{i}" for i in range(1000)]
+    rows += [(1000 + i, " ".join(words)) for i in range(3)] + [(1010 + i, edited(words, [990 - i // 2 * 20 - i % 2])) for i in range(40)]
+    rows += [(1100 + i, edited(words, [990 - i // 2 * 20 - i % 2, *range(5, 5 + 16 * 11 - 11, 11)])) for i in range(40)]
+    sets = {i: shingles(t) for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components(sets)
+    assert sum(want[i] != i for i in want if i < 1000 and i % 10 == 4) >= 8
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == want
+
+
 def test_near_duplicates_odd(spark, odd):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
