@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,21 +35,37 @@ STRONG = {
 #: Substrings without which a strong pattern can't match; none for hex.
 NEEDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("AKIA",), "pem": ("-----BEGIN",), "github": ("gh",), "jwt": ("eyJ",), "hex": ()}
 
-#: Weak parts: role and pattern. Each is common in clean text and means something beside its complements only.
+#: A name with what sets its value apart; each name is read once, whatever its length.
+NAME = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?\x20*+[:=]\x20*+["']?""", re.ASCII)
+#: Weak parts that a name announces: role, words of the name, pattern of the value. Each is common in clean text and means something beside its complements only.
+NAMED = {
+    "id_part": ("identifier", ("user", "username", "login", "client_id", "account", "access_key_id"), re.compile(r"[A-Za-z0-9_.@-]{3,}+")),
+    "secret_part": ("secret", ("pass", "pwd", "key", "auth", "credential", "credentials", "private"), re.compile(r"[A-Za-z0-9+/_.=!#$%&*-]{6,}+")),
+    "endpoint_part": ("endpoint", ("host", "hostname", "endpoint", "server", "region"), re.compile(r"[A-Za-z0-9_.:/-]{3,}+")),
+}
+#: Weak parts by their form: role and pattern.
 WEAK = {
-    "id_part": ("identifier", re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_id|account(?:_id)?|access_key_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,128})""", _F)),
-    "secret_part": ("secret", re.compile(r"""(?<![A-Za-z0-9_])(?:pass|pwd|key|auth|credential|private)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!#$%&*-]{6,256})""", _F)),
-    "blob_part": ("secret", re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")),
-    "endpoint_part": ("endpoint", re.compile(r"""(?<![A-Za-z0-9_])(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_.:@/?&=%-]{4,256}|(?<![A-Za-z0-9_])(?:host|endpoint|server|region)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.:/-]{3,256})""", _F)),
+    "blob_part": ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")),
+    "endpoint_part": ("endpoint", re.compile(r"(?<![A-Za-z0-9_])(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_.:@/?&=%-]{4,}+", _F)),
 }
-KINDS = [*STRONG, *WEAK]
+KINDS = [*STRONG, "id_part", "secret_part", "blob_part", "endpoint_part"]
 #: Roles that strong spans take when they stand beside weak parts.
 STRONG_ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "pem": "secret", "github": "secret", "jwt": "secret"}
-WEAK_NEEDS = {
-    "id_part": ("user", "login", "client_id", "account", "access_key_id"),
-    "secret_part": ("pass", "pwd", "key", "auth", "credential", "private"),
-    "endpoint_part": ("://", "host", "endpoint", "server", "region"),
-}
+_CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+
+@lru_cache(50_000)
+def named_kind(name: str) -> str | None:
+    """The weak kind that a name announces, by the last keyword among its parts.
+
+    Parts are joined by '_', '-' or camel case: DB_USER, access-key-id, dbPassFile.
+    """
+    for parts in (re.split("[_-]+", name), _CAMEL.findall(name)):
+        joined = "_".join(parts).lower()
+        at = {kind: max((m.end() for w in words for m in re.finditer(f"(?<![a-z0-9]){w}(?![a-z0-9])", joined)), default=0) for kind, (_, words, _) in NAMED.items()}
+        if any(at.values()):
+            return max(at, key=at.get)
+    return None
 
 
 def find_parts(text: str) -> list[tuple[str, str, bool, int, int]]:
@@ -64,13 +81,21 @@ def find_parts(text: str) -> list[tuple[str, str, bool, int, int]]:
             a, b = m.span(group)
             if b - a >= least:
                 out.append((kind, STRONG_ROLE[kind], True, a, b))
-    assigned = ":" in text or "=" in text
+    weak = []
+    if any(x.split("_")[0] in low for _, words, _ in NAMED.values() for x in words):
+        for m in NAME.finditer(text):
+            kind = (named_kind if len(m.group(1)) <= 200 else named_kind.__wrapped__)(m.group(1))  # long names aren't remembered
+            value = NAMED[kind][2].match(text, m.end()) if kind else None
+            if value:
+                weak.append((m.start(), kind, NAMED[kind][0], *value.span()))
     for kind, (role, pattern) in WEAK.items():
-        if not (longest >= 40 if kind == "blob_part" else assigned and any(x in low for x in WEAK_NEEDS[kind])):
-            continue
-        for m in pattern.finditer(text):
-            a, b = m.span(1) if m.re.groups and m.group(1) is not None else m.span()
+        if longest >= 32 if kind == "blob_part" else "://" in text:
+            weak += [(m.start(), kind, role, *m.span()) for m in pattern.finditer(text)]
+    last: dict[str, int] = {}
+    for begin, kind, role, a, b in sorted(weak):
+        if begin >= last.get(kind, 0):
             out.append((kind, role, False, a, b))
+            last[kind] = b
     return out
 
 

@@ -280,6 +280,19 @@ def test_secrets(spark, odd):
     assert secret_scan.scan_secrets(odd).count() == 8 and secret_scan.scan_secrets(odd.limit(0)).count() == 0
 
 
+def test_secret_env_blocks(spark):
+    blob, long = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEYab", "k9" * 300
+    env = f"AWS_ACCESS_KEY_ID=ABCD1234\nAWS_SECRET_ACCESS_KEY={blob}\nDB_HOST=db.local\nDB_USER=bob\nDB_PASS='hunter22'\nprivate_key=abcdefgh"
+    rows = [(1, env), (2, "DB_USER=bob\nDB_HOST=db.local"), (3, f"AWS_SECRET_ACCESS_KEY={blob}"), (4, f"login: admin42, key={long}"), (5, f"user={long} pwd=hunter22"), (6, '{"dbUser": "bob", "dbPass": "hunter22", "monkey": "hunter22"}'), (7, f"user: bob {blob}{blob}== {blob[:36]}"), (8, "AWS_ACCESS_KEY_ID=ABCD1234 user=bob"), (9, "x: user=bob, y=pwd=hunter22")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, dict(rows)[r.doc_id][s.start : s.end]) for s in r.spans] for r in secret_scan.scan_secrets(df).collect()}
+    assert got[1] == [("id_part", "ABCD1234"), ("secret_part", blob), ("blob_part", blob), ("endpoint_part", "db.local"), ("id_part", "bob"), ("secret_part", "hunter22"), ("secret_part", "abcdefgh")]
+    assert got[2] == got[3] == got[8] == []
+    assert got[4] == [("id_part", "admin42"), ("secret_part", long)] and got[5] == [("id_part", long), ("secret_part", "hunter22")]
+    assert got[6] == [("id_part", "bob"), ("secret_part", "hunter22")] and got[7] == [("id_part", "bob"), ("blob_part", f"{blob}{blob}=="), ("blob_part", blob[:36])]
+    assert got[9] == [("id_part", "bob"), ("secret_part", "hunter22")]
+
+
 # --- images -------------------------------------------------------------------------------------
 def test_image_copies(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
