@@ -23,7 +23,14 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?
 DATE = r"(?<![\d/.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-]|\.\d)"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+#: 3-3-4 digits; a country code and digits in groups, 8 to 15 in all; with a leading zero 2-4, 3-4 and 4 digits, five pairs, or an area and 5 to 7.
+PHONE = (
+    r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\d+])\+(?:\d(?:[ .-]?\(0\)[ .-]?|[ .-]\(?|\)[ .-]?)?){7,14}\d(?!\d)"
+    r"|(?<![\d+.,/-])(?:\(0\d{1,3}\) ?|0\d{1,3}[ .-])\d{3,4}[ .-]\d{4}(?![\d-]|[.,]\d)"
+    r"|(?<![\d+.,/-])0\d(?:[ .-]\d\d){4}(?![\d-]|[.,]\d)"
+    r"|(?<![\d+.,/-])(?:\(0\d{2,4}\) ?|0\d{2,4}[ /-])\d{5,7}(?![\d-]|[.,]\d)"
+)
 CARD = r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)"
 PATTERN = "|".join((EMAIL, IBAN, DATE, IPV4, SSN, PHONE, CARD))
 KINDS = ("email", "iban", "date", "ipv4", "ssn", "phone", "card", "account")
@@ -56,7 +63,7 @@ def _pseudonyms(found: str, key: str) -> str:
       when rlike(m.t, {_sql(r'^\d{3}-\d\d-\d{4}$')}) then 'ssn' when length(m.d) between 13 and 19 and not rlike(m.t, '^[+(]') then 'card' else 'phone' end"""
     steps = f"transform({steps}, m -> struct(m.t as t, m.d as d, m.u as u, {shape} as shape))"
     # the day number of a date; null if there is no such day
-    day = """case when m.shape = 'date' then case when m.t like '____-%' then try_to_date(m.t, 'yyyy-MM-dd') when m.t like '%/%' then try_to_date(m.t, 'dd/MM/yyyy') else try_to_date(m.t, 'dd.MM.yyyy') end end"""
+    day = """case when m.shape = 'date' then case when m.t like '____-%' then try_to_date(m.t, 'yyyy-MM-dd') when m.t like '%/%' then coalesce(try_to_date(m.t, 'dd/MM/yyyy'), try_to_date(m.t, 'MM/dd/yyyy')) else try_to_date(m.t, 'dd.MM.yyyy') end end"""
     valid = f"case when m.shape = 'card' then {_LUHN.format(d='m.d')} % 10 = 0 when m.shape = 'iban' then {_MOD97.format(d='concat(substr(m.u, 5), substr(m.u, 1, 4))')} = 1 end"
     steps = f"transform({steps}, m -> struct(m.t as t, m.d as d, m.u as u, m.shape as shape, {day} as day, coalesce({valid}, true) as valid))"
     kind = "case when m.shape = 'card' and not m.valid then 'account' when m.shape = 'iban' and (not m.valid or length(m.u) < 15) then null when m.shape = 'date' and m.day is null then null else m.shape end"
@@ -93,7 +100,7 @@ def _pseudonyms(found: str, key: str) -> str:
     out = f"""case when m.kind is null then m.t
       when m.kind = 'email' then concat('user-', substr(sha2(concat_ws('|', {_sql(key)}, 'email', lower(m.t)), 256), 1, 16), '@mail.invalid')
       when m.kind = 'ipv4' then concat_ws('.', string(m.y div 16777216), string(m.y div 65536 % 256), string(m.y div 256 % 256), string(m.y % 256))
-      when m.kind = 'date' then date_format({new_day}, case when m.t like '____-%' then 'yyyy-MM-dd' when m.t like '%/%' then 'dd/MM/yyyy' else 'dd.MM.yyyy' end)
+      when m.kind = 'date' then date_format({new_day}, case when m.t like '____-%' then 'yyyy-MM-dd' when m.t like '%/%' then if(try_to_date(m.t, 'dd/MM/yyyy') is null, 'MM/dd/yyyy', 'dd/MM/yyyy') else 'dd.MM.yyyy' end)
       else {laid} end"""
     return f"transform({steps}, m -> struct(m.t as t, m.kind as kind, {out} as r))"
 
@@ -106,6 +113,11 @@ def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text", found_col
     its Luhn sum) and account (13 to 19 digits that fail it). A match that fails
     its check stays as it is, with kind null.
 
+    Phones: the layouts at ``PHONE``; national numbers need a leading zero unless
+    they are of 3-3-4 digits, so 612 345 678 without +34 stays. Dates: yyyy-mm-dd,
+    dd.mm.yyyy and dd/mm/yyyy, or mm/dd/yyyy where that is the only day; the
+    pseudonym has the layout of its date.
+
     Null text stays null with an empty array; text without matches is returned
     unchanged. All other columns stay; ``found_col`` is replaced if it exists.
     The key is the caller's secret: whoever holds it can undo the permutation.

@@ -223,6 +223,23 @@ def test_pseudonyms(spark):
     assert pii.with_pseudonyms(df.limit(0), "k").count() == 0
 
 
+def test_phones_and_dates_of_other_countries(spark):
+    phones = ["+44 20 7946 0958", "+33 6 12 34 56 78", "+49 30 1234567", "+34 612 345 678", "010-1234-5678", "02-123-4567", "06 12 34 56 78", "020 7946 0958", "030 1234567", "+441234567890", "+44 (0)20 7946 0958", "(02) 123-4567", "+49 (30) 1234567", "+82-10-1234-5678"]
+    dates = ["12/25/2001", "25/12/2001", "12/05/2001"]
+    clean = ["13/13/2001", "1,000,000", "0.1234 5678", "3.14159265", "2001-2002", "page 12-14", "612 345 678"]
+    rows = [(i, f"call {x}, or") for i, x in enumerate(phones + dates + clean)]
+    got = {r.doc_id: r for r in pii.with_pseudonyms(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    shape = lambda x: re.sub(r"\d", "0", x)
+    for i, x in enumerate(phones + dates):
+        kind = "phone" if x in phones else "date"
+        assert [(m.t, m.kind) for m in got[i].pii] == [(x, kind)], x
+        assert got[i].text != rows[i][1] and shape(got[i].text) == shape(rows[i][1]), x
+    new = got[len(phones)].pii[0].r
+    day = dt.date(2000, 1, 1) + dt.timedelta(feistel((dt.date(2001, 12, 25) - dt.date(2000, 1, 1)).days, 75, 487, "date:1:20:0:", "k"))
+    assert new == day.strftime("%m/%d/%Y") and got[len(phones) + 1].pii[0].r == day.strftime("%d/%m/%Y")
+    assert all(got[len(phones) + len(dates) + i].text == f"call {x}, or" for i, x in enumerate(clean))
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(92 * 397).select(F.expr(pii.feistel("id", "92L", "397L", "'t'", "k")).alias("y"))
     assert df.distinct().count() == 92 * 397 and tuple(df.agg(F.min("y"), F.max("y")).first()) == (0, 92 * 397 - 1)
