@@ -34,7 +34,9 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.image_copies(media.draw_vectors(read(spark, sf_dir, "embeddings")))
+    # a vector is small, what is made of it isn't: drawing and describing are dealt over all tasks
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition("vec_id")
+    return media.image_copies(media.draw_vectors(vectors))
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
