@@ -28,7 +28,7 @@ CACHE = 400_000
 #: Bytes of a pre-token beyond which a heap finds its merges instead of the query.
 LONG = 400
 #: Characters of text whose pre-tokens are collected before the next query.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -81,10 +81,10 @@ class Tokenizer:
                     left.append(a)
                     right.append(b)
                     rank.append(i)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._table("pairs", a=left, b=right, rank=rank)
         self.db.execute("alter table pairs alter rank type bigint")
-        self.pairs = dict(zip(zip(left, right, strict=True), rank, strict=True))
+        self.pairs: dict[tuple[int, int], int] = {}
         self.db.register("v", pa.table({"token": pa.array(list(self.bytes_of), pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]}))
         self.db.execute("create table vocabulary as select * from v")
 
@@ -123,6 +123,8 @@ class Tokenizer:
 
     def _merged(self, raw: bytes) -> list[int]:
         """Ids of a very long pre-token by a heap of pairs; one contraction a round would take its square."""
+        if not self.pairs:  # few tasks meet such a word
+            self.pairs = {(a, b): r for a, b, r in self.db.execute("select a, b, rank from pairs").fetchall()}
         token = self.single[np.frombuffer(raw, np.uint8)].tolist()
         after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
         heap = [(r, i, i + 1) for i in range(len(token) - 1) if (r := self.pairs.get((token[i], token[i + 1]))) is not None]

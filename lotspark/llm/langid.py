@@ -63,7 +63,8 @@ def _vectors(grams: np.ndarray, gram: int, dims: int) -> np.ndarray:
 def _grams(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of a chunk; row, n-gram and count of each pair that occurs; rows with a letter.
 
-    Runs of other characters count as one gap. N-grams stay within a row.
+    Runs of other characters count as one gap, as do a text's ends. N-grams stay
+    within a row.
     """
     fold, letter = _fold()
     n = len(offsets) - 1
@@ -75,6 +76,12 @@ def _grams(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (row[1:] != row[:-1])
     codes, row = codes[keep], row[keep]
+    # a gap before and after each text, so that one letter makes an n-gram of three
+    some = np.unique(row)
+    for side in ("left", "right"):
+        at = np.searchsorted(row, some, side)
+        edge = codes[at if side == "left" else at - 1] != 0
+        codes, row = np.insert(codes, at[edge], 0), np.insert(row, at[edge], some[edge])
     size = max(0, len(codes) - gram + 1)
     whole = row[:size] == row[gram - 1 :] if size else np.zeros(0, bool)
     key = np.zeros(size, np.int64)
@@ -145,9 +152,9 @@ def identify_language(docs: DataFrame, model: dict[str, list[int]], text_col: st
     """All columns of ``docs`` with lang_pred and score, the cosine with the best prototype, cut to 0..1.
 
     Null texts and texts without a letter get ``und`` and 0, as do all if the
-    model knows no language. Ties go to the first language by name. A letter text
-    too short for one n-gram gets the first language with score 0. A column that
-    is already named lang_pred, score or _text is replaced.
+    model knows no language. Ties go to the first language by name. A text is handled
+    whole in its task. A column that is already named lang_pred, score or _text is
+    replaced.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_text")]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}

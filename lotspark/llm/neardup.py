@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bit_table import bit_table, may_hold
 from .components import connected_components
 from .scratch import Scratch
 from .text_arrays import SPACE_SPLIT, Words, mix, text_chunks
@@ -214,8 +215,6 @@ def _renamed(df: DataFrame, end: str, *columns: str) -> DataFrame:
     return df.select(*(F.col(c).alias(end if c == "c" else f"{c}_{end}") for c in columns))
 
 
-#: A table of so many class ids at most is sent to all tasks instead of shuffling the texts to it.
-FEW_IDS = 500_000
 #: Classes of a band that are compared in one place; a band of more is cut into blocks, and blocks are paired.
 BLOCK = 512
 
@@ -225,8 +224,11 @@ def _verified(found: DataFrame, texts: DataFrame, regs: DataFrame, percent: int,
     found = scratch.save(found)
     ids = found.select(F.col("a").alias("c")).union(found.select("b")).distinct()
     wanted = scratch.save(regs.join(ids, "c", "left_semi").select(F.col("least_id").alias("_id")).distinct())
-    few = wanted.count() <= FEW_IDS
-    own = texts.join(F.broadcast(wanted) if few else wanted, "_id", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "c long, c2 long, n long, shingles array<long>")
+    # most other texts are dropped before the join shuffles any
+    bits = bit_table(wanted.select(F.xxhash64("_id").alias("h")), "h")
+    kind = texts.schema["_id"].dataType.simpleString()
+    some = texts.select(F.xxhash64("_id").alias("h"), "_id", "_text").mapInArrow(lambda it: _maybe(it, bits), f"_id {kind}, _text string")
+    own = some.join(wanted, "_id", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "c long, c2 long, n long, shingles array<long>")
     sets = scratch.save(own.withColumn("c", F.xxhash64("c", "c2", "n")).select("c", "shingles"))
     both = found.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -304,6 +306,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _maybe(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) whose hashed id may be in ``bits``."""
+    for batch in batches:
+        yield batch.select([1, 2]).filter(pa.array(may_hold(bits, batch.column(0).to_numpy().view(_U))))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Sets under the digest of ``_signatures``; one of each digest in a batch."""
     for batch in batches:

@@ -20,7 +20,7 @@ ROUNDS = 10
 #: In this order: what one alternation of the pattern finds.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = r"(?<![\d/.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-]|\.\d)"
+DATE = r"(?<![\d/.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d{1,2}/\d{1,2}/(?:19|20)\d\d|\d{1,2}\.\d{1,2}\.(?:19|20)\d\d)(?![\d/-]|\.\d)"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
 #: 3-3-4 digits; a country code and digits in groups, 8 to 15 in all; with a leading zero 2-4, 3-4 and 4 digits, five pairs, or an area and 5 to 7.
@@ -59,11 +59,11 @@ def _pseudonyms(found: str, key: str) -> str:
     """SQL: array of (t, kind, r) from an array of matches, r being what stands in for t."""
     steps = f"transform({found}, t -> struct(t as t, regexp_replace(t, '[^0-9]', '') as d, upper(regexp_replace(t, ' ', '')) as u))"
     shape = f"""case when contains(m.t, '@') then 'email' when rlike(m.t, '^[A-Z]') then 'iban'
-      when rlike(m.t, {_sql(r'^(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})$')}) then 'date' when rlike(m.t, {_sql(r'^(?:\d{1,3}\.){3}\d{1,3}$')}) then 'ipv4'
+      when rlike(m.t, {_sql(r'^(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})$')}) then 'date' when rlike(m.t, {_sql(r'^(?:\d{1,3}\.){3}\d{1,3}$')}) then 'ipv4'
       when rlike(m.t, {_sql(r'^\d{3}-\d\d-\d{4}$')}) then 'ssn' when length(m.d) between 13 and 19 and not rlike(m.t, '^[+(]') then 'card' else 'phone' end"""
     steps = f"transform({steps}, m -> struct(m.t as t, m.d as d, m.u as u, {shape} as shape))"
     # the day number of a date; null if there is no such day
-    day = """case when m.shape = 'date' then case when m.t like '____-%' then try_to_date(m.t, 'yyyy-MM-dd') when m.t like '%/%' then coalesce(try_to_date(m.t, 'dd/MM/yyyy'), try_to_date(m.t, 'MM/dd/yyyy')) else try_to_date(m.t, 'dd.MM.yyyy') end end"""
+    day = """case when m.shape = 'date' then case when m.t like '____-%' then try_to_date(m.t, 'yyyy-MM-dd') when m.t like '%/%' then coalesce(try_to_date(m.t, 'd/M/yyyy'), try_to_date(m.t, 'M/d/yyyy')) else try_to_date(m.t, 'd.M.yyyy') end end"""
     valid = f"case when m.shape = 'card' then {_LUHN.format(d='m.d')} % 10 = 0 when m.shape = 'iban' then {_MOD97.format(d='concat(substr(m.u, 5), substr(m.u, 1, 4))')} = 1 end"
     steps = f"transform({steps}, m -> struct(m.t as t, m.d as d, m.u as u, m.shape as shape, {day} as day, coalesce({valid}, true) as valid))"
     kind = "case when m.shape = 'card' and not m.valid then 'account' when m.shape = 'iban' and (not m.valid or length(m.u) < 15) then null when m.shape = 'date' and m.day is null then null else m.shape end"
@@ -85,12 +85,24 @@ def _pseudonyms(found: str, key: str) -> str:
     steps = f"transform({steps}, m -> struct(m.t as t, m.d as d, m.u as u, m.day as day, m.kind as kind, m.head as head, m.tail as tail, m.body as body, case when m.x is not null then {y} end as y))"
     digits = """case when m.kind in ('card', 'account', 'phone', 'ssn') then concat(substr(m.d, 1, m.head), lpad(string(m.y), length(m.body), '0'))
       when m.kind = 'iban' then lpad(string(m.y), length(m.body), '0') end"""
-    steps = f"transform({steps}, m -> struct(m.t as t, m.u as u, m.day as day, m.kind as kind, m.tail as tail, m.y as y, {digits} as n))"
+    # an account number's other digits and its letters are permuted too: blocks of a size that fits a number, by the block before
+    high = "case when m.kind = 'iban' then regexp_extract(regexp_replace(substr(m.u, 5), '[^0-9]', ''), '^([0-9]*)[0-9]{18}$', 1) else '' end"
+    letters = "case when m.kind = 'iban' then regexp_replace(substr(m.u, 5), '[^A-Z]', '') else '' end"
+    steps = f"transform({steps}, m -> struct(m.t as t, m.u as u, m.day as day, m.kind as kind, m.tail as tail, m.y as y, {digits} as n, m.body as body, {high} as high, substr({letters}, 1, 12) as first, substr({letters}, 13) as second))"
+    power = lambda base, n: f"cast(pow({base}, {n}) as bigint)"
+    halves = lambda base, x: (power(base, f"length({x}) - length({x}) div 2"), power(base, f"length({x}) div 2"))
+    y_high = f"lpad(string({feistel('cast(m.high as bigint)', *halves(10, 'm.high'), "concat('iban:high:', m.body)", key)}), length(m.high), '0')"
+    number = "aggregate(split({x}, ''), 0L, (s, c) -> s * 26 + ascii(c) - 65)"
+    # a number as so many letters
+    spelt = "aggregate(sequence(1, length({x})), named_struct('o', '', 'v', {y}), (s, i) -> named_struct('o', concat(char(65 + s.v % 26), s.o), 'v', s.v div 26), s -> s.o)"
+    word = lambda x, tweak: f"case when {x} = '' then '' else {spelt.format(x=x, y=feistel(number.format(x=x), *halves(26, x), tweak, key))} end"
+    n = f"case when m.kind = 'iban' and m.high <> '' then concat({y_high}, m.n) else m.n end"
+    steps = f"transform({steps}, m -> struct(m.t as t, m.u as u, m.day as day, m.kind as kind, m.tail as tail, m.y as y, {n} as n, concat({word('m.first', "concat('iban:letters:', length(m.first))")}, {word('m.second', "concat('iban:letters:', m.first)")}) as letters))"
     # the check digit makes the Luhn sum of all digits a multiple of ten
     check = f"case when m.tail = 1 then concat(m.n, string((10 - ({_LUHN.format(d="concat(m.n, '0')")}) % 10) % 10)) else m.n end"
-    # an account number's digits from its fifth character on are replaced from the right, its letters stay
-    fill = """aggregate(reverse(split(substr(m.u, 5), '')), named_struct('o', '', 'i', length(m.n)),
-      (s, c) -> case when c rlike '[0-9]' and s.i > 0 then named_struct('o', concat(substr(m.n, s.i, 1), s.o), 'i', s.i - 1) else named_struct('o', concat(c, s.o), 'i', s.i) end, s -> s.o)"""
+    # an account number's digits and letters from its fifth character on are replaced in order
+    fill = """aggregate(split(substr(m.u, 5), ''), named_struct('o', '', 'i', 1, 'j', 1),
+      (s, c) -> case when c rlike '[0-9]' then named_struct('o', concat(s.o, substr(m.n, s.i, 1)), 'i', s.i + 1, 'j', s.j) else named_struct('o', concat(s.o, substr(m.letters, s.j, 1)), 'i', s.i, 'j', s.j + 1) end, s -> s.o)"""
     steps = f"transform({steps}, m -> struct(m.t as t, m.u as u, m.day as day, m.kind as kind, m.y as y, {check} as n, case when m.kind = 'iban' then {fill} end as rest))"
     steps = f"transform({steps}, m -> struct(m.t as t, m.day as day, m.kind as kind, m.y as y, case when m.kind = 'iban' then concat(substr(m.u, 1, 2), lpad(string(98 - {_MOD97.format(d="concat(m.rest, substr(m.u, 1, 2), '00')")}), 2, '0'), m.rest) else m.n end as n))"
     # the new characters take the places of the old ones, spaces and punctuation stay
@@ -100,7 +112,7 @@ def _pseudonyms(found: str, key: str) -> str:
     out = f"""case when m.kind is null then m.t
       when m.kind = 'email' then concat('user-', substr(sha2(concat_ws('|', {_sql(key)}, 'email', lower(m.t)), 256), 1, 16), '@mail.invalid')
       when m.kind = 'ipv4' then concat_ws('.', string(m.y div 16777216), string(m.y div 65536 % 256), string(m.y div 256 % 256), string(m.y % 256))
-      when m.kind = 'date' then date_format({new_day}, case when m.t like '____-%' then 'yyyy-MM-dd' when m.t like '%/%' then if(try_to_date(m.t, 'dd/MM/yyyy') is null, 'MM/dd/yyyy', 'dd/MM/yyyy') else 'dd.MM.yyyy' end)
+      when m.kind = 'date' then date_format({new_day}, case when m.t like '____-%' then 'yyyy-MM-dd' else regexp_replace(concat(case when m.t like '%.%' then 'd.M.yyyy' when try_to_date(m.t, 'd/M/yyyy') is null then 'M/d/yyyy' else 'd/M/yyyy' end), if(m.t rlike '^..[./]..[./]', '([dM])(?=[./])', '$^'), '$1$1') end)
       else {laid} end"""
     return f"transform({steps}, m -> struct(m.t as t, m.kind as kind, {out} as r))"
 
@@ -109,14 +121,15 @@ def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text", found_col
     """``docs`` with personal data in ``text_col`` replaced, and ``found_col``: array of (t, kind, r).
 
     ``t`` is what was found, ``r`` what stands in its place. Kinds: email, iban
-    (by its remainder), date (a day of 1900 to 2099), ipv4, ssn, phone, card (by
+    (by its remainder; all digits and letters after the country are permuted), date (a day of 1900 to 2099), ipv4, ssn, phone, card (by
     its Luhn sum) and account (13 to 19 digits that fail it). A match that fails
     its check stays as it is, with kind null.
 
     Phones: the layouts at ``PHONE``; national numbers need a leading zero unless
     they are of 3-3-4 digits, so 612 345 678 without +34 stays. Dates: yyyy-mm-dd,
-    dd.mm.yyyy and dd/mm/yyyy, or mm/dd/yyyy where that is the only day; the
-    pseudonym has the layout of its date.
+    dd.mm.yyyy and dd/mm/yyyy (one digit will do), or mm/dd/yyyy where that is the only day; the
+    pseudonym has the layout of its date, without leading zeros if the day or the
+    month is of one digit. A text is one row of one projection, however long it is.
 
     Null text stays null with an empty array; text without matches is returned
     unchanged. All other columns stay; ``found_col`` is replaced if it exists.

@@ -39,23 +39,28 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_copies(media.draw_vectors(vectors))
 
 
+#: Fetches of each page.
+FETCHES = 4
+
+
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Capture records of ``pages``: each page is fetched a minute after the one before it by id.
+    """Capture records of ``pages``: each page is fetched ``FETCHES`` times, a day apart, a minute after the page before it by id.
 
-    Three of four fetches are full responses. The others are not-modified revisits,
-    most of them with the entity tag that the URL's responses have.
+    Half of the fetches are full responses. The others are not-modified revisits with
+    the entity tag that most of the URL's responses have.
     """
-    h = F.expr("pmod(crc32(cast(page_id as string)), 8)")
+    fetched = pages.withColumn("fetch", F.explode(F.sequence(F.lit(0), F.lit(FETCHES - 1)))).withColumn("id", F.col("page_id") * FETCHES + F.col("fetch"))
+    h = F.expr("pmod(crc32(cast(id as string)), 8)")
     url = warc.canonical_url(F.col("url"))
     tag = F.concat(F.lit('"'), F.substring(F.md5(url), 1, 12), F.when(h == 7, F.lit("-new")).otherwise(F.lit("")), F.lit('"'))
-    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 60)
-    revisit = h.isin(3, 6)
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 60 + F.col("fetch") * 86_400)
+    revisit = h < 4
     headers = F.map_from_entries(F.array(
-        F.struct(F.lit("etag"), tag), F.struct(F.lit("date"), F.col("page_id").cast("string")),
+        F.struct(F.lit("etag"), tag), F.struct(F.lit("date"), F.col("id").cast("string")),
         F.struct(F.when(revisit, F.lit("cache-control")).otherwise(F.lit("content-type")), F.when(revisit, F.lit("max-age=60")).otherwise(F.lit("text/html"))),
     ))
-    return pages.select(
-        F.col("page_id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("type"), "url", ts.alias("ts"),
+    return fetched.select(
+        F.col("id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("type"), "url", ts.alias("ts"),
         F.when(revisit, 304).otherwise(200).alias("status"), headers.alias("headers"), F.when(~revisit, F.md5("html")).alias("payload_digest"),
     )
 
@@ -79,22 +84,24 @@ with u as (
 ), c as (
   select page_id, html, case when scheme = '' then lower(p) else scheme || '://' || host || path || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end as curl
   from s
+), fetched as (
+  select page_id * 4 + f as id, 1700000000 + page_id * 60 + f * 86400 as ts, curl, html from c, unnest(range(4)) as r(f)
 ), hashed as (
   -- crc32 of the id's digits, bit by bit
-  select *, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(page_id::varchar, ''), lambda d: ascii(d)::bigint)),
+  select *, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(id::varchar, ''), lambda d: ascii(d)::bigint)),
     lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)) as crc
-  from c
+  from fetched
 ), r as (
-  select page_id, curl, html, xor(crc, 4294967295) % 8 as h from hashed
+  select id, ts, curl, html, xor(crc, 4294967295) % 8 as h from hashed
 ), t as (
-  select page_id, curl, h, '"' || substr(md5(curl), 1, 12) || case when h = 7 then '-new' else '' end || '"' as tag, md5(html) as digest from r
-), rev as (select * from t where h in (3, 6)), resp as (select * from t where h not in (3, 6))
-select v.page_id as record_id, v.curl as url,
-  case when p.page_id is null then 'missing' when p.tag = v.tag then 'resolved' else 'mismatch' end as status,
-  p.page_id as source_id,
-  case when p.tag = v.tag then 'cache-control=max-age=60;content-type=text/html;date=' || v.page_id || ';etag=' || v.tag end as headers,
+  select id, ts, curl, h, '"' || substr(md5(curl), 1, 12) || case when h = 7 then '-new' else '' end || '"' as tag, md5(html) as digest from r
+), rev as (select * from t where h < 4), resp as (select * exclude (ts), ts as at from (select *, row_number() over (partition by curl, ts order by id desc) as last from t where h >= 4) where last = 1)
+select v.id as record_id, v.curl as url,
+  case when p.id is null then 'missing' when p.tag = v.tag then 'resolved' else 'mismatch' end as status,
+  p.id as source_id,
+  case when p.tag = v.tag then 'cache-control=max-age=60;content-type=text/html;date=' || v.id || ';etag=' || v.tag end as headers,
   case when p.tag = v.tag then p.digest end as payload_digest
-from rev v asof left join resp p on v.curl = p.curl and v.page_id > p.page_id
+from rev v asof left join resp p on v.curl = p.curl and v.ts > p.at
 """
 
 

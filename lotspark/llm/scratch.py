@@ -2,11 +2,14 @@
 
 ``spark.checkpoint.dir`` names it; every executor and the driver see it, so a
 table written there survives lost executors and cuts the lineage of iterative
-jobs. Where the setting is missing (tests), a temporary folder stands in.
+jobs. Only where all of Spark is one process may the setting be missing: a
+temporary folder then stands in and goes when the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,11 +19,36 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lotspark-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="lotspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders of this process that nobody has deleted yet.
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mark() -> int:
+    """A point to which ``release`` goes back."""
+    return len(_roots)
+
+
+def release(since: int = 0) -> None:
+    """Delete the folders made since ``mark``. Results that still read them have to be written before."""
+    while len(_roots) > since:
+        _delete(*_roots.pop())
+
+
 class Scratch:
     """Parquet tables under one fresh folder of the shared directory."""
 
@@ -28,6 +56,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        _roots.append((spark, self.root))
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as read back."""
@@ -40,7 +69,5 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no pending result reads any more."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, table._scratch_path)

@@ -28,7 +28,7 @@ STRONG = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _F), 2, 12),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     "hex": (re.compile(r"[0-9a-f]{16,}"), 0, 16),
-    "pem": (re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), 0, 1),
+    "pem": (re.compile(r"-----BEGIN [A-Z ]*?PRIVATE KEY-----"), 0, 1),
     "github": (re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}"), 0, 40),
     "jwt": (re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), 0, 32),
 }

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 #: Headers that a not-modified response renews (RFC 9110, 15.4.5).
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-BUCKET = 86_400
+BUCKET = 3_600
 
 
 def canonical_url(url: Column) -> Column:
@@ -43,44 +43,48 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     entity tag (weak comparison) or, without tags on both sides, another
     last-modified; ``unverified`` if the two share no kind of validator;
     ``missing`` without an earlier response, url or time. Only resolved rows have
-    headers and a digest. Of captures at one time the one with the larger
-    record_id is later, and a response at a revisit's very time isn't earlier.
-    Repeated records give repeated rows; other columns are ignored.
+    headers and a digest.
+
+    Of captures at one time the one with the larger record_id is later (null is
+    the smallest), of those with one record_id the one with the larger digest, then
+    headers; a response at a revisit's very time isn't earlier. Null ids, headers
+    and header values are allowed; a null value is no validator and renews nothing.
+    Repeated revisits give repeated rows; other columns are ignored. The captures
+    of one URL within ``bucket`` seconds are sorted in one task.
     """
     base = records.select(
-        "record_id", F.col("type").alias("kind"), canonical_url(F.col("url")).alias("url"), "ts", F.col("status").alias("http"), "headers", "payload_digest",
+        "record_id", F.col("type").alias("kind"), canonical_url(F.col("url")).alias("url"), "ts", F.col("status").alias("http"), F.map_entries("headers").alias("headers"), "payload_digest",
         F.floor(F.unix_timestamp("ts") / bucket).alias("run"),
     )
     full = base.where("kind = 'response' and http = 200 and url is not null and ts is not null")
     revisits = base.where("kind = 'revisit'")
-    response = F.struct("ts", "record_id", F.map_entries("headers").alias("headers"), "payload_digest")
+    placed = "url is not null and ts is not null"
+    # all that a revisit may need of a response goes with it: no join by record id
+    response = F.struct("ts", "record_id", "payload_digest", F.array_sort("headers").alias("headers"))
     # the latest response of each run, carried to the runs after it
-    runs = full.groupBy("url", "run").agg(F.max(F.struct("ts", "record_id")).alias("best"))
-    asked = revisits.where("url is not null and ts is not null").groupBy("url", "run").agg(F.lit(True).alias("asked"))
+    runs = full.groupBy("url", "run").agg(F.max(response).alias("best"))
+    asked = revisits.where(placed).groupBy("url", "run").agg(F.lit(True).alias("asked"))
     known = runs.join(asked, ["url", "run"], "full")
     before = F.last("best", True).over(W.partitionBy("url").orderBy("run").rowsBetween(W.unboundedPreceding, -1))
-    carried = known.select("url", "run", "asked", before.alias("carried")).where("asked").drop("asked")
+    carried = known.select("url", "run", "asked", before.alias("carried")).where("asked and carried is not null").drop("asked")
     # within a run: the latest response before each revisit; captures of one time: revisits first
-    within = W.partitionBy("url", "run").orderBy("ts", F.when(F.col("kind") == "revisit", 0).otherwise(1), "record_id")
-    captures = full.unionByName(revisits.where("url is not null and ts is not null")).select("url", "run", "ts", "kind", "record_id")
-    latest = F.last(F.when(F.col("kind") == "response", F.struct("ts", "record_id")), True).over(within.rowsBetween(W.unboundedPreceding, -1))
-    own = captures.withColumn("latest", latest).where("kind = 'revisit'").select("record_id", "url", "run", "ts", "latest").distinct()
-    chosen = own.join(carried, ["url", "run"], "left").select("record_id", "url", "ts", F.coalesce("latest", "carried").getField("record_id").alias("source_id"))
-    source = full.select(F.col("record_id").alias("source_id"), F.col("headers").alias("old"), F.col("payload_digest").alias("old_digest")).dropDuplicates(["source_id"])
-    # revisits without a source aren't dealt by it
-    sourced = chosen.where("source_id is not null").join(source, "source_id")
-    joined = revisits.join(sourced, ["record_id", "url", "ts"], "left")
-    tag, old_tag, since, old_since = _weak(F.col("headers")["etag"]), _weak(F.col("old")["etag"]), F.col("headers")["last-modified"], F.col("old")["last-modified"]
+    within = W.partitionBy("url", "run").orderBy("ts", F.when(F.col("kind") == "revisit", 0).otherwise(1), "record_id", "payload_digest", F.array_sort("headers"))
+    latest = F.last(F.when(F.col("kind") == "response", response), True).over(within.rowsBetween(W.unboundedPreceding, -1))
+    own = full.unionByName(revisits.where(placed)).withColumn("latest", latest).where("kind = 'revisit'")
+    found = own.join(carried, ["url", "run"], "left").select("record_id", "url", "headers", F.coalesce("latest", "carried").alias("source"))
+    lost = revisits.where(f"not ({placed})").select("record_id", "url", "headers", F.lit(None).cast(found.schema["source"].dataType).alias("source"))
+    joined = found.unionByName(lost).select("record_id", "url", "source", *(F.map_filter(F.coalesce(F.map_from_entries(c), F.expr("cast(map() as map<string,string>)")), lambda k, v: v.isNotNull()).alias(name) for c, name in (("headers", "new"), ("source.headers", "old"))))
+    tag, old_tag, since, old_since = _weak(F.col("new")["etag"]), _weak(F.col("old")["etag"]), F.col("new")["last-modified"], F.col("old")["last-modified"]
     status = (
-        F.when(F.col("source_id").isNull(), "missing")
+        F.when(F.col("source").isNull(), "missing")
         .when(tag.isNotNull() & old_tag.isNotNull(), F.when(tag == old_tag, "resolved").otherwise("mismatch"))
         .when(since.isNotNull() & old_since.isNotNull(), F.when(since == old_since, "resolved").otherwise("mismatch"))
         .otherwise("unverified")
     )
-    renew = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*RENEWED) & v.isNotNull())
-    kept = F.map_filter(F.coalesce("old", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(renew), k))
+    renew = F.map_filter("new", lambda k, v: k.isin(*RENEWED))
+    kept = F.map_filter("old", lambda k, v: ~F.array_contains(F.map_keys(renew), k))
     ok = F.col("status") == "resolved"
     return joined.withColumn("status", status).select(
-        "record_id", "url", "status", F.when(F.col("status") != "missing", F.col("source_id")).alias("source_id"),
-        F.when(ok, F.map_concat(kept, renew)).alias("headers"), F.when(ok, F.col("old_digest")).alias("payload_digest"),
+        "record_id", "url", "status", F.col("source.record_id").alias("source_id"),
+        F.when(ok, F.map_concat(kept, renew)).alias("headers"), F.when(ok, F.col("source.payload_digest")).alias("payload_digest"),
     )
