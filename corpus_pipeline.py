@@ -1,29 +1,42 @@
-"""Corpus pipeline: five stages over ``documents``, each a table on the shared folder."""
+"""Corpus pipeline: five stages over ``documents``, each a table on the shared folder.
+
+Rows without a doc_id can't be named in a group and leave in the first stage. Of
+rows that repeat both doc_id and text one stays. Rows that repeat a doc_id with
+other texts are one document to the benchmark stage: all leave if one of them is
+hit. Null and empty texts are in no language and leave in the first stage. Columns
+other than ``COLUMNS`` are dropped; an empty table stays empty. A text is handled
+whole, in one task.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lotspark.llm import bpe, decontam, langid, neardup, pii
 from lotspark.llm.queries import PII_KEY, VOCABULARY
-from lotspark.llm.scratch import Scratch
+from lotspark.llm.scratch import Scratch, mark, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Cosine that random vectors of so many dimensions have by chance; what is less like every language is in none.
+LEAST_SCORE = langid.DIMS**-0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language that the corpus' labels know: without a letter or with no likeness to any."""
+    """Drops texts in no language that the corpus' labels know: without a letter or with no likeness to any beyond chance."""
     model = langid.train_prototypes(docs)
     named = langid.identify_language(docs.select(*COLUMNS), model)
-    return named.where("lang_pred <> 'und' and score > 0").select(*COLUMNS)
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_SCORE) & F.col("doc_id").isNotNull()).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps the document with the smallest id of each group, once."""
+    kept = neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = docs.select(*COLUMNS).join(kept, "doc_id")
+    again = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("source"))
+    return rows.withColumn("again", again).where("n = 1 or again = 1").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
+        before = mark()
         docs = scratch.save(stage(spark, docs, sf_dir))
+        release(before)
     return docs
