@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text_arrays import small_batches, tidy
+
 #: Distinct pre-tokens that a task remembers; beyond it the memory starts anew.
 CACHE = 400_000
 #: Bytes of a pre-token beyond which a heap finds its merges instead of the query.
@@ -177,6 +179,7 @@ class Tokenizer:
         return out
 
 
+@tidy
 def _task(batches: Iterator[pa.RecordBatch], path: str, pattern: str, use: Callable) -> Iterator[pa.RecordBatch]:
     tokenizer = None
     for batch in batches:
@@ -214,6 +217,7 @@ def _digest(tokenizer: Tokenizer, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _apply(df: DataFrame, column: str, added: dict[str, str], path: str, pattern: str, use: Callable) -> DataFrame:
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in added and c != "_in"]
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), *(f"{c} {t}" for c, t in added.items())])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bit_table import bit_table, may_hold
-from .text_arrays import ALNUM_SPLIT, Words, mix, text_chunks
+from .text_arrays import ALNUM_SPLIT, Words, mix, small_batches, text_chunks, tidy
 
 _U = np.uint64
 
@@ -53,6 +53,7 @@ def _beside(words: Words, at: np.ndarray, first: np.ndarray, step: int, reach: i
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+@tidy
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, window: int, short: list[int], bits: bytes | None) -> Iterator[pa.RecordBatch]:
     """Rows (id, n_words, at, length, need, fp, before, after): the kept grams, and a row with at -1 for each text.
 
@@ -120,6 +121,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     * a text is handled whole in its task, in memory of some 20 times its bytes
     * an empty benchmark hits nothing; other columns are ignored
     """
+    small_batches(docs.sparkSession)
     if not 0 < k < window:
         raise ValueError("k has to be less than the window")
     grams, short = benchmark_grams(benchmark, k, window, item_col, item_text_col)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_arrays import mix, text_chunks
+from .text_arrays import mix, small_batches, text_chunks, tidy
 
 DIMS, GRAM = 1024, 3
 _U = np.uint64
@@ -93,6 +93,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray
     return letters, pair // max(1, len(distinct)), pair % max(1, len(distinct)), count, has
 
 
+@tidy
 def _bundle(batches: Iterator[pa.RecordBatch], gram: int, dims: int) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -114,6 +115,7 @@ def _bundle(batches: Iterator[pa.RecordBatch], gram: int, dims: int) -> Iterator
 
 def train_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", gram: int = GRAM, dims: int = DIMS) -> dict[str, list[int]]:
     """Prototype of each non-null language of ``docs``; bounded by languages x dims."""
+    small_batches(docs.sparkSession)
     some = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
     parts = some.mapInArrow(lambda it: _bundle(it, gram, dims), "lang string, bundle array<long>")
     sums = parts.select("lang", F.posexplode("bundle").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
@@ -121,6 +123,7 @@ def train_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     return {r.lang: list(r.bundle) for r in sorted(rows, key=lambda r: r.lang)}
 
 
+@tidy
 def _predict(batches: Iterator[pa.RecordBatch], model: dict[str, list[int]], gram: int, dims: int) -> Iterator[pa.RecordBatch]:
     names = list(model)
     protos = np.array([model[x] for x in names], np.float64).reshape(len(names), dims)
@@ -156,6 +159,7 @@ def identify_language(docs: DataFrame, model: dict[str, list[int]], text_col: st
     whole in its task. A column that is already named lang_pred, score or _text is
     replaced.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_text")]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "lang_pred string", "score double"])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .bit_table import bit_table, may_hold
 from .components import connected_components
 from .scratch import Scratch
-from .text_arrays import SPACE_SPLIT, Words, mix, text_chunks
+from .text_arrays import SPACE_SPLIT, Words, mix, small_batches, text_chunks, tidy
 
 REGISTERS, MANTISSA, ROWS = 256, 10, 8
 #: From so many shingles on, the fixed bands hold four each; what has fewer is banded by size.
@@ -75,6 +75,7 @@ def registers(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@tidy
 def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -110,6 +111,7 @@ def _begins(bands: int) -> np.ndarray:
     return -(-np.arange(bands) * REGISTERS // bands)
 
 
+@tidy
 def _bands(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     bounds = size_classes(LARGE * 2, percent)
     salt = mix(np.arange(1, REGISTERS + 1, dtype=_U) << _U(20))
@@ -157,6 +159,7 @@ def may_link(percent: int, a: str = "a", b: str = "b") -> Column:
     )
 
 
+@tidy
 def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) that ``may_link``, out of rows sorted by band and pair of blocks.
 
@@ -256,6 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * other columns of ``docs`` are ignored; an empty table gives an empty result
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "neardup")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = texts.schema["_id"].dataType.simpleString()
@@ -312,6 +316,7 @@ def _maybe(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.Record
         yield batch.select([1, 2]).filter(pa.array(may_hold(bits, batch.column(0).to_numpy().view(_U))))
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Sets under the digest of ``_signatures``; one of each digest in a batch."""
     for batch in batches:

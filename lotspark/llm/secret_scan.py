@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .text_arrays import small_batches, tidy
 
 SCOPE = 400
 _F = re.IGNORECASE | re.ASCII
@@ -99,6 +100,7 @@ def find_parts(text: str) -> list[tuple[str, str, bool, int, int]]:
     return out
 
 
+@tidy
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -122,6 +124,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document whose spans are united, each once; a weak part of a document without an
     id is never linked; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "secrets")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()

@@ -7,12 +7,17 @@ of the bytes alone, so every executor computes the same ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+#: Rows that go to Python at once. Both sides hold a batch outside of Spark's memory, and texts are large rows.
+BATCH_ROWS = 2000
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _FACTOR = _U(0x9E3779B97F4A7C15)
@@ -44,6 +49,27 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows in this session, unless the caller has set a number of their own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def tidy(task: Callable) -> Callable:
+    """A function over batches that returns freed memory to the system at its end, as later stages use the same worker."""
+
+    @wraps(task)
+    def run(*args, **kwargs):
+        yield from task(*args, **kwargs)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps it
+            pass
+
+    return run
+
+
 def text_chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, UTF-8 bytes, offsets) of whole rows, about ``limit`` bytes at a time; null texts are empty."""
     column = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()), "")
