@@ -136,9 +136,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     order = W.partitionBy("_id").orderBy("low", "high")
     reach = F.coalesce(F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     fresh = F.when(F.col("low") >= 0, F.greatest(F.lit(0), F.col("high") - F.greatest(F.col("low"), reach))).otherwise(0)
-    counted = hits.select("_id", "n_words", fresh.alias("fresh"), F.lit(None).cast("string").alias("item"))
-    of = hits.where("low >= 0").select("_id", "place").distinct().join(items, "place").select("_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("fresh"), "item").distinct()
-    per = counted.unionByName(of).groupBy("_id").agg(F.max("n_words").alias("n_words"), F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("of"))
+    # the places of a document are no more than its words; a document without any keeps its row
+    counted = hits.withColumn("fresh", fresh).groupBy("_id").agg(F.max("n_words").alias("n_words"), F.sum("fresh").alias("n_hit"), F.collect_set("place").alias("places"))
+    placed = counted.select("_id", "n_words", "n_hit", F.explode_outer("places").alias("place")).join(items, "place", "left")
+    per = placed.groupBy("_id").agg(F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("of"))
     return per.select(
         F.col("_id").alias(id_col), "n_words", F.col("n_hit").cast("long"), F.size("of").cast("long").alias("n_items"),
         F.array_join("of", ",").alias("items"), (F.col("n_hit") > 0).alias("contaminated"),
