@@ -22,17 +22,22 @@ def same_building(targets: DataFrame, cases: DataFrame, area_tol: float = 6.0, p
     rate and sale_price. Area and appraisal within the tolerances, equal brackets,
     day within the three years up to the target's. Nulls match nothing.
     """
-    bucket = lambda c: F.floor(c / area_tol)
-    t = targets.select(F.col("key").alias("target"), "building", "bracket", F.col("area").alias("t_area"), F.col("appraisal").alias("t_appraisal"), F.col("day").alias("t_day"), F.explode(F.sequence(bucket(F.col("area")) - 1, bucket(F.col("area")) + 1)).alias("cell"))
-    c = cases.where("sale_price > 0 and appraisal is not null and rate is not null").select(F.col("key").alias("case"), "building", "bracket", "area", "appraisal", "day", "rate", "sale_price", bucket(F.col("area")).alias("cell"))
-    near = (F.abs(F.col("area") - F.col("t_area")) <= area_tol) & (F.abs(F.col("appraisal") - F.col("t_appraisal")) <= price_tol) & F.col("day").between(F.add_months("t_day", -12 * YEARS), F.col("t_day")) & (F.col("case") != F.col("target"))
-    return t.join(c, ["building", "bracket", "cell"]).where(near).select("target", "case", "rate", "sale_price")
+    bucket, step = (lambda c: F.floor(c / area_tol)), (lambda c: F.floor(c / price_tol))
+    around = lambda c: F.sequence(c - 1, c + 1)
+    # a building's name is compared once its hash, floors, area and price fit
+    t = targets.dropDuplicates(["key"]).select(F.col("key").alias("target"), F.xxhash64("building").alias("hash"), F.col("building").alias("t_building"), "bracket", F.col("area").alias("t_area"), F.col("appraisal").alias("t_appraisal"), F.col("day").alias("t_day"), F.explode(around(bucket(F.col("area")))).alias("cell")).withColumn("step", F.explode(around(step(F.col("t_appraisal")))))
+    c = cases.where("sale_price > 0 and appraisal is not null and rate is not null").dropDuplicates(["key"]).select(F.col("key").alias("case"), F.xxhash64("building").alias("hash"), "building", "bracket", "area", "appraisal", "day", "rate", "sale_price", bucket(F.col("area")).alias("cell"), step(F.col("appraisal")).alias("step"))
+    near = (F.col("building") == F.col("t_building")) & (F.abs(F.col("area") - F.col("t_area")) <= area_tol) & (F.abs(F.col("appraisal") - F.col("t_appraisal")) <= price_tol) & F.col("day").between(F.add_months("t_day", -12 * YEARS), F.col("t_day")) & (F.col("case") != F.col("target"))
+    return t.join(c, ["hash", "bracket", "cell", "step"]).where(near).select("target", "case", "rate", "sale_price")
 
 
 def within_radius(targets: DataFrame, cases: DataFrame, radius_m: float = 1000.0, area_tol: float = 6.0, price_tol: int = 15_000_000, floor_tol: int = 1) -> DataFrame:
     """Pairs as of ``same_building``, but within a radius and by floors; both also: lat, lng, floor."""
-    c = cases.where("sale_price > 0 and appraisal is not null and rate is not null")
-    pairs = near_pairs(targets, c, radius_m)
+    c = cases.where("sale_price > 0 and appraisal is not null and rate is not null").dropDuplicates(["key"])
+    # within a cell only lots of like area meet
+    cell = lambda x: F.floor(x / area_tol)
+    t = targets.dropDuplicates(["key"]).withColumn("size", F.explode(F.sequence(cell(F.col("area")) - 1, cell(F.col("area")) + 1)))
+    pairs = near_pairs(t, c.withColumn("size", cell(F.col("area"))), radius_m, also=["size"])
     a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
     near = (F.abs(b("area") - a("area")) <= area_tol) & (F.abs(b("appraisal") - a("appraisal")) <= price_tol) & (F.abs(b("floor") - a("floor")) <= floor_tol) & b("day").between(F.add_months(a("day"), -12 * YEARS), a("day")) & (a("key") != b("key"))
     return pairs.where(near).select(a("key").alias("target"), b("key").alias("case"), b("rate").alias("rate"), b("sale_price").alias("sale_price"))
@@ -41,10 +46,10 @@ def within_radius(targets: DataFrame, cases: DataFrame, radius_m: float = 1000.0
 def expected_bid(targets: DataFrame, pairs: DataFrame, keep: Column) -> DataFrame:
     """Per target: available, expected_bid (half-even mean), cases and excluded (pairs that ``keep`` rejects).
 
-    Each case counts once per target. Targets without a case stay, unavailable.
+    ``pairs`` holds a pair once, as the joins above give them out. Targets without a
+    case stay, unavailable.
     """
-    once = pairs.dropDuplicates(["target", "case"])
-    sums = once.groupBy("target").agg(F.count_if(keep).alias("cases"), F.count_if(~keep).alias("excluded"), F.bround(F.avg(F.when(keep, F.col("sale_price"))), 0).cast("long").alias("expected_bid"))
+    sums = pairs.groupBy("target").agg(F.count_if(keep).alias("cases"), F.count_if(~keep).alias("excluded"), F.bround(F.avg(F.when(keep, F.col("sale_price"))), 0).cast("long").alias("expected_bid"))
     return targets.select(F.col("key").alias("target")).join(sums, "target", "left").select("target", F.coalesce(F.col("cases") > 0, F.lit(False)).alias("available"), "expected_bid", F.coalesce("cases", F.lit(0)).alias("cases"), F.coalesce("excluded", F.lit(0)).alias("excluded"))
 
 

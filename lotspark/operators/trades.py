@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,9 +32,13 @@ def same_complex(lots: DataFrame, trades: DataFrame) -> DataFrame:
 
 def similar_trades(lots: DataFrame, trades: DataFrame, share: float = 0.2) -> DataFrame:
     """Per lot: trades of its town within ``share`` of its area."""
-    t = trades.select("sgg", "umd", F.col("area").alias("t_area"))
-    near = F.col("t_area").between(F.col("area") * (1 - share), F.col("area") * (1 + share))
-    n = lots.join(t, ["sgg", "umd"]).where(near).groupBy("lot").agg(F.count("*").alias("similar"))
+    # trades are counted by area first, and meet lots by areas of one magnitude
+    width = math.log((1 + share) / (1 - share))
+    size = lambda c: F.floor(F.ln(c) / width)
+    t = trades.where("area > 0").groupBy("sgg", "umd", F.col("area").alias("t_area")).agg(F.count("*").alias("n")).withColumn("size", size(F.col("t_area")))
+    low, high = F.col("area") * (1 - share), F.col("area") * (1 + share)
+    asked = lots.where("area > 0").select("lot", "sgg", "umd", low.alias("low"), high.alias("high")).withColumn("size", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))))
+    n = asked.join(t, ["sgg", "umd", "size"]).where("t_area between low and high").groupBy("lot").agg(F.sum("n").alias("similar"))
     return lots.select("lot").join(n, "lot", "left").select("lot", F.coalesce("similar", F.lit(0)).alias("similar"))
 
 
@@ -61,16 +67,21 @@ def match_complexes(lots: DataFrame, complexes: DataFrame, accept: float = 0.6)
 
     ``lots``: lot, address; ``complexes``: complex_no, name, address. Half a point
     for the region; half for a name within the other, a fifth for four equal first
-    characters. Pairs come from an equi-join on (district, town), not on the
-    district alone, whose tokens are too common. Ties go to the smaller complex_no.
+    characters. Only names and regions decide: lots that agree in both are matched once, with
+    the smallest of the complexes that agree in both. Pairs come from an equi-join on
+    (district, town), not on the district alone, whose tokens are too common. Ties go
+    to the smaller complex_no.
     """
-    region = lambda df: df.withColumn("district", F.explode(S.district_tokens(F.col("address")))).withColumn("town", F.explode(S.town_tokens(F.col("address"))))
-    a = region(lots.select("lot", "address").withColumn("a", S.canonical_name(S.complex_name(F.col("address"))))).where("a <> ''").select("lot", "a", "district", "town")
-    b = region(complexes.select("complex_no", "address", S.canonical_name(F.col("name")).alias("b"))).select("complex_no", "b", "district", "town")
-    pairs = a.join(b, ["district", "town"]).select("lot", "complex_no", "a", "b").distinct()
+    tokens = lambda c: (S.district_tokens(c).alias("districts"), S.town_tokens(c).alias("towns"))
+    region = lambda df: df.withColumn("district", F.explode("districts")).withColumn("town", F.explode("towns")).drop("districts", "towns")
+    named = lots.select("lot", S.canonical_name(S.complex_name(F.col("address"))).alias("a"), *tokens(F.col("address"))).where("a <> ''").withColumn("alike", F.xxhash64("a", "districts", "towns"))
+    a = region(named.select("a", "districts", "towns", "alike").distinct()).withColumnRenamed("alike", "lot")
+    few = complexes.select("complex_no", S.canonical_name(F.col("name")).alias("b"), *tokens(F.col("address"))).groupBy("b", "districts", "towns").agg(F.min("complex_no").alias("complex_no"))
+    pairs = a.join(region(few), ["district", "town"]).select("lot", "complex_no", "a", "b").distinct()
     score = F.when((F.col("b") != "") & (F.expr("contains(a, b)") | F.expr("contains(b, a)")), 1.0).when((F.col("b") != "") & (F.substring("a", 1, 4) == F.substring("b", 1, 4)), 0.7).otherwise(0.5)
     best = pairs.withColumn("score", score).groupBy("lot").agg(F.max_by("complex_no", F.struct("score", -F.col("complex_no"))).alias("complex_no"), F.max("score").alias("score"))
-    return best.where(F.col("score") >= accept)
+    found = best.where(F.col("score") >= accept).withColumnRenamed("lot", "alike")
+    return named.select("lot", "alike").join(found, "alike").select("lot", "complex_no", "score")
 
 
 def match_register(names: DataFrame, register: DataFrame) -> DataFrame:
@@ -96,9 +107,14 @@ def match_register(names: DataFrame, register: DataFrame) -> DataFrame:
 
 def asking_counts(lots: DataFrame, listings: DataFrame, band: float = 3.0) -> DataFrame:
     """lot, asking: listings of the lot's complex within the band of its area; all of them without an area."""
-    l = listings.select("complex_no", F.col("area").alias("l_area"))
-    near = F.col("area").isNull() | F.col("l_area").between(F.bround(F.col("area") - band, 2), F.bround(F.col("area") + band, 2))
-    n = lots.join(l, "complex_no").where(near).groupBy("lot").agg(F.count("*").alias("asking"))
+    # listings are counted by area first, and meet lots by stretches of area
+    cell = lambda c: F.floor(c / (2 * band))
+    l = listings.groupBy("complex_no", F.col("area").alias("l_area")).agg(F.count("*").alias("n"))
+    low, high = F.bround(F.col("area") - band, 2), F.bround(F.col("area") + band, 2)
+    asked = lots.where("area is not null").select("lot", "complex_no", low.alias("low"), high.alias("high")).withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    sized = asked.join(l.withColumn("cell", cell(F.col("l_area"))), ["complex_no", "cell"]).where("l_area between low and high").groupBy("lot").agg(F.sum("n").alias("asking"))
+    whole = lots.where("area is null").select("lot", "complex_no").join(l.groupBy("complex_no").agg(F.sum("n").alias("asking")), "complex_no").select("lot", "asking")
+    n = sized.unionByName(whole)
     return lots.select("lot").join(n, "lot", "left").select("lot", F.coalesce("asking", F.lit(0)).alias("asking"))
 
 

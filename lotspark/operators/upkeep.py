@@ -79,16 +79,45 @@ def still_to_do(targets: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return targets.join(done.select(key), key, "left_anti")
 
 
-def until_covered(targets: DataFrame, job, key: str, rounds: int = 10) -> DataFrame:
-    """Results of ``job`` on what is still open, round after round, until one adds nothing. ``job`` writes what it returns."""
-    done = None
-    for _ in range(rounds):
-        open_ = targets if done is None else still_to_do(targets, done, key)
-        got = job(open_)
-        if not got.limit(1).count():
-            return done if done is not None else got
+NO_DATA_DAYS = 3
+
+
+def until_covered(targets: DataFrame, job, key: str, marks: DataFrame, as_of: Column, days: int = NO_DATA_DAYS) -> DataFrame:
+    """Rows of ``job`` on what is still open, round after round, until one covers nothing new.
+
+    ``job`` writes what it returns: the key, ``found`` and more. Rows without ``found``
+    mark keys that have no data; like the ``marks`` (key, ts) of earlier runs they are
+    left alone for ``days``. Keys that a round returns no row for are tried again.
+    """
+    young = marks.where(F.col("ts") > as_of - F.expr(f"interval {days} days")).select(key)
+    open_, done = still_to_do(targets, young, key), None
+    while True:
+        got = job(open_ if done is None else still_to_do(open_, done, key))
         done = got if done is None else done.unionByName(got)
-    return done
+        if not got.where("found").limit(1).count():
+            return done
+
+
+def refresh_points(points: DataFrame, **feeds: DataFrame) -> DataFrame:
+    """Map points (source, item_key, ...) with the values of their feed's rows (item_key, ...), where it still has one.
+
+    A value that the feed has lost is lost here too; positions stay as they are.
+    """
+    cols = [c for c in next(iter(feeds.values())).columns if c != "item_key"]
+    now = two_feeds(*feeds.items()).select("source", "item_key", F.struct(*cols).alias("now"))
+    value = lambda c: F.when(F.col("now").isNotNull(), F.col(f"now.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+    return points.join(now, ["source", "item_key"], "left").select(*(value(c) for c in points.columns))
+
+
+def without_zone(lots: DataFrame, points: DataFrame, source: str) -> DataFrame:
+    """Lots (item_key, zone) whose zone isn't known, with their position."""
+    at = points.where((F.col("source") == source) & F.col("lat").isNotNull()).select("item_key", "lat", "lng")
+    return lots.where("zone is null").select("item_key").join(at, "item_key")
+
+
+def matched_unsynced(matches: DataFrame, lots: DataFrame) -> DataFrame:
+    """Lots (item_key, address, synced_at) that are matched with a complex but weren't collected yet."""
+    return lots.where("synced_at is null").select("item_key", "address").join(matches.where("status = 'matched'").select("item_key"), "item_key")
 
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -8,7 +8,13 @@ from pyspark.sql import Window as W
 
 from ..functions import scalar as S
 
-GENERIC = ("suv", "rv", "승용", "승용차", "승용자동차", "승합", "승합차", "화물", "화물차", "특수", "자동차", "중기", "건설기계", "세단", "버스", "트럭", "economy")
+#: Class words, which name no model; in lower case.
+GENERIC = (
+    "suv", "rv", "승용", "승용차", "승용자동차", "승합", "승합차", "승합자동차",
+    "화물", "화물차", "화물자동차", "특수", "특수자동차", "자동차", "중기", "건설기계",
+    "세단", "해치백", "쿠페", "왜건", "밴", "경형", "소형", "중형", "대형",
+    "지게차", "굴삭기", "트럭", "버스", "덤프", "탱크로리",
+)
 
 
 def purchase_grade(v: DataFrame, year: Column, tolerance: int = 9999, worst_count: int = 5, worst_damage: int = 6_000_000) -> DataFrame:
@@ -50,15 +56,20 @@ def match_ads(targets: DataFrame, ads: DataFrame, cheapest: int = 300, kept: int
     """
     t = targets.where(~F.forall("terms", lambda x: F.lower(x).isin(*GENERIC))).withColumn("word", F.explode(F.transform(F.array_distinct("terms"), F.lower)))
     words = F.array_distinct(F.split(F.lower("text"), "[^0-9a-z가-힣]+"))
-    a = ads.select("ad", "text", F.col("year").alias("a_year"), F.col("fuel").alias("a_fuel"), F.col("mileage").alias("a_km"), "price", F.explode(words).alias("word"))
-    near = F.col("a_year").between(F.col("year") - 1, F.col("year") + 1) & F.col("a_km").between(F.greatest(F.lit(0), F.col("mileage") - km), F.col("mileage") + km)
-    pairs = t.join(a, "word").where(near).select("id", "fuel", "litre", "ad", "text", "a_fuel", "price").distinct()
+    low, high = F.greatest(F.lit(0), F.col("mileage") - km), F.col("mileage") + km
+    # a target stands in its three years and in the one or two stretches of mileage that its range touches
+    stretch = lambda x: F.floor(x / (2 * km))
+    t = t.select("id", "fuel", "litre", "word", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("year"))
+    t = t.withColumn("stretch", F.explode(F.sequence(stretch(F.col("low")), stretch(F.col("high")))))
+    a = ads.select("ad", S.litres(F.col("text")).alias("sizes"), F.col("fuel").alias("a_fuel"), F.col("mileage").alias("a_km"), "price", "year", stretch(F.col("mileage")).alias("stretch"), F.explode(words).alias("word"))
+    pairs = t.join(a, ["word", "year", "stretch"]).where("a_km between low and high").select("id", "fuel", "litre", "ad", "sizes", "a_fuel", "price")
+    # dealt by id once, for what follows too
+    pairs = pairs.repartition("id").dropDuplicates(["id", "ad"])
     own = W.partitionBy("id")
     pairs = pairs.withColumn("same", F.coalesce(F.col("fuel") == F.col("a_fuel"), F.lit(False))).withColumn("strict", F.max(F.col("same").cast("int")).over(own)).where("same or strict = 0")
     cheap = own.orderBy(F.col("price").asc_nulls_last(), "ad")
     first = pairs.withColumn("n", F.row_number().over(cheap)).where(F.col("n") <= cheapest)
-    sizes = S.litres(F.col("text"))
-    fits = F.col("litre").isNull() | (F.size(sizes) == 0) | F.exists(sizes, lambda x: F.abs(x - F.col("litre")) <= litre_tol + 1e-9)
+    fits = F.col("litre").isNull() | (F.size("sizes") == 0) | F.exists("sizes", lambda x: F.abs(x - F.col("litre")) <= litre_tol + 1e-9)
     last = first.where(fits).withColumn("n", F.row_number().over(cheap)).where(F.col("n") <= kept)
     return last.groupBy("id").agg(F.count("*").alias("ads"), F.bround(F.avg(F.nullif("price", F.lit(0))), 0).cast("long").alias("mean_price"), (F.max("fuel").isNotNull() & (F.max("strict") == 0)).alias("relaxed"))
 
@@ -69,7 +80,13 @@ def best_reviews(targets: DataFrame, reviews: DataFrame, others: int = 5) -> Dat
     ``targets``: id, word, year, fuel; ``reviews``: review, word, year, fuel, model.
     """
     r = reviews.select("review", "word", F.col("year").alias("r_year"), F.col("fuel").alias("r_fuel"), F.length("model").alias("n"))
+    # alike reviews keep their order for every vehicle, and alike vehicles get the same reviews
+    alike = W.partitionBy("word", "r_year", "r_fuel").orderBy(F.col("n").desc(), "review")
+    r = r.withColumn("alike", F.row_number().over(alike)).where(F.col("alike") <= others + 1).drop("alike")
+    kinds = targets.select("word", "year", "fuel").distinct().withColumn("id", F.struct("word", "year", "fuel"))
     gap = F.coalesce(F.abs(F.col("year") - F.col("r_year")), F.lit(99))
     order = W.partitionBy("id").orderBy(gap, F.when(F.col("fuel") == F.col("r_fuel"), 0).otherwise(1), F.col("n").desc(), "review")
-    ranked = targets.join(r, "word").withColumn("place", F.row_number().over(order)).where(F.col("place") <= others + 1)
-    return ranked.groupBy("id").agg(F.max(F.when(F.col("place") == 1, F.col("review"))).alias("review"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") > 1, F.struct("place", "review")))), lambda s: s["review"].cast("string")), ",").alias("others"))
+    ranked = kinds.join(r, "word").withColumn("place", F.row_number().over(order)).where(F.col("place") <= others + 1)
+    best = ranked.groupBy("id").agg(F.max(F.when(F.col("place") == 1, F.col("review"))).alias("review"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") > 1, F.struct("place", "review")))), lambda s: s["review"].cast("string")), ",").alias("others"))
+    own = lambda c: F.col(f"t.{c}").eqNullSafe(F.col(f"b.id.{c}"))
+    return targets.alias("t").join(best.alias("b"), own("word") & own("year") & own("fuel")).select("t.id", "review", "others")

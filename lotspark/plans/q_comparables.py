@@ -59,7 +59,7 @@ m as (select *, case when floor <= 6 then 0 when floor >= 7 then 1 end as bracke
 
 def j5_radius(spark, d):
     """Expected bid of live lots from sales within a kilometre."""
-    it = table(spark, d, "items").where("seq % 3 = 0")  # the villas among the lots
+    it = table(spark, d, "items")
     n = it.select(c("item_key").alias("key"), "lat", "lng", S.exclusive_area(c("area_text"), c("building_area")).alias("area"), c("appraisal_price").alias("appraisal"), S.floor_no(c("address")).alias("floor"), c("sell_day").alias("day"), S.sale_rate(c("sale_rate")).alias("rate"), "sale_price", "status")
     t, k = n.where("status <> 'F'"), n.where("status = 'F'")
     return comparables.expected_bid(t, comparables.within_radius(t, k), c("rate") < 100)
@@ -81,13 +81,13 @@ def r5_vehicle_grade(spark, d):
 
 def j11_ads(spark, d):
     v = table(spark, d, "vehicles")
-    t = v.where("live and id % 5 = 0").select("id", F.array(F.replace("maker", F.lit("#"), F.lit(""))).alias("terms"), c("model_year").alias("year"), vehicles.fuel_group(c("fuel")).alias("fuel"), "mileage", F.when(c("id") % 2 == 0, 2.2).alias("litre"))
+    t = v.where("live").select("id", F.array(F.replace("maker", F.lit("#"), F.lit(""))).alias("terms"), c("model_year").alias("year"), vehicles.fuel_group(c("fuel")).alias("fuel"), "mileage", F.when(c("id") % 2 == 0, 2.2).alias("litre"))
     a = v.where("not live").select(c("id").alias("ad"), F.concat(F.lit("new "), F.replace("maker", F.lit("#"), F.lit("")), F.when(c("id") % 3 == 0, " 2.2 4wd").when(c("id") % 3 == 1, " 3.0").otherwise("")).alias("text"), c("model_year").alias("year"), vehicles.fuel_group(c("fuel")).alias("fuel"), "mileage", "price")
     return vehicles.match_ads(t, a, km=2000)
 
 
 J11 = oracle("""with f as (select *, case when contains(fuel, '하이브리드') then 'hybrid' when fuel = '경유' then 'diesel' else 'petrol' end as g, split_part(maker, '#', 2) as no from vehicles),
-t as (select id, no, model_year as year, g, mileage, case when id % 2 = 0 then 2.2 end as litre from f where live and id % 5 = 0),
+t as (select id, no, model_year as year, g, mileage, case when id % 2 = 0 then 2.2 end as litre from f where live),
 a as (select id as ad, no, model_year as year, g, mileage, price, case when id % 3 = 0 then 2.2 when id % 3 = 1 then 3.0 end as size from f where not live),
 p0 as (select distinct t.id, t.g, litre, a.ad, size, a.g as ag, price from t join a on t.no = a.no and a.year between t.year - 1 and t.year + 1 and a.mileage between greatest(0, t.mileage - 2000) and t.mileage + 2000),
 p1 as (select *, max(case when g = ag then 1 else 0 end) over (partition by id) as strict from p0),
@@ -96,17 +96,44 @@ p3 as (select *, row_number() over (partition by id order by price, ad) as k fro
 select id, count(*) as ads, round_even(avg(nullif(price, 0)), 0)::bigint as mean_price, max(strict) = 0 as relaxed from p3 where k <= 60 group by id""")
 
 
+CLASS_NAMES = ["SUV", "승용자동차", "해치백", "지게차", "중형", "Sorento"]
+
+
+def f7_generic(spark, d):
+    """Vehicles of which only a class word is known match no ad, though ads name it."""
+    v = table(spark, d, "vehicles")
+    name = F.array(*map(F.lit, CLASS_NAMES))[(c("id") % len(CLASS_NAMES)).cast("int")]
+    t = v.where("live").select("id", F.array(name).alias("terms"), c("model_year").alias("year"), vehicles.fuel_group(c("fuel")).alias("fuel"), "mileage", F.lit(None).cast("double").alias("litre"))
+    return vehicles.match_ads(t, v.where("not live").select(c("id").alias("ad"), name.alias("text"), c("model_year").alias("year"), vehicles.fuel_group(c("fuel")).alias("fuel"), "mileage", "price"), km=200).select("id", "ads")
+
+
+F7 = oracle("""with f as (select id, live, model_year as year, mileage, case when contains(fuel, '하이브리드') then 'hybrid' when fuel = '경유' then 'diesel' else 'petrol' end as g from vehicles where id % 6 = 5),
+p as (select a.id, b.id as ad, (a.g = b.g)::int as same from f a join f b on a.live and not b.live and b.year between a.year - 1 and a.year + 1 and b.mileage between a.mileage - 200 and a.mileage + 200),
+q as (select *, max(same) over (partition by id) as strict from p)
+select id, least(count(distinct ad), 60)::bigint as ads from q where same = 1 or strict = 0 group by id""")
+
+
+def p20_body(spark, d):
+    """Body types of model names by the whole list."""
+    names = ["싼타페 TM", "Santa Fe", "쏘나타", "Arteon X1", "Q50 Q5", "아테온", "suv", "Model Y", "320d", "Range Rover Evoque", "K5", "모델 X", "그랜드 체로키", ""]
+    v = table(spark, d, "vehicles")
+    return v.select("id", S.body_type(F.array(*map(F.lit, names))[(c("id") % len(names)).cast("int")]).alias("body"))
+
+
+P20 = oracle("select id, case when id % 14 in (0, 1, 6, 7, 9, 11, 12) then 'SUV' else '승용자동차' end as body from vehicles")
+
+
 def j12_reviews(spark, d):
     v = table(spark, d, "vehicles")
-    t = v.where("live and id % 5 = 0").select("id", c("maker").alias("word"), c("model_year").alias("year"), c("fuel"))
+    t = v.where("live").select("id", c("maker").alias("word"), c("model_year").alias("year"), c("fuel"))
     r = table(spark, d, "part").select(c("p_partkey").alias("review"), c("p_brand").alias("word"), F.when(c("p_partkey") % 7 != 0, 2000 + c("p_size") % 22).alias("year"), F.when(c("p_partkey") % 3 == 0, "가솔린").otherwise("경유").alias("fuel"), c("p_name").alias("model"))
     return vehicles.best_reviews(t, r)
 
 
-J12 = oracle("""with t as (select id, maker, model_year as year, fuel from vehicles where live and id % 5 = 0),
+J12 = oracle("""with t as (select row_number() over () as n_t, id, maker, model_year as year, fuel from vehicles where live),
 r as (select p_partkey as review, p_brand as maker, case when p_partkey % 7 <> 0 then 2000 + p_size % 22 end as year, case when p_partkey % 3 = 0 then '가솔린' else '경유' end as fuel, length(p_name) as n from part),
-k as (select id, review, row_number() over (partition by id order by coalesce(abs(t.year - r.year), 99), case when t.fuel = r.fuel then 0 else 1 end, n desc, review) as place from t join r using (maker))
-select id, max(review) filter (place = 1) as review, coalesce(string_agg(review::varchar, ',' order by place) filter (place > 1), '') as others from k where place <= 6 group by id""")
+k as (select n_t, id, review, row_number() over (partition by n_t order by coalesce(abs(t.year - r.year), 99), case when t.fuel = r.fuel then 0 else 1 end, n desc, review) as place from t join r using (maker))
+select id, max(review) filter (place = 1) as review, coalesce(string_agg(review::varchar, ',' order by place) filter (place > 1), '') as others from k where place <= 6 group by n_t, id""")
 
 
 def r4_fallback(spark, d):
@@ -153,8 +180,9 @@ s5 as (select kind, item_key, round_even(diff - (loan * 0.5::double / 100 + 3 *
 s6 as (select *, row_number() over (partition by kind order by net desc, item_key) as place from s5 where net >= 30000000)
 select kind, place, item_key, net from s6 where place <= 2""")
 
-QUERIES = {f.__name__: f for f in (j4_same_building, grade_comparables, j5_radius, j6_vehicles, r5_vehicle_grade, j11_ads, j12_reviews, r4_fallback, r6_short_sale, t2_top_profit)}
+QUERIES = {f.__name__: f for f in (f7_generic, p20_body, j4_same_building, grade_comparables, j5_radius, j6_vehicles, r5_vehicle_grade, j11_ads, j12_reviews, r4_fallback, r6_short_sale, t2_top_profit)}
 ORACLES = {
+    "f7_generic": F7, "p20_body": P20,
     "j4_same_building": f"with {_X} select l_orderkey, appraisal, coalesce(cases > 0, false) as available, expected_bid, coalesce(cases, 0) as cases, coalesce(excluded, 0) as excluded from e",
     "grade_comparables": oracle(f"""with {_N},
       p as (select t.item_key, k.rate, k.sale_price from m t join m k on t.building = k.building and t.bracket = k.bracket and abs(t.area - k.area) <= 6 and abs(t.appraisal - k.appraisal) <= 25000000 and k.day between (t.day - interval 36 month)::date and t.day
@@ -162,7 +190,7 @@ ORACLES = {
       e as (select item_key, count(*) filter (rate > 60) as cases, count(*) filter (rate <= 60) as excluded, round_even(avg(sale_price) filter (rate > 60), 0)::bigint as expected from p group by 1),
       g as (select m.item_key, expected, coalesce(cases, 0) as cases, coalesce(excluded, 0) as excluded, greatest(nullif(expected, 0), nullif(min_price, 0)) as base, nullif(est_price, 0) as price from m left join e using (item_key) where status <> 'F')
       select item_key, expected, cases, excluded, base, price - base as profit, case when price is null or base > price then 'ban' when price - base >= 30000000 then 'good' else 'review' end as grade from g where price is null or base is not null"""),
-    "j5_radius": oracle(f"""with {_N.replace("from items)", "from items where seq % 3 = 0)")},
+    "j5_radius": oracle(f"""with {_N},
       p as (select t.item_key, k.rate, k.sale_price from m t join m k on abs(t.area - k.area) <= 6 and abs(t.appraisal - k.appraisal) <= 15000000 and abs(t.floor - k.floor) <= 1 and k.day between (t.day - interval 36 month)::date and t.day
         and 2 * 6371000.0 * asin(least(1.0, sqrt(sin(radians(k.lat - t.lat) / 2) ** 2 + cos(radians(t.lat)) * cos(radians(k.lat)) * sin(radians(k.lng - t.lng) / 2) ** 2))) <= 1000 where t.status <> 'F' and k.status = 'F' and k.sale_price > 0 and k.rate is not null),
       e as (select item_key, count(*) filter (rate < 100) as cases, count(*) filter (rate >= 100) as excluded, round_even(avg(sale_price) filter (rate < 100), 0)::bigint as expected_bid from p group by 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -220,7 +221,7 @@ def f8_open_work(spark, d):
 
 
 def st6_until_covered(spark, d):
-    """Rounds of a job that covers a third of what is open, until a round adds nothing."""
+    """Rounds of a job that covers a quarter of what is open, finds that a twelfth has nothing, and fails for the rest."""
     from ..sources.scratch import saver
 
     save = saver(spark)
@@ -229,9 +230,11 @@ def st6_until_covered(spark, d):
 
     def job(open_):
         turn[0] += 1
-        return save(open_.where(c("user_id") % 4 == turn[0]).withColumn("round", F.lit(turn[0])))
+        found = c("user_id") % 4 == turn[0] - 1
+        return save(open_.where(found | (c("user_id") % 12 == 3)).select("user_id", found.alias("found"), F.lit(turn[0]).alias("round")))
 
-    return upkeep.until_covered(users, job, "user_id")
+    marks = users.where("user_id % 5 = 0").select("user_id", F.when(c("user_id") % 2 == 0, F.lit(dt.datetime(2024, 1, 29))).otherwise(F.lit(dt.datetime(2024, 1, 27))).alias("ts"))
+    return upkeep.until_covered(users, job, "user_id", marks, F.lit(dt.datetime(2024, 1, 31)))
 
 
 def st7_unsent(spark, d):
@@ -263,12 +266,64 @@ def j19_members(spark, d):
 
 
 def j22_specs(spark, d):
-    """Lots with their vehicle, and those that lack one."""
+    """Lots with their vehicle, and those that lack one."""
     it = _items(spark, d).select("item_key", "seq", "usage_name")
     v = table(spark, d, "vehicles").groupBy(F.floor(c("id") / 1000).cast("long").alias("seq")).agg(F.min("model_year").alias("model_year"), F.max("mileage").alias("mileage"))
     return it.where(c("usage_name").contains("승용차")).join(v, "seq", "left").select("item_key", "model_year", "mileage")
 
 
+def j15_points(spark, d):
+    """Map points of two feeds with today's prices; lots that are gone keep what they had."""
+    it, p = _items(spark, d), table(spark, d, "part")
+    old = [F.lit(1).cast("long").alias("min_price"), F.lit("old").alias("grade")]
+    points = it.where("seq % 4 <> 1").select(F.lit("auction").alias("source"), "item_key", "lat", "lng", *old).unionByName(p.select(F.lit("public").alias("source"), c("p_partkey").cast("string").alias("item_key"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), *old))
+    auction = it.where("status <> 'F'").select("item_key", "min_price", F.when(c("seq") % 3 == 0, "good").alias("grade"))
+    public = p.where("p_size > 20").select(c("p_partkey").cast("string").alias("item_key"), c("p_size").cast("long").alias("min_price"), F.lit("new").alias("grade"))
+    return upkeep.refresh_points(points, auction=auction, public=public)
+
+
+def j16_zones(spark, d):
+    it = _items(spark, d)
+    lots = it.select("item_key", F.when(c("seq") % 3 != 0, "주거지역").alias("zone"))
+    points = it.where("seq % 2 = 0").select(F.when(c("seq") % 4 == 0, "gongmae").otherwise("auction").alias("source"), "item_key", F.when(c("seq") % 5 != 0, c("lat")).alias("lat"), "lng")
+    return upkeep.without_zone(lots, points, "gongmae")
+
+
+def j17_unsynced(spark, d):
+    it = _items(spark, d)
+    matches = it.select("item_key", F.when(c("seq") % 3 == 0, "matched").otherwise("none").alias("status"))
+    return upkeep.matched_unsynced(matches, it.select("item_key", "address", F.when(c("seq") % 2 == 0, c("sell_day")).alias("synced_at")))
+
+
+def w12_sections(spark, d):
+    """Numbered lines of an order as an appraisal's items."""
+    li = table(spark, d, "lineitem")
+    line = F.concat(c("l_linenumber") % 4, F.lit(") "), F.repeat(F.lit("x  "), (c("l_quantity") % 7).cast("int")), F.lit(" "), c("l_partkey").cast("string"), F.lit(" "))
+    rows = li.groupBy(c("l_orderkey").alias("lot")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return text.longest_sections(rows, "lot", "text", r"(\d+)\) ([^\n]*)", [1, 2, 3])
+
+
+def io1_typed(spark, d):
+    """Rounds written with more columns than the schema states, read by the schema."""
+    from ..sources.scratch import saver
+
+    path = saver(spark)(table(spark, d, "schedule").select(c("lot").cast("string").alias("lot"), c("id").cast("long").alias("id"), "result", "sale_price", "bid_count", "winner_name", "sell_day")).inputFiles()[0].rsplit("/", 1)[0]
+    return tables.read(spark, "schedule", path)
+
+
+def io8_facets(spark, d):
+    """Nested JSON that replaces an older version, read back."""
+    from ..sources.scratch import shared_dir
+
+    n = table(spark, d, "nation").join(table(spark, d, "region"), c("n_regionkey") == c("r_regionkey"))
+    cities = n.groupBy(c("r_name").alias("name")).agg(F.array_sort(F.collect_list(F.struct(c("n_name").alias("city"), c("n_nationkey").alias("code")))).alias("cities"))
+    path = f"{shared_dir(spark)}/facets-{uuid.uuid4().hex}"
+    tables.write_facets(cities.limit(0), path)
+    tables.write_facets(cities, path)
+    back = spark.read.schema("name string, cities array<struct<city:string,code:long>>").json(path)
+    return back.select("name", F.size("cities").cast("long").alias("n"), F.array_join(F.transform("cities", lambda x: F.concat(x["city"], F.lit(":"), x["code"])), ",").alias("cities"))
+
+
 def w6_first_occurrence(spark, d):
     t = table(spark, d, "trades")
     n = F.row_number().over(W.partitionBy("sgg", "umd", "area").orderBy("trade_id", "amount", "deal_date"))
@@ -323,7 +378,7 @@ def t7_rounds(spark, d):
 
 
 def p30_sections(spark, d):
-    """Lines of a document by the heading above, and the sentence with a word."""
+    """Lines of a document by the heading above, and the sentence with a word."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     heads = ["Released under the MIT License.", "All rights reserved.", "Licensed under the Apache License, Version 2.0."]
     s = docs.select("doc_id", F.explode(text.sections(F.concat(F.lit(heads[1] + "\n"), c("text")), heads)).alias("s"))
@@ -345,7 +400,7 @@ P31 = r"""with f as (select doc_id, regexp_replace(text, '\s+', ' ', 'g') as t f
 
 def io2_trades(spark, d):
     """Landed XML pages of trades, made of line items, parsed back."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    li = table(spark, d, "lineitem")
     day = c("l_shipdate")
     item = F.concat(
         F.lit("<item><dealAmount> "), F.format_number(F.floor("l_extendedprice"), 0), F.lit("</dealAmount><dealYear>"), F.year(day).cast("string"), F.lit("</dealYear><dealMonth>"), F.month(day).cast("string"), F.lit("</dealMonth><dealDay>"),
@@ -383,7 +438,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f1_search, f2_regions, f2_province, f2_case, f3_active, t1_page, t1_page_unknown_last, a6_status_counts, a7_group_counts, a8_region_tree, a9_facets, a10_usages, a21_region_distribution, a20_coverage, s0_favourites, t3_sale_days, s2_stale_points, s4_patterns, j18_untagged,
-        io4_json, io5_lookup, io6_upsert, io7_backfill, io9_months, io10_split, io10_sample, st1_changes, st2_invalidated, st3_latest, st_hourly_counts, st4_snapshot, st5_purge, f8_open_work, st6_until_covered, st7_unsent, w9_ledger, w10_membership, j19_members, j22_specs, w6_first_occurrence, w6b_distinct_points, w11_main_building,
+        io4_json, io5_lookup, io6_upsert, io7_backfill, io9_months, io10_split, io10_sample, st1_changes, st2_invalidated, st3_latest, st_hourly_counts, st4_snapshot, st5_purge, f8_open_work, j15_points, j16_zones, j17_unsynced, w12_sections, io1_typed, io8_facets, st6_until_covered, st7_unsent, w9_ledger, w10_membership, j19_members, j22_specs, w6_first_occurrence, w6b_distinct_points, w11_main_building,
         f6_relevance, x1_duplicate_titles, x1_kept_titles, t6_newest, t7_rounds, p30_sections, p31_waiver, io2_trades, io3_summary, r7_multi_family, r8_debt_demand, r11_brief,
     )
 }
@@ -428,11 +483,19 @@ ORACLES = {
       from o full join n on o.listing = n.listing left join g on o.complex = g.complex""",
     "st5_purge": "select event_id % 3 as run, count(*) as n from events where event_id % 3 = 1 group by 1 union all select event_id % 3, -count(*) from events group by 1",
     "f8_open_work": "select distinct user_id from events where user_id not in (select user_id from events where event_type = 'purchase' and ts > timestamp '2024-01-24')",
-    "st6_until_covered": "select distinct user_id, (user_id % 4)::int as round from events where user_id % 4 <> 0",
+    "st6_until_covered": "select distinct user_id, user_id % 12 <> 3 as found, case when user_id % 12 = 3 then 1 else user_id % 4 + 1 end::int as round from events where user_id % 10 <> 0",
     "st7_unsent": f"select distinct {_SITE} as site from pages where {_SITE} not in (select {_SITE} from pages where page_id % 2 = 0)",
     "w9_ledger": f"with {_E}, a as (select event_id, user_id, (case when event_type = 'purchase' then -k else k % 7 end)::bigint as amount from e) select *, (sum(amount) over w)::bigint as balance, sum(amount) over w < 0 as overdrawn from a window w as (partition by user_id order by event_id)",
     "w10_membership": W10,
     "j19_members": "with p as (select user_id, count(*) as n from events where event_type = 'purchase' group by 1) select c_mktsegment as grade, count(*) as members, count(n) as payers, coalesce(sum(n), 0)::bigint as payments from customer left join p on c_custkey = user_id group by 1",
+    "j15_points": oracle("""select 'auction' as source, item_key, lat, lng, case when status <> 'F' then min_price else 1 end as min_price, case when status = 'F' then 'old' when seq % 3 = 0 then 'good' end as grade from items where seq % 4 <> 1
+      union all select 'public', p_partkey::varchar, null, null, case when p_size > 20 then p_size else 1 end::bigint, case when p_size > 20 then 'new' else 'old' end from part"""),
+    "j16_zones": oracle("select item_key, lat, lng from items where seq % 12 = 0 and seq % 5 <> 0"),
+    "j17_unsynced": oracle("select item_key, address from items where seq % 3 = 0 and seq % 2 = 1"),
+    "w12_sections": """with l as (select l_orderkey as lot, l_linenumber % 4 as item, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as i, trim(rtrim(repeat('x ', (l_quantity % 7)::int)) || ' ' || l_partkey) as body from lineitem)
+      select lot, item::int as "no", arg_max(body, (length(body), -i)) as body from l where item <> 0 and length(body) >= 2 group by lot, item""",
+    "io1_typed": oracle("select lot::varchar as lot, id, result, sale_price, bid_count, null::bigint as sale_2nd_price, winner_name from schedule"),
+    "io8_facets": "select r_name as name, count(*) as n, string_agg(n_name || ':' || n_nationkey, ',' order by n_name) as cities from nation join region on n_regionkey = r_regionkey group by r_name",
     "j22_specs": oracle("with v as (select floor(id / 1000)::bigint as seq, min(model_year) as model_year, max(mileage) as mileage from vehicles group by 1) select item_key, model_year, mileage from items left join v using (seq) where contains(usage_name, '승용차')"),
     "w6_first_occurrence": oracle("select sgg, umd, area, trade_id, amount from (select *, row_number() over (partition by sgg, umd, area order by trade_id, amount, deal_date) as n from trades) where n = 1"),
     "w6b_distinct_points": oracle("select lat, count(*) as n from (select distinct round_even(lat, 2) as lat, round_even(lng, 2) as lng from places) group by lat"),
@@ -441,7 +504,7 @@ ORACLES = {
     "x1_duplicate_titles": X1, "p30_sections": P30, "p31_waiver": P31,
     "t6_newest": "select event_type, place, event_id from (select *, row_number() over (partition by event_type order by ts desc, event_id) as place from events) where place <= 3",
     "t7_rounds": oracle("select lot, row_number() over (partition by lot order by case when id % 4 <> 3 then sell_day end nulls last, id) as place, id from schedule"),
-    "io2_trades": "select l_orderkey as page, floor(l_extendedprice)::bigint * 10000 as amount, l_quantity as area, 't' || l_suppkey as umd, l_partkey::varchar as jibun, 'n' as name, case when l_linenumber <> 7 then l_shipdate::date end as deal_date from lineitem where l_orderkey % 10 = 0",
+    "io2_trades": "select l_orderkey as page, floor(l_extendedprice)::bigint * 10000 as amount, l_quantity as area, 't' || l_suppkey as umd, l_partkey::varchar as jibun, 'n' as name, case when l_linenumber <> 7 then l_shipdate::date end as deal_date from lineitem",
     "io3_summary": "select o_orderkey || '|' || o_custkey || '|' || o_orderkey % 4 as id, floor(o_totalprice)::bigint as min_price, floor(o_totalprice * 1.5)::bigint as appraisal_price, round_even(floor(o_totalprice) * 100.0 / floor(o_totalprice * 1.5), 0)::bigint as bid_ratio, (o_orderkey % 20)::int as floor, (o_orderkey % 900)::varchar as unit, case when o_orderkey % 6 <> 0 then o_orderdate end as bid_close from orders",
     "r7_multi_family": "with p as (select p_partkey as id, case when p_partkey % 5 <> 0 then p_retailprice * 0.6 end as area, p_size as units, p_partkey % 6 as floors from part), k as (select id, area <= 660 as ok_area, case when units > 0 then units <= 19 end as ok_units, case when floors between 1 and 3 then true end as ok_floors from p) select *, case when ok_area = false or ok_units = false then 'fail' when ok_area and ok_units and ok_floors then 'pass' else 'check' end as verdict from k",
     "r8_debt_demand": oracle("""with x as (select seq, appraisal_price as a, coalesce(est_price, 0) + case when seq % 2 = 0 then min_price else 0 end as t, seq % 25 as u, greatest(seq % 11, seq % 7) as o, tags from items), y as (select *, case when a > 0 and t > 0 then round_even(t / a * 100, 0)::bigint end as debt_ratio, case when u > 0 then least(100, round_even(o / u * 100, 0)::bigint) end as share from x)

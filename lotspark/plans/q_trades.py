@@ -44,20 +44,19 @@ def w5_latest_trade(spark, d):
 
 
 def _complexes(spark, d):
-    it = table(spark, d, "items").where("seq % 3 = 0")
+    it = table(spark, d, "items")
     return it.groupBy("custkey").agg(F.min("address").alias("address")).select(c("custkey").alias("complex_no"), S.complex_name(c("address")).alias("name"), "address")
 
 
 def j8_complexes(spark, d):
-    lots = table(spark, d, "items").where("seq % 10 = 1").select(c("seq").alias("lot"), "address")
-    few = _complexes(spark, d).where("complex_no % 20 = 7")
-    return trades.match_complexes(lots, few)
+    lots = table(spark, d, "items").select(c("seq").alias("lot"), "address")
+    return trades.match_complexes(lots, _complexes(spark, d))
 
 
 _NAME = r"""nullif(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(address, '\([^)]*\)', ' ', 'g'), ',', ' ', 'g'), '\s+', ' ', 'g')), '^([가-힣]+(특별자치도|특별자치시|특별시|광역시|도)\s+)?([가-힣]+시\s+)?([가-힣]+군\s+)?([가-힣]+구\s+)?([가-힣]+(읍|면)\s+)?([가-힣]+동\d+가\s+|[가-힣]+(동|리|가)\s+)?([가-힣0-9]+(로|길)\s+)?', ''), '^\s*\d+(-\d+)?(외\s*\d+필지)?\s+', '')), '\s*(제?\s*[0-9가-힣]+동)?\s*(제?\s*[0-9]+층)?\s*(제?\s*[0-9A-Za-z가-힣]*-?[0-9]+호).*$', '')), '\s*(제?\s*[가-힣0-9]*건축물|제\s*\d+동|외\s*\d+필지).*$', '')), '(아파트|아파트단지|단지)$', '')), '')"""
 _CANON = r"replace(replace(replace(replace(lower(regexp_replace({}, '[\s\-_()·,.]', '', 'g')), '이편한세상', 'e편한세상'), '에스케이', 'sk'), '케이비', 'kb'), '엘에이치', 'lh')"
-J8 = oracle(rf"""with l as (select seq as lot, address, {_CANON.format(_NAME)} as a from items where seq % 10 = 1),
-k as (select custkey as complex_no, min(address) as address from items where seq % 3 = 0 and custkey % 20 = 7 group by custkey),
+J8 = oracle(rf"""with l as (select seq as lot, address, {_CANON.format(_NAME)} as a from items),
+k as (select custkey as complex_no, min(address) as address from items group by custkey),
 k2 as (select complex_no, address, {_CANON.format(_NAME)} as b from k),
 lt as (select distinct lot, a, dt, tn from l, unnest(regexp_extract_all(address, '([가-힣]+(?:시|군|구))', 1)) as u(dt), unnest(regexp_extract_all(address, '([가-힣]+(?:읍|면|동|리|가))', 1)) as v(tn) where a <> '' and length(dt) >= 2 and length(tn) >= 2),
 kt as (select distinct complex_no, b, dt, tn from k2, unnest(regexp_extract_all(address, '([가-힣]+(?:시|군|구))', 1)) as u(dt), unnest(regexp_extract_all(address, '([가-힣]+(?:읍|면|동|리|가))', 1)) as v(tn) where length(dt) >= 2 and length(tn) >= 2),
@@ -75,8 +74,8 @@ def j9_register(spark, d):
 
 
 def j10_asking(spark, d):
-    lots = table(spark, d, "lots").select("lot", c("sgg").alias("complex_no"), F.when(c("lot") % 5 != 0, c("area")).alias("area")).where("lot % 4 = 0")
-    listings = table(spark, d, "trades").where("build_no = 1").select(c("sgg").alias("complex_no"), "area")
+    lots = table(spark, d, "lots").select("lot", c("sgg").alias("complex_no"), F.when(c("lot") % 5 != 0, c("area")).alias("area"))
+    listings = table(spark, d, "trades").select(c("sgg").alias("complex_no"), "area")
     return trades.asking_counts(lots, listings, band=0.5)
 
 
@@ -86,8 +85,8 @@ def a13_listing_summary(spark, d):
 
 
 def a15_posted_price(spark, d):
-    lots = table(spark, d, "lots").where("lot % 3 = 0").select("lot", F.when(c("lot") % 2 == 0, c("area")).alias("area"), (c("lot") % 4).alias("floor"))
-    units = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(c("l_orderkey").alias("lot"), F.year("l_shipdate").alias("year"), c("l_quantity").alias("area"), (c("l_partkey") % 4).alias("floor"), F.floor("l_extendedprice").cast("long").alias("price"))
+    lots = table(spark, d, "lots").select("lot", F.when(c("lot") % 2 == 0, c("area")).alias("area"), (c("lot") % 4).alias("floor"))
+    units = table(spark, d, "lineitem").select(c("l_orderkey").alias("lot"), F.year("l_shipdate").alias("year"), c("l_quantity").alias("area"), (c("l_partkey") % 4).alias("floor"), F.floor("l_extendedprice").cast("long").alias("price"))
     return trades.posted_price(lots, units)
 
 
@@ -170,7 +169,7 @@ def j20b_station_pull(spark, d):
 
 def j21_nearest(spark, d):
     p = table(spark, d, "places")
-    return geo.nearest(p.where("kind = 'customer' and households % 3 = 0"), p.where("kind = 'supplier'"), 1500.0, "name").select("id", "name", "nearest", F.round("metres", 4).alias("metres"))
+    return geo.nearest(p.where("kind = 'customer'"), p.where("kind = 'supplier'"), 1500.0, "name").select("id", "name", "nearest", F.round("metres", 4).alias("metres"))
 
 
 def a22_clusters(spark, d):
@@ -178,11 +177,11 @@ def a22_clusters(spark, d):
 
 
 def _paths(spark, d):
-    """Points along the straight way from customers to suppliers of their number."""
+    """Points along the straight way from customers to the supplier of a fifteenth of their number."""
     p = table(spark, d, "places")
     n = F.substring("id", 2, 12).cast("int")
-    cust = p.where("kind = 'customer'").select(n.alias("cn"), "lat", "lng", "households", (n % 20).alias("k"))
-    supp = p.where("kind = 'supplier'").select((n % 20).alias("k"), c("lat").alias("t_lat"), c("lng").alias("t_lng"), n.alias("s")).where("s < 20")
+    cust = p.where("kind = 'customer'").select(n.alias("cn"), "lat", "lng", "households", F.floor(n / 15).alias("k"))
+    supp = p.where("kind = 'supplier'").select(n.cast("long").alias("k"), c("lat").alias("t_lat"), c("lng").alias("t_lng"), n.alias("s"))
     e = cust.join(supp, "k").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9))))
     return e.select((c("lat") + (c("t_lat") - c("lat")) * c("i") / 10).alias("lat"), (c("lng") + (c("t_lng") - c("lng")) * c("i") / 10).alias("lng"), c("households").alias("value"), (c("s") % 4).alias("market"))
 
@@ -197,15 +196,36 @@ def t5_spots(spark, d):
 
 
 def g1_clusters(spark, d):
-    """Clusters of parts and suppliers that share discounted returned lines."""
+    """Clusters of parts and suppliers that share returned lines of the highest discount."""
     from ..sources.scratch import saver
 
-    li = table(spark, d, "lineitem").where("l_discount = 0.1 and l_returnflag = 'R' and l_quantity > 40")
+    li = table(spark, d, "lineitem").where("l_discount = 0.1 and l_returnflag = 'R'")
     e = li.select(c("l_partkey").alias("src"), (c("l_suppkey") + 1_000_000_000).alias("dst"))
     return geo.components(e, saver(spark)).groupBy("component").agg(F.count("*").alias("nodes"), F.count_if(c("node") < 1_000_000_000).alias("parts"))
 
 
-G1 = """with recursive e as (select distinct l_partkey as a, l_suppkey + 1000000000 as b from lineitem where l_discount = 0.1 and l_returnflag = 'R' and l_quantity > 40),
+def g1_trade_area(spark, d):
+    """Customers as lots, suppliers as shop parcels; parcels adjoin within 450 m."""
+    from ..sources.scratch import saver
+
+    p = table(spark, d, "places")
+    n = F.substring("id", 2, 12).cast("long")
+    lots, parcels = p.where("kind = 'customer'").select(n.alias("id"), "lat", "lng"), p.where("kind = 'supplier'").select(n.alias("parcel"), "lat", "lng")
+    edges = geo.near_pairs(parcels, parcels, 450.0).where("a.parcel < b.parcel").select(c("a.parcel").alias("src"), c("b.parcel").alias("dst"))
+    return geo.trade_area(lots, parcels, edges, saver(spark), reach_m=2500.0, bridge_m=400.0, core_m=1200.0)
+
+
+_M2 = "2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))"
+G1_AREA = f"""with recursive s as materialized (select substr(id, 2)::bigint as n, lat, lng from places where kind = 'supplier'),
+e as (select a.n as a, b.n as b from s a join s b on a.n <> b.n and {_M2} <= 450),
+r(node, label) as (select n, n from s union select e.b, r.label from r join e on r.node = e.a where r.label < e.b),
+k as (select node, min(label) as component from r group by node),
+m as (select substr(a.id, 2)::bigint as id, component, min({_M2}) as metres, count(*) as parcels, count(*) filter ({_M2} <= 1200) as core from places a join s b on a.kind = 'customer' and {_M2} <= 2500 join k on k.node = b.n group by 1, 2),
+o as (select *, row_number() over (partition by id order by metres > 400, case when metres <= 400 then metres else -parcels end, component) as place from m)
+select substr(p.id, 2)::bigint as id, component, coalesce(parcels, 0) as parcels, coalesce(core, 0) as core_parcels from places p left join o on o.id = substr(p.id, 2)::bigint and place = 1 where p.kind = 'customer'"""
+
+
+G1 = """with recursive e as (select distinct l_partkey as a, l_suppkey + 1000000000 as b from lineitem where l_discount = 0.1 and l_returnflag = 'R'),
 s as (select a, b from e union select b, a from e),
 r(node, label) as (select distinct a, a from s union select s.b, r.label from r join s on r.node = s.a where r.label < s.b)
 select component, count(*) as nodes, count(*) filter (node < 1000000000) as parts from (select node, min(label) as component from r group by node) group by component"""
@@ -232,9 +252,10 @@ def g3_plots(spark, d):
     return geo.nearest(plots, p.where("kind = 'supplier'"), 1500.0, "kind").select("id", "nearest", F.round("metres", 4).alias("metres"))
 
 
-QUERIES = {f.__name__: f for f in (j7_same_complex, j7b_similar, a11_chips, a12_most_frequent, w5_latest_trade, j8_complexes, j9_register, j10_asking, a13_listing_summary, a15_posted_price, j1_winners, j1b_first_winners, j13_districts, j14_towns, j20_shop_demand, r9_shop_kinds, r10_rents_and_warnings, j20b_station_pull, j21_nearest, a22_clusters, a18_flow_grid, t5_spots, g1_clusters, a17_majority, g2_parcels, g3_plots)}
+QUERIES = {f.__name__: f for f in (g1_trade_area, j7_same_complex, j7b_similar, a11_chips, a12_most_frequent, w5_latest_trade, j8_complexes, j9_register, j10_asking, a13_listing_summary, a15_posted_price, j1_winners, j1b_first_winners, j13_districts, j14_towns, j20_shop_demand, r9_shop_kinds, r10_rents_and_warnings, j20b_station_pull, j21_nearest, a22_clusters, a18_flow_grid, t5_spots, g1_clusters, a17_majority, g2_parcels, g3_plots)}
 _SHOPS = ", ".join(f"({t}, '{k}', {str(s).lower()})" for t, k, s in grading.SHOPS)
 ORACLES = {
+    "g1_trade_area": oracle(G1_AREA.replace("with recursive ", "with ")).replace("with ", "with recursive ", 1),
     "j7_same_complex": oracle(f"with {_M} select lot, count(*) as trades, sum(amount)::bigint as amount from m group by lot"),
     "j7b_similar": oracle("select lot, count(t.amount) as similar from lots l left join trades t on l.sgg = t.sgg and l.umd = t.umd and t.area between l.area * (1 - 0.2::double) and l.area * (1 + 0.2::double) group by lot"),
     "a11_chips": oracle(f"""with {_M}, f as (select *, row_number() over (partition by lot order by deal_date desc, trade_id desc, amount desc) as n from m where area between l_area * (1 - 0.05::double) and l_area * (1 + 0.05::double))
@@ -242,11 +263,11 @@ ORACLES = {
     "a12_most_frequent": oracle("select umd, arg_min(name, (-n, f)) as name, max(n) as n from (select umd, name, count(*) as n, min(trade_id) as f from trades group by 1, 2) group by 1"),
     "w5_latest_trade": oracle("select sgg, umd, amount, deal_date from (select *, row_number() over (partition by sgg, umd order by deal_date desc, trade_id desc, amount desc) as n from trades) where n = 1"),
     "j8_complexes": J8,
-    "j10_asking": oracle("""with l as (select lot, sgg, case when lot % 5 <> 0 then area end as area from lots where lot % 4 = 0), t as (select sgg, area from trades where build_no = 1)
+    "j10_asking": oracle("""with l as (select lot, sgg, case when lot % 5 <> 0 then area end as area from lots), t as (select sgg, area from trades)
       select lot, count(t.sgg) as asking from l left join t on l.sgg = t.sgg and (l.area is null or t.area between round_even(l.area - 0.5::double, 2) and round_even(l.area + 0.5::double, 2)) group by lot"""),
     "a13_listing_summary": oracle("select sgg, count(*) as listings, min(amount) as low, max(amount) as high from trades group by sgg"),
-    "a15_posted_price": oracle("""with l as (select lot, case when lot % 2 = 0 then area end as area, lot % 4 as floor from lots where lot % 3 = 0),
-      u as (select l_orderkey as lot, year(l_shipdate) as year, l_quantity as area, l_partkey % 4 as floor, floor(l_extendedprice)::bigint as price from lineitem where l_orderkey % 3 = 0),
+    "a15_posted_price": oracle("""with l as (select lot, case when lot % 2 = 0 then area end as area, lot % 4 as floor from lots),
+      u as (select l_orderkey as lot, year(l_shipdate) as year, l_quantity as area, l_partkey % 4 as floor, floor(l_extendedprice)::bigint as price from lineitem),
       a as (select u.*, l.area as wa, l.floor as wf from u join l using (lot) qualify u.year = max(u.year) over (partition by lot)),
       b as (select * from (select *, coalesce(abs(area - wa) <= 0.7, true) as fits from a) qualify fits or not bool_or(fits) over (partition by lot)),
       d as (select * from b qualify floor = wf or not bool_or(floor = wf) over (partition by lot))
@@ -261,9 +282,9 @@ ORACLES = {
         case when n * 37 % 400 <= 50 then 'absolute' when n * 37 % 400 <= 200 then 'relative' else 'none' end as zone,
         concat_ws(',', case when n % 3 = 0 and n % 2 = 0 then 'amusement' end, case when fl = 1 and base < 700 then 'ground_floor' end, case when pct >= 25 then 'rentals' end, case when base < 2500 then 'no_centre' end) as warnings from x"""),
     "j20b_station_pull": oracle(f"with n as (select a.id, count(b.id) as shops from places a left join places b on b.kind = 'customer' and {_D} <= 250 where a.kind = 'supplier' group by a.id) select id, shops, case when shops >= 6 then 'high' when shops >= 3 then 'mid' else 'low' end as pull, case when shops >= 6 then 1.0 when shops >= 3 then 0.6 else 0.3 end::double as weight from n"),
-    "j21_nearest": oracle(f"with p as (select a.id, b.name, b.id as nearest, {_D} as metres from places a join places b on a.kind = 'customer' and a.households % 3 = 0 and b.kind = 'supplier' and {_D} <= 1500) select id, name, nearest, round(metres, 4) as metres from (select *, row_number() over (partition by id, name order by metres, nearest) as n from p) where n = 1"),
+    "j21_nearest": oracle(f"with p as (select a.id, b.name, b.id as nearest, {_D} as metres from places a join places b on a.kind = 'customer' and b.kind = 'supplier' and {_D} <= 1500) select id, name, nearest, round(metres, 4) as metres from (select *, row_number() over (partition by id, name order by metres, nearest) as n from p) where n = 1"),
     "a22_clusters": oracle("select floor(lat / 0.02)::bigint as cy, floor(lng / 0.02)::bigint as cx, count(*) as points, count(*) filter (kind = 'customer') as customers, count(*) filter (kind = 'supplier') as suppliers, round(avg(lat), 8) as lat, round(avg(lng), 8) as lng from places group by 1, 2"),
-    "a18_flow_grid": oracle("""with u as (select *, substr(id, 2)::int as n from places), p as (select a.lat + (b.lat - a.lat) * i / 10 as lat, a.lng + (b.lng - a.lng) * i / 10 as lng, a.households from u a join u b on a.kind = 'customer' and b.kind = 'supplier' and b.n < 20 and a.n % 20 = b.n % 20, range(0, 10) r(i))
+    "a18_flow_grid": oracle("""with u as (select *, substr(id, 2)::int as n from places), p as (select a.lat + (b.lat - a.lat) * i / 10 as lat, a.lng + (b.lng - a.lng) * i / 10 as lng, a.households from u a join u b on a.kind = 'customer' and b.kind = 'supplier' and a.n // 15 = b.n, range(0, 10) r(i))
       select round_even(lng / 0.01::double, 0)::bigint as cx, round_even(lat / 0.01::double, 0)::bigint as cy, sum(households)::bigint as flow from p group by 1, 2"""),
     "a17_majority": oracle("""with g as (select custkey as parcel, count(*) as rows, count(*) filter (seq % 5 >= 2 and regexp_matches(usage_name, '주택|아파트|빌라')) as homes from items group by custkey) select *, homes > rows - homes as is_home from g"""),
     "g2_parcels": """with f as (select p_partkey as k, p_retailprice * 7 as area, nullif(regexp_extract('12-' || p_partkey % 90 || ['대', '전 ', '도', '임(산)', '공장용지', ''][p_partkey % 6 + 1], '([가-힣])[^가-힣]*$', 1), '') as z from part)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,10 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder may stand in only where all of Spark is one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="lotspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
 def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """A function that writes a table under ``spark.checkpoint.dir`` and returns it as read back."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lotspark-")
-    root = f"{shared.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
     done: list[str] = []
 
     def save(df: DataFrame) -> DataFrame:

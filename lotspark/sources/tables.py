@@ -62,17 +62,17 @@ def lookup(rows: DataFrame, cache: DataFrame, key: str, prefix: str) -> DataFram
 
 
 def write_facets(df: DataFrame, path: str) -> None:
-    """Nested rows as JSON files."""
-    df.write.mode("overwrite").json(path)
+    """Nested rows as JSON files that replace the older ones at once."""
+    replace(df, path, "json")
 
 
-def replace(df: DataFrame, path: str) -> None:
+def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Write beside the table, then swap: readers never see half a table, and ``df`` may read ``path``."""
     spark = df.sparkSession
     jvm = spark._jvm
     fresh, old, now = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", f"{path}.old", path))
     fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(f"{path}.new")
+    df.write.mode("overwrite").format(kind).save(f"{path}.new")
     fs.delete(old, True)
     if fs.exists(now):
         fs.rename(now, old)
