@@ -1,7 +1,7 @@
 """Distribution of a sale price among small tenants, dated claims and general claims.
 
 Amounts are whole won; products are decimals, as they pass 64 bits. Every step is
-a window over a lot's claims or a join by lot, so lots spread freely over tasks.
+a window over a lot's tenants and claims, which are dealt by lot once.
 """
 
 from __future__ import annotations
@@ -63,38 +63,34 @@ def distribute(lots: DataFrame, tenants: DataFrame, claims: DataFrame, limits: D
     payouts: lot, seq, stage (small, priority or general), paid.
     recoveries: lot, seq, received, assumes. lots: lot, fund, paid, leftover, assumed.
     """
-    base = with_limits(lots, limits)
-    lot = W.partitionBy("lot")
+    base = with_limits(lots, limits).select("lot", F.lit("lot").alias("row"), "fund", "base_date", "max_deposit", "max_priority")
+    owed = tenants.select("lot", F.lit("tenant").alias("row"), F.col("seq").cast("long").alias("seq"), F.col("seq").cast("long").alias("tenant"), "move_in", "deposit", F.coalesce("demanded", F.lit(False)).alias("demanded"))
+    asked = claims.select("lot", F.col("stage").alias("row"), "seq", "tenant", "amount", "priority_date")
+    # a lot, its tenants and its claims in one table, dealt by lot once; all that follows are windows within a lot
+    rows = base.unionByName(owed, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True).repartition("lot")
+    lot, tenant = W.partitionBy("lot"), W.partitionBy("lot", "tenant")
+    rows = rows.withColumns({c: F.max(c).over(lot) for c in ("fund", "base_date", "max_deposit", "max_priority")}).where("fund is not null")
     # small tenants, together at most half the fund; beyond it in proportion, rounded down
-    t = tenants.join(base, "lot")
-    is_small = F.coalesce("demanded", F.lit(False)) & F.col("move_in").isNotNull() & (F.col("deposit") <= F.col("max_deposit"))
-    s = t.where(is_small).withColumn("due", F.least("deposit", "max_priority")).withColumn("total", F.sum("due").over(lot)).withColumn("half", F.floor(F.col("fund") / 2).cast("long"))
-    share = F.expr("cast(cast(half as decimal(20,0)) * cast(due as decimal(18,0)) div cast(total as decimal(20,0)) as bigint)")
-    small = s.select("lot", F.col("seq").cast("long").alias("tenant"), F.when(F.col("total") <= F.col("half"), F.col("due")).otherwise(share).alias("paid"))
-    spent = small.groupBy("lot").agg(F.sum("paid").alias("spent"))
+    share = lambda of, part, total: F.expr(f"cast(cast({of} as decimal(20,0)) * cast({part} as decimal(18,0)) div cast({total} as decimal(20,0)) as bigint)")
+    small = F.expr("row = 'tenant' and demanded and move_in is not null and deposit <= max_deposit")
+    rows = rows.withColumn("due", F.when(small, F.least("deposit", "max_priority"))).withColumn("total", F.sum("due").over(lot)).withColumn("half", F.floor(F.col("fund") / 2).cast("long"))
+    rows = rows.withColumn("small", F.when(F.col("due").isNotNull(), F.when(F.col("total") <= F.col("half"), F.col("due")).otherwise(share("half", "due", "total"))))
+    rows = rows.withColumn("rest", F.col("fund") - F.coalesce(F.sum("small").over(lot), F.lit(0)))
     # claims in order of their dates use up the rest; a tenant claims what the first stage left
-    funds = base.select("lot", "fund").join(spent, "lot", "left").select("lot", (F.col("fund") - F.coalesce("spent", F.lit(0))).alias("rest"))
+    had = F.when(F.col("tenant").isNotNull(), F.max("small").over(tenant))
+    rows = rows.withColumn("claim", F.when(F.col("row") == "priority", F.greatest(F.lit(0), F.col("amount") - F.coalesce(had, F.lit(0)))))
     order = lot.orderBy(F.col("priority_date").asc_nulls_last(), "seq").rowsBetween(W.unboundedPreceding, -1)
-    p = claims.where("stage = 'priority'").join(small.withColumnRenamed("paid", "had"), ["lot", "tenant"], "left").join(funds, "lot")
-    p = p.withColumn("claim", F.greatest(F.lit(0), F.col("amount") - F.coalesce("had", F.lit(0)))).withColumn("prior", F.coalesce(F.sum("claim").over(order), F.lit(0)))
-    priority = p.select("lot", "seq", "tenant", F.greatest(F.lit(0), F.least(F.col("claim"), F.col("rest") - F.col("prior"))).alias("paid"))
-    spent2 = priority.groupBy("lot").agg(F.sum("paid").alias("spent2"))
+    prior = F.coalesce(F.sum("claim").over(order), F.lit(0))
+    rows = rows.withColumn("priority", F.greatest(F.lit(0), F.least(F.col("claim"), F.col("rest") - prior))).withColumn("priority", F.when(F.col("claim").isNotNull(), F.col("priority")))
     # general claims share the remainder in proportion, rounded down
-    rest = funds.join(spent2, "lot", "left").select("lot", (F.col("rest") - F.coalesce("spent2", F.lit(0))).alias("left"))
-    g = claims.where("stage = 'general'").join(rest, "lot").withColumn("total", F.sum("amount").over(lot))
-    part = F.expr("cast(cast(left as decimal(20,0)) * cast(amount as decimal(18,0)) div cast(total as decimal(20,0)) as bigint)")
-    general = g.where("left > 0 and total > 0").select("lot", "seq", "tenant", F.least("amount", part).alias("paid"))
-    payouts = (
-        small.select("lot", F.col("tenant").alias("seq"), "tenant", F.lit("small").alias("stage"), "paid")
-        .unionByName(priority.where("paid > 0").withColumn("stage", F.lit("priority")))
-        .unionByName(general.withColumn("stage", F.lit("general")))
-    )
-    got = payouts.where("tenant is not null").groupBy("lot", "tenant").agg(F.sum("paid").alias("received"))
-    who = tenants.join(base.select("lot", "base_date"), "lot").join(got.withColumnRenamed("tenant", "seq"), ["lot", "seq"], "left")
+    rows = rows.withColumn("left", F.col("rest") - F.coalesce(F.sum("priority").over(lot), F.lit(0))).withColumn("all", F.sum(F.when(F.col("row") == "general", F.col("amount"))).over(lot))
+    rows = rows.withColumn("general", F.when(F.expr("row = 'general' and left > 0 and all > 0"), F.least("amount", share("left", "amount", "all"))))
+    rows = rows.withColumn("paid", F.coalesce("small", "priority", "general"))
+    paid = rows.where("small is not null or priority > 0 or general is not null")
+    payouts = paid.select("lot", "seq", "tenant", F.when(F.col("row") == "tenant", "small").otherwise(F.col("row")).alias("stage"), "paid")
+    received = F.when(F.col("tenant").isNotNull(), F.coalesce(F.sum("paid").over(tenant), F.lit(0)))
     senior = F.coalesce(F.date_add("move_in", 1) <= F.col("base_date"), F.lit(False))
-    received = F.coalesce("received", F.lit(0))
-    recoveries = who.select("lot", "seq", received.alias("received"), F.when(senior, F.greatest(F.lit(0), F.col("deposit") - received)).otherwise(0).alias("assumes"))
-    paid = payouts.groupBy("lot").agg(F.sum("paid").alias("paid"))
-    assumed = recoveries.groupBy("lot").agg(F.sum("assumes").alias("assumed"))
-    totals = base.select("lot", "fund").join(paid, "lot", "left").join(assumed, "lot", "left").select("lot", "fund", F.coalesce("paid", F.lit(0)).alias("paid"), (F.col("fund") - F.coalesce("paid", F.lit(0))).alias("leftover"), F.coalesce("assumed", F.lit(0)).alias("assumed"))
-    return payouts, recoveries, totals
+    rows = rows.withColumn("received", received).withColumn("assumes", F.when(F.col("row") == "tenant", F.when(senior, F.greatest(F.lit(0), F.col("deposit") - F.col("received"))).otherwise(0)))
+    recoveries = rows.where("row = 'tenant'").select("lot", F.col("seq"), "received", "assumes")
+    totals = rows.groupBy("lot").agg(F.max("fund").alias("fund"), F.coalesce(F.sum("paid"), F.lit(0)).alias("paid"), F.coalesce(F.sum("assumes"), F.lit(0)).alias("assumed"))
+    return payouts, recoveries, totals.select("lot", "fund", "paid", (F.col("fund") - F.col("paid")).alias("leftover"), "assumed")
