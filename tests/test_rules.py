@@ -191,3 +191,71 @@ def test_windowed_counts(spark, tmp_path):
     q = feeds.counts_by_window(stream, "ts", "event_type").writeStream.format("memory").queryName("w").outputMode("complete").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize("usage, group", [("G80", None), ("K5", None), ("디스커버리 4", None), ("에쿠스", None), ("SM6", None), ("다세대주택", "다세대연립"), ("아파트", "아파트"), ("근린상가", "상가"), ("대지", None)])
+def test_map_groups_without_vehicles(spark, usage, group):
+    assert one(spark, S.map_group(F.lit("auction"), F.col("t")), t=usage) == group
+
+
+@pytest.mark.parametrize("model, body", [("그랜드체로키", "SUV"), ("아테온", "승용자동차"), ("ARTEON x1", "승용자동차"), ("Land Cruiser", "SUV"), ("SUV", "SUV"), ("캐스퍼", "SUV"), ("K5", "승용자동차")])
+def test_body_types(spark, model, body):
+    assert one(spark, S.body_type(F.col("t")), t=model) == body
+
+
+def test_class_words_match_no_ad(spark):
+    from lotspark.operators import vehicles
+
+    words = ["승합자동차", "해치백", "쿠페", "왜건", "밴", "경형", "소형", "중형", "대형", "지게차", "굴삭기", "덤프", "탱크로리", "특수자동차", "화물자동차", "모닝"]
+    t = spark.createDataFrame([(i, [w], 2020, "petrol", 1000, None) for i, w in enumerate(words)], "id int, terms array<string>, year int, fuel string, mileage long, litre double")
+    a = spark.createDataFrame([(1, " ".join(words), 2021, "petrol", 5999, 10), (2, " ".join(words), 2022, "petrol", 1000, 10), (3, " ".join(words), 2020, "petrol", 6001, 10)], "ad int, text string, year int, fuel string, mileage long, price long")
+    assert [tuple(r) for r in vehicles.match_ads(t, a).collect()] == [(len(words) - 1, 1, 10, False)]
+
+
+def test_longest_sections(spark):
+    df = spark.createDataFrame([(1, "1) ab\n2) x\n1)  a   b c \n9) long enough\n1) a b d")], "id int, body string")
+    assert [tuple(r) for r in text.longest_sections(df, "id", "body", r"(\d+)\) ([^\n]*)", [1, 2]).collect()] == [(1, 1, "a b c")]
+
+
+def test_no_data_marks(spark):
+    now, old = F.lit(dt.datetime(2024, 1, 10)), [(1, dt.datetime(2024, 1, 8)), (2, dt.datetime(2024, 1, 6))]
+    marks, targets = spark.createDataFrame(old, "k int, ts timestamp"), spark.range(20).select(F.col("id").cast("int").alias("k"))
+    turn = [0]
+
+    def job(open_):
+        turn[0] += 1
+        keys = sorted(r.k for r in open_.collect())
+        return spark.createDataFrame([(k, k % 2 == 0, turn[0]) for k in keys[:1]], "k int, found boolean, turn int")
+
+    got = {r.k: r.turn for r in upkeep.until_covered(targets, job, "k", marks, now).collect()}
+    assert got == {0: 1, 2: 2, 3: 3}  # 1 is marked, 3 has nothing and ends it
+
+
+def test_facets_replace_and_typed_read(spark, tmp_path):
+    from lotspark.sources import tables
+
+    path = f"file://{tmp_path}/facets"
+    for n in (3, 2):
+        tables.write_facets(spark.range(n).select("id", F.array("id").alias("a")), path)
+        assert spark.read.json(path).count() == n
+    assert not [p for p in tmp_path.iterdir() if p.name != "facets"]
+    spark.createDataFrame([("s", 1)], "sgg string, extra int").write.parquet(f"{tmp_path}/t")
+    read = tables.read(spark, "trades", f"{tmp_path}/t")
+    assert read.columns[0] == "sgg" and "extra" not in read.columns and read.first().amount is None
+
+
+def test_unsent_links(spark, tmp_path):
+    from lotspark.streaming import feeds
+
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 01:00:00"), ("b", "2024-01-01 02:00:00")]
+    spark.createDataFrame(rows, "link string, ts string").write.parquet(f"{tmp_path}/in")
+    sent = []
+    feeds.run_once(feeds.unsent(feeds.change_feed(spark, f"{tmp_path}/in", "link string, ts string"), "link", "ts"), f"{tmp_path}/check", lambda batch, _: sent.extend(r.link for r in batch.collect()))
+    assert sorted(sent) == ["a", "b"]
+
+
+def test_latitudes_beyond_the_grid(spark):
+    far = spark.createDataFrame([(1, 70.0, 10.0)], "id int, lat double, lng double")
+    assert geo.near_pairs(far, far, 500.0, max_lat=75.0).count() == 1
+    with pytest.raises(Exception, match="latitude"):
+        geo.near_pairs(far, far, 500.0).collect()
