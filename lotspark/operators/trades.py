@@ -89,20 +89,24 @@ def match_register(names: DataFrame, register: DataFrame) -> DataFrame:
 
     Equal names score 1000, one within the other 500 less the difference in length,
     else 300 and more if the common subsequence covers 70 % of the name and is four
-    long. A name must cover 60 % of what it is matched with. Only pairs without an
-    exact or contained name reach the vectorised subsequence.
+    long. A name must cover 60 % of what it is matched with. Names are compared once
+    per district and spelling, with the smallest code of each spelling in the
+    register; ties go to the smaller code. Only pairs without an exact or contained
+    name whose lengths and letters allow such a subsequence reach the vectorised helper.
     """
     flat = lambda c: F.regexp_replace(c, r"\s+", "")
-    a = names.select("id", "district", flat("name").alias("a")).where("a <> ''")
-    b = register.select("code", "district", flat("name").alias("b")).where("b <> ''")
-    pairs = a.join(b, "district")
+    named = names.select("id", "district", flat("name").alias("a")).where("a <> ''")
+    b = register.select("code", "district", flat("name").alias("b")).where("b <> ''").groupBy("district", "b").agg(F.min("code").alias("code"))
+    pairs = named.select("district", "a").distinct().join(b, "district")
     apart = F.abs(F.length("a") - F.length("b"))
     plain = F.when(F.col("a") == F.col("b"), 1000.0).when(F.expr("contains(a, b) or contains(b, a)"), 500.0 - apart)
     easy = pairs.withColumn("score", plain).where("score is not null").withColumn("l", F.least(F.length("a"), F.length("b")))
-    hard = pairs.where(plain.isNull()).withColumn("l", lcs("a", "b")).where("l >= 4 and l >= 0.7 * length(a)").withColumn("score", 300 + F.col("l") / F.length("a") * 100 - apart * 0.5)
-    every = easy.select("id", "code", "a", "b", "l", "score").unionByName(hard.select("id", "code", "a", "b", "l", "score"))
-    best = every.groupBy("id").agg(F.max_by(F.struct("code", "a", "b", "l", "score"), F.struct("score", -F.col("code"))).alias("m")).select("id", "m.*")
-    return best.where("a = b or l >= 0.6 * length(b)").select("id", "code", F.round("score", 6).alias("score"))
+    able = F.expr("length(b) >= greatest(4, 0.7 * length(a)) and size(filter(split(a, ''), x -> contains(b, x))) >= greatest(4, 0.7 * length(a))")
+    hard = pairs.where(plain.isNull() & able).withColumn("l", lcs("a", "b")).where("l >= 4 and l >= 0.7 * length(a)").withColumn("score", 300 + F.col("l") / F.length("a") * 100 - apart * 0.5)
+    cols = ["district", "a", "b", "code", "l", "score"]
+    best = easy.select(cols).unionByName(hard.select(cols)).groupBy("district", "a").agg(F.max_by(F.struct("code", "b", "l", "score"), F.struct("score", -F.col("code"))).alias("m"))
+    fits = best.select("district", "a", "m.*").where("a = b or l >= 0.6 * length(b)").select("district", "a", "code", F.round("score", 6).alias("score"))
+    return named.join(fits, ["district", "a"]).select("id", "code", "score")
 
 
 def asking_counts(lots: DataFrame, listings: DataFrame, band: float = 3.0) -> DataFrame:

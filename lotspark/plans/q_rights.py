@@ -137,6 +137,8 @@ po as (select lot, seq, seq as tenant, 'small' as stage, paid from sp union all
 rc as (select t.lot, t.seq, coalesce(g.received, 0) as received, case when t.move_in + 1 <= lt.base_date then greatest(0, t.deposit - coalesce(g.received, 0)) else 0 end as assumes
   from tenants t join lt using (lot) left join (select lot, tenant, sum(paid) as received from po where tenant is not null group by 1, 2) g on t.lot = g.lot and t.seq = g.tenant)"""
 
+_FUND = "cast(floor(o_totalprice * 0.8) as bigint) * 1000"
+_TOTALS = "select lt.lot, fund, coalesce(p.paid, 0)::bigint as paid, (fund - coalesce(p.paid, 0))::bigint as leftover, coalesce(a.assumed, 0)::bigint as assumed from lt left join (select lot, sum(paid) as paid from po group by 1) p using (lot) left join (select lot, sum(assumes) as assumed from rc group by 1) a using (lot)"
 QUERIES = {f.__name__: f for f in (a1_baselines, r1_right_verdicts, r2_tenant_verdicts, a4_rights_analysis, f5_collection_policy, a14_merged_tenants, a5_crawler_risk, w7_live_entries, w8_summary_liens, j3_limits, w1_payouts, w4_recoveries, w3_lot_totals, price_curve)}
 ORACLES = {
     "a1_baselines": oracle(f"with {_R} select * from base"),
@@ -166,5 +168,6 @@ ORACLES = {
     "j3_limits": oracle(f"with {_PAY} select lot, max_deposit, max_priority from lt"),
     "w1_payouts": oracle(f"with {_PAY} select lot, seq, stage, paid from po"),
     "w4_recoveries": oracle(f"with {_PAY} select lot, seq, received::bigint as received, assumes::bigint as assumes from rc"),
-    "w3_lot_totals": oracle(f"with {_PAY} select lt.lot, fund, coalesce(p.paid, 0)::bigint as paid, (fund - coalesce(p.paid, 0))::bigint as leftover, coalesce(a.assumed, 0)::bigint as assumed from lt left join (select lot, sum(paid) as paid from po group by 1) p using (lot) left join (select lot, sum(assumes) as assumed from rc group by 1) a using (lot)"),
+    "w3_lot_totals": oracle(f"with {_PAY} {_TOTALS}"),
+    "price_curve": oracle(" union all ".join(f"select lot, {n} as pct, fund, paid, assumed from (with {_PAY.replace(_FUND, f'{_FUND} * {n} // 100')} {_TOTALS})" for n in (60, 80, 100))),
 }

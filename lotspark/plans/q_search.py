@@ -362,8 +362,22 @@ select a.day, a.page_id as a, b.page_id as b from w a join w b on a.day = b.day
 
 
 def x1_kept_titles(spark, d):
+    from ..sources.scratch import saver
+
     t = _titles(spark, d)
-    return text.first_kept(t, text.duplicate_pairs(t, "page_id", "day", "title"), "page_id", "day")
+    return text.first_kept(t, text.duplicate_pairs(t, "page_id", "day", "title"), "page_id", "day", saver(spark))
+
+
+X1_KEPT = f"""with recursive pairs as materialized ({X1}),
+n as (select page_id, page_id % 5 as day, row_number() over (partition by page_id % 5 order by page_id) as i from pages),
+b as materialized (select n.day, n.i, n.page_id, coalesce(list(p.a) filter (p.a is not null), []) as before from n left join pairs p on n.day = p.day and n.page_id = p.b group by 1, 2, 3),
+f(day, i, kept) as (select distinct day, 0::bigint, []::bigint[] from n
+  union all select b.day, b.i, case when list_has_any(f.kept, b.before) then f.kept else list_append(f.kept, b.page_id) end from f join b on b.day = f.day and b.i = f.i + 1)
+select day, unnest(arg_max(kept, i)) as k from f group by day"""
+#: crc32 of a key's characters, bit by bit.
+IO10 = """with k as (select list_prepend(4294967295::bigint, list_transform(string_split(item_key, ''), lambda x: ascii(x)::bigint)) as codes from items),
+h as (select list_reduce(codes, lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)) as crc from k)
+select (xor(crc, 4294967295) % 8)::int as part, count(*) as n from h group by 1"""
 
 
 def t6_newest(spark, d):
@@ -501,7 +515,7 @@ ORACLES = {
     "w6b_distinct_points": oracle("select lat, count(*) as n from (select distinct round_even(lat, 2) as lat, round_even(lng, 2) as lng from places) group by lat"),
     "w11_main_building": "select p_partkey % 300 as lot, arg_max(p_partkey, (p_size * 3 + p_partkey % 9 * 3 + p_partkey % 4 + case when p_type = 'STANDARD' then 100 else 0 end, -p_partkey)) as main from part group by 1",
     "f6_relevance": r"select doc_id, not regexp_matches(lower(text), 'scum|###') and not regexp_matches(lower(text), 'license|token\s*=') and regexp_matches(lower(text), 'the|der|que') as keep, regexp_matches(source, '(premium|blog|cafe)\.') or regexp_matches(text, '\(\s*\d[\d,]*\s*원\s*\)') or regexp_matches(text, '(?i)(광고|스폰서|sponsored)') as ad from documents",
-    "x1_duplicate_titles": X1, "p30_sections": P30, "p31_waiver": P31,
+    "x1_duplicate_titles": X1, "x1_kept_titles": X1_KEPT, "io10_split": oracle(IO10), "p30_sections": P30, "p31_waiver": P31,
     "t6_newest": "select event_type, place, event_id from (select *, row_number() over (partition by event_type order by ts desc, event_id) as place from events) where place <= 3",
     "t7_rounds": oracle("select lot, row_number() over (partition by lot order by case when id % 4 <> 3 then sell_day end nulls last, id) as place, id from schedule"),
     "io2_trades": "select l_orderkey as page, floor(l_extendedprice)::bigint * 10000 as amount, l_quantity as area, 't' || l_suppkey as umd, l_partkey::varchar as jibun, 'n' as name, case when l_linenumber <> 7 then l_shipdate::date end as deal_date from lineitem",

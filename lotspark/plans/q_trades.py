@@ -73,6 +73,19 @@ def j9_register(spark, d):
     return trades.match_register(names, register)
 
 
+#: The common subsequence by one row of bits per letter of the name; names have far fewer than 126 letters.
+J9 = """with a as (select p_partkey as id, p_partkey % 40 as district, regexp_replace(p_name, '\\s+', '', 'g') as a from part where p_partkey % 4 = 0),
+b as (select p_partkey as code, p_partkey % 40 - p_partkey % 40 % 4 as district, regexp_replace(split_part(p_name, ' ', 1) || 'new' || split_part(p_name, ' ', -1), '\\s+', '', 'g') as b from part where p_partkey % 4 <> 0),
+s as (select distinct a, b, (1::hugeint << length(b)) - 1 as filled from a join b using (district)),
+r as (select a, b, length(b) - bit_count(list_reduce(list_prepend(filled, list_transform(string_split(a, ''), lambda x: ascii(x)::hugeint)), lambda row, x: (
+    (row + (row & list_sum(list_transform(range(length(b)), lambda i: case when ascii(b[i + 1]) = x then 1::hugeint << i::int else 0::hugeint end))::hugeint))
+    | (row - (row & list_sum(list_transform(range(length(b)), lambda i: case when ascii(b[i + 1]) = x then 1::hugeint << i::int else 0::hugeint end))::hugeint))) & filled)) as l from s),
+p as (select a, b, case when contains(a, b) or contains(b, a) then least(length(a), length(b)) else l end as l,
+    case when a = b then 1000.0 when contains(a, b) or contains(b, a) then 500.0 - abs(length(a) - length(b)) when l >= 4 and l >= 0.7 * length(a) then 300 + l::double / length(a) * 100 - abs(length(a) - length(b)) * 0.5 end::double as score from r),
+m as (select id, code, score, a, b, l, row_number() over (partition by id order by score desc, code) as place from a join b using (district) join p using (a, b) where score is not null)
+select id, code, round(score, 6) as score from m where place = 1 and (a = b or l >= 0.6 * length(b))"""
+
+
 def j10_asking(spark, d):
     lots = table(spark, d, "lots").select("lot", c("sgg").alias("complex_no"), F.when(c("lot") % 5 != 0, c("area")).alias("area"))
     listings = table(spark, d, "trades").select(c("sgg").alias("complex_no"), "area")
@@ -195,6 +208,18 @@ def t5_spots(spark, d):
     return geo.peaks(g.select("market", (c("cy") * 0.003).alias("lat"), (c("cx") * 0.003).alias("lng"), "flow"), "market", apart_m=900.0)
 
 
+#: Greedy in five rounds; a candidate joins what is taken of its market if it is far from all of it.
+T5 = """with recursive u as (select *, substr(id, 2)::int as n from places),
+w as (select a.lat + (b.lat - a.lat) * i / 10 as lat, a.lng + (b.lng - a.lng) * i / 10 as lng, a.households, b.n % 4 as market from u a join u b on a.kind = 'customer' and b.kind = 'supplier' and b.n = a.n // 15, range(10) as r(i)),
+g as (select market, round_even(lat / 0.003::double, 0) * 0.003::double as lat, round_even(lng / 0.003::double, 0) * 0.003::double as lng, sum(households)::double as flow from w group by 1, 2, 3),
+c as materialized (select *, row_number() over (partition by market order by flow desc, lat, lng) as place from g qualify place <= 4000),
+t(market, rank, place, lats, lngs, lat, lng, flow) as (select distinct market, 0, 0::bigint, []::double[], []::double[], 0::double, 0::double, 0::double from c
+  union all select market, rank + 1, place, list_append(lats, lat), list_append(lngs, lng), lat, lng, flow from (
+    select t.market, t.rank, c.place, t.lats, t.lngs, c.lat, c.lng, c.flow, row_number() over (partition by t.market order by c.place) as first from t join c on t.market = c.market and c.place > t.place
+    where t.rank < 5 and len(list_filter(range(len(t.lats)), lambda k: 2 * 6371000.0::double * asin(sqrt(pow(sin(radians(c.lat - t.lats[k + 1]) / 2), 2) + cos(radians(t.lats[k + 1])) * cos(radians(c.lat)) * pow(sin(radians(c.lng - t.lngs[k + 1]) / 2), 2))) <= 900)) = 0) where first = 1)
+select market, rank, lat, lng, flow from t where rank > 0"""
+
+
 def g1_clusters(spark, d):
     """Clusters of parts and suppliers that share returned lines of the highest discount."""
     from ..sources.scratch import saver
@@ -274,7 +299,7 @@ ORACLES = {
       select lot, max(year) as year, floor(quantile_cont(price, 0.5))::bigint as price, count(*) as n from d group by lot"""),
     "j1_winners": oracle(_J1.format(price=_PRICE, bids="case when o_orderkey % 3 = 0 then 7 end", order=f"coalesce((s.sale_price = {_PRICE})::int, 0) desc, id desc")),
     "j1b_first_winners": oracle(_J1.format(price="null::bigint", bids="null::int", order="id")),
-    "j13_districts": J13, "j14_towns": J14, "g1_clusters": G1,
+    "j13_districts": J13, "j14_towns": J14, "g1_clusters": G1, "j9_register": J9, "t5_spots": oracle(T5.replace("with recursive ", "with ", 1)).replace("with ", "with recursive ", 1),
     "j20_shop_demand": oracle(f"with {_DEM} select shop, apartments, land, rentals, base from base"),
     "r9_shop_kinds": oracle(f"with {_DEM} select shop, kind, case when base >= need and (not school or substr(shop, 2)::int % 2 = 0) then 'ok' when base >= need * 0.8 and (not school or substr(shop, 2)::int % 2 = 0) then 'edge' else 'no' end as state from base, (values {_SHOPS}) v(need, kind, school)"),
     "r10_rents_and_warnings": oracle(f"""with {_DEM}, x as (select *, substr(shop, 2)::int as n, case when substr(shop, 2)::int % 5 <> 0 then substr(shop, 2)::int % 4 end as fl, case when apartments + land > 0 then round_even(rentals / (apartments + land) * 100, 0) else 0 end as pct from base)

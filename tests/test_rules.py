@@ -1,6 +1,7 @@
 """Hand-worked cases of scalar functions, rights, payouts and upkeep."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,9 +164,51 @@ def test_upsert_and_diff(spark):
 
 
 def test_titles_greedy(spark):
+    from lotspark.sources.scratch import saver
+
     news = spark.createDataFrame([(1, 0, "서울 아파트 값 상승"), (2, 0, "서울 아파트 전세"), (3, 0, "아파트 서울 값 하락"), (4, 1, "서울 아파트 값 상승")], "k int, day int, title string")
     pairs = text.duplicate_pairs(news, "k", "day", "title")
-    assert sorted(r.k for r in text.first_kept(news, pairs, "k", "day").collect()) == [1, 4]
+    assert sorted(r.k for r in text.first_kept(news, pairs, "k", "day", saver(spark)).collect()) == [1, 4]
+
+
+def test_kept_titles_equal_the_greedy_order(spark):
+    from lotspark.sources.scratch import saver
+
+    draw = random.Random(5)
+    nodes = [(k, day) for day in (0, 1, None) for k in range(40)]
+    edges = sorted({(day, *sorted(draw.sample(range(40), 2))) for day in (0, 1) for _ in range(60)} | {(0, k, k + 1) for k in range(12)})
+    want = []
+    for day in (0, 1):
+        kept = set()
+        for k in range(40):
+            if not any((day, a, k) in edges for a in kept):
+                kept.add(k)
+        want += [(day, k) for k in sorted(kept)]
+    news, pairs = spark.createDataFrame(nodes, "k int, day int"), spark.createDataFrame(edges, "day int, a int, b int")
+    got = text.first_kept(news, pairs, "k", "day", saver(spark)).collect()
+    assert sorted(map(tuple, (r for r in got if r.day is not None))) == want
+    assert sorted(r.k for r in got if r.day is None) == list(range(40))
+    assert text.first_kept(news.limit(0), pairs.limit(0), "k", "day", saver(spark)).count() == 0
+
+
+def test_register_compares_spellings_once(spark):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("가나다라마") for _ in range(draw.randint(0, 9)))
+    names, reg = [(i, i % 3, word()) for i in range(60)], [(i, i % 3, word()) for i in range(90)]
+    got = trades.match_register(spark.createDataFrame(names, "id int, district int, name string"), spark.createDataFrame(reg, "code int, district int, name string"))
+
+    def best(district, a):
+        found = []
+        for code, d, b in reg:
+            if d == district and a and b:
+                inside, l = a in b or b in a, lcs_length(a, b)
+                score = 1000 if a == b else 500 - abs(len(a) - len(b)) if inside else 300 + l / len(a) * 100 - abs(len(a) - len(b)) * 0.5
+                if inside or l >= max(4, 0.7 * len(a)):
+                    found.append((-score, code, a == b or (min(len(a), len(b)) if inside else l) >= 0.6 * len(b)))
+        return (min(found)[1], round(-min(found)[0], 6)) if found and min(found)[2] else None
+
+    want = {i: best(d, a) for i, d, a in names}
+    assert {r.id: (r.code, r.score) for r in got.collect()} == {i: b for i, b in want.items() if b}
 
 
 def test_stream_equals_batch(spark, tmp_path):
