@@ -171,6 +171,20 @@ def test_titles_greedy(spark):
     assert sorted(r.k for r in text.first_kept(news, pairs, "k", "day", saver(spark)).collect()) == [1, 4]
 
 
+def test_duplicate_titles_equal_all_pairs(spark):
+    draw = random.Random(11)
+    title = lambda: " ".join(draw.choices(["값", "상승", "서울", "아파트", *(f"w{i}" for i in range(12))], [1, 9, 9, 9, *[1] * 12], k=draw.randint(0, 9)))
+    rows = [(k, draw.choice([0, 1, None]), draw.choice([None, title(), title(), title()])) for k in [*range(120), 7, 7, None]]
+    words = [(k, d, {w for w in (t or "").split() if len(w) > 1}) for k, d, t in rows]
+    want = {
+        (d, *sorted((k, m))) for k, d, v in words for m, e, w in words
+        if k is not None and m is not None and k != m and d is not None and d == e and len(v & w) >= 2 and 2 * len(v & w) >= min(len(v), len(w))
+    }
+    news = spark.createDataFrame(rows, "k int, day int, title string").withColumn("w", F.lit(1)).withColumn("n", F.lit("x"))
+    got = [tuple(r) for r in text.duplicate_pairs(news, "k", "day", "title").collect()]
+    assert sorted(got) == sorted(want) and want
+
+
 def test_kept_titles_equal_the_greedy_order(spark):
     from lotspark.sources.scratch import saver
 
