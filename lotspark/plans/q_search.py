@@ -404,6 +404,35 @@ h as (select *, max(case when x in ('Released under the MIT License.', 'All righ
 select a.doc_id, b.x as head, count(*) as lines, sum(length(a.x))::bigint as chars from h a join h b on a.doc_id = b.doc_id and a.hi = b.i where a.i <> a.hi group by 1, 2"""
 
 
+DETAIL_LINES = ["물건현황/토지이용계획", "제2종일반주거지역", "감정평가현황", "가격시점", "등기사항/소멸여부", "소유권이전", "1998-01-02", "매매 등 기 원 인", "보존", "건물", "김철수", "건물열람", "도로"]
+
+
+def p30_detail(spark, d):
+    """Fields of detail texts; every line item of an order adds three lines to the order's text."""
+    li = table(spark, d, "lineitem")
+    word = lambda n: F.element_at(F.array(*map(F.lit, DETAIL_LINES)), (n % 13 + 1).cast("int"))
+    three = F.concat_ws("\n", word(c("l_partkey")), word(c("l_partkey") + c("l_linenumber")), word(c("l_partkey") * 3 + c("l_suppkey")))
+    texts = li.groupBy(c("l_orderkey").alias("lot")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", three.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    f = text.detail_fields(texts, "text").select("lot", c("detail").alias("f"))
+    return f.select("lot", F.size("f.bullets").cast("long").alias("bullets"), "f.zone", "f.price_date", "f.view_date", *(c(f"f.owner.{x}").alias(f"owner_{x}") for x in ("type", "date", "holder", "reason", "state", "object")))
+
+
+P30_DETAIL = r"""with w as (select ['물건현황/토지이용계획', '제2종일반주거지역', '감정평가현황', '가격시점', '등기사항/소멸여부', '소유권이전', '1998-01-02', '매매 등 기 원 인', '보존', '건물', '김철수', '건물열람', '도로'] as w),
+a as (select l_orderkey as lot, flatten(list([w[l_partkey % 13 + 1], w[(l_partkey + l_linenumber) % 13 + 1], w[(l_partkey * 3 + l_suppkey) % 13 + 1]] order by l_linenumber, l_partkey)) as x from lineitem, w group by 1),
+h as (select lot, x, coalesce(list_position(x, '물건현황/토지이용계획'), 0) as a, coalesce(list_position(x, '감정평가현황'), 0) as b, coalesce(list_position(x, '등기사항/소멸여부'), 0) as r, len(x) + 1 as n from a),
+s as (select lot, case when a > 0 then x[a + 1 : least(case when b > a then b else n end, case when r > a then r else n end) - 1] else [] end as bs,
+  case when b > 0 then x[b + 1 : least(case when a > b then a else n end, case when r > b then r else n end) - 1] else [] end as ps,
+  case when r > 0 then x[r + 1 : least(case when a > r then a else n end, case when b > r then b else n end) - 1] else [] end as rs from h),
+o as (select *, nullif(list_position(list_transform(rs, lambda y: starts_with(y, '소유권')), true), 0) as o1 from s),
+q as (select *, case when o1 is not null then rs[o1 + 1 : o1 + 6] else [] end as six from o),
+e as (select *, coalesce(list_position(six, '1998-01-02'), 0) as dt, coalesce(list_position(six, '매매 등 기 원 인'), 0) as why from q)
+select lot, len(bs) as bullets, case when list_contains(bs, '제2종일반주거지역') then '제2종일반주거지역' else '' end as zone, coalesce(ps[nullif(list_position(ps, '가격시점'), 0) + 1], '') as price_date,
+  coalesce(rs[nullif(list_position(rs, '건물열람'), 0) + 1], '') as view_date, rs[o1] as owner_type, case when o1 is not null then case when dt > 0 then '1998-01-02' else '' end end as owner_date,
+  case when o1 is not null then coalesce(case when dt > 0 then list_filter(list_transform(six, lambda y, i: case when i > dt and i <> why and y not in ('보존', '건물') then y end), lambda y: y is not null)[1] end, '') end as owner_holder,
+  case when o1 is not null then case when why > 0 then '매매' else '' end end as owner_reason, case when o1 is not null then case when list_contains(six, '보존') then '보존' else '이전' end end as owner_state,
+  case when o1 is not null then case when list_contains(six, '건물') then '건물' else '' end end as owner_object from e"""
+
+
 def p31_waiver(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", F.md5(text.waiver(c("text"), ["the", "der"], "License")).alias("sentence")).where("sentence is not null")
@@ -453,7 +482,7 @@ QUERIES = {
     for f in (
         f1_search, f2_regions, f2_province, f2_case, f3_active, t1_page, t1_page_unknown_last, a6_status_counts, a7_group_counts, a8_region_tree, a9_facets, a10_usages, a21_region_distribution, a20_coverage, s0_favourites, t3_sale_days, s2_stale_points, s4_patterns, j18_untagged,
         io4_json, io5_lookup, io6_upsert, io7_backfill, io9_months, io10_split, io10_sample, st1_changes, st2_invalidated, st3_latest, st_hourly_counts, st4_snapshot, st5_purge, f8_open_work, j15_points, j16_zones, j17_unsynced, w12_sections, io1_typed, io8_facets, st6_until_covered, st7_unsent, w9_ledger, w10_membership, j19_members, j22_specs, w6_first_occurrence, w6b_distinct_points, w11_main_building,
-        f6_relevance, x1_duplicate_titles, x1_kept_titles, t6_newest, t7_rounds, p30_sections, p31_waiver, io2_trades, io3_summary, r7_multi_family, r8_debt_demand, r11_brief,
+        f6_relevance, x1_duplicate_titles, x1_kept_titles, t6_newest, t7_rounds, p30_sections, p30_detail, p31_waiver, io2_trades, io3_summary, r7_multi_family, r8_debt_demand, r11_brief,
     )
 }
 _ACT = "(starts_with(result, '신건') or starts_with(result, '유찰') or starts_with(result, '재진행') or starts_with(result, '재매각'))"
@@ -515,7 +544,7 @@ ORACLES = {
     "w6b_distinct_points": oracle("select lat, count(*) as n from (select distinct round_even(lat, 2) as lat, round_even(lng, 2) as lng from places) group by lat"),
     "w11_main_building": "select p_partkey % 300 as lot, arg_max(p_partkey, (p_size * 3 + p_partkey % 9 * 3 + p_partkey % 4 + case when p_type = 'STANDARD' then 100 else 0 end, -p_partkey)) as main from part group by 1",
     "f6_relevance": r"select doc_id, not regexp_matches(lower(text), 'scum|###') and not regexp_matches(lower(text), 'license|token\s*=') and regexp_matches(lower(text), 'the|der|que') as keep, regexp_matches(source, '(premium|blog|cafe)\.') or regexp_matches(text, '\(\s*\d[\d,]*\s*원\s*\)') or regexp_matches(text, '(?i)(광고|스폰서|sponsored)') as ad from documents",
-    "x1_duplicate_titles": X1, "x1_kept_titles": X1_KEPT, "io10_split": oracle(IO10), "p30_sections": P30, "p31_waiver": P31,
+    "x1_duplicate_titles": X1, "x1_kept_titles": X1_KEPT, "io10_split": oracle(IO10), "p30_sections": P30, "p30_detail": P30_DETAIL, "p31_waiver": P31,
     "t6_newest": "select event_type, place, event_id from (select *, row_number() over (partition by event_type order by ts desc, event_id) as place from events) where place <= 3",
     "t7_rounds": oracle("select lot, row_number() over (partition by lot order by case when id % 4 <> 3 then sell_day end nulls last, id) as place, id from schedule"),
     "io2_trades": "select l_orderkey as page, floor(l_extendedprice)::bigint * 10000 as amount, l_quantity as area, 't' || l_suppkey as umd, l_partkey::varchar as jibun, 'n' as name, case when l_linenumber <> 7 then l_shipdate::date end as deal_date from lineitem",

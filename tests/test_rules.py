@@ -269,6 +269,46 @@ def test_class_words_match_no_ad(spark):
     assert [tuple(r) for r in vehicles.match_ads(t, a).collect()] == [(len(words) - 1, 1, 10, False)]
 
 
+def test_detail_fields(spark):
+    body = """머리말
+물건현황/토지이용계획
+ 도로 접함
+제 2 종 일반주거지역
+
+감정평가현황
+가격시점
+2025-03-04
+면적(단위:m²)
+대지권
+13,449.5㎡
+분의
+41.95㎡
+(12.69평)
+건물
+84.9㎡
+(25.7평)
+건축물대장
+등기사항/소멸여부
+건물열람
+2025-05-06
+소유권이전
+2020-01-02
+집합
+상속 등 기 원 인
+홍길동
+이전
+감정평가현황"""
+    df = spark.createDataFrame([(1, body), (2, ""), (3, None), (4, "등기사항/소멸여부\n소유권보존\n홍길동")], "id int, body string")
+    got = {r.id: r.f.asDict(True) for r in text.detail_fields(df, "body").select("id", F.col("detail").alias("f")).collect()}
+    assert got[1] == {
+        "bullets": ["도로 접함", "제 2 종 일반주거지역"], "zone": "제 2 종 일반주거지역", "price_date": "2025-03-04", "land": ["13,449.5㎡ 분의 41.95㎡ (12.69평)"], "building": ["84.9㎡ (25.7평)"],
+        "view_date": "2025-05-06", "owner": {"type": "소유권이전", "date": "2020-01-02", "holder": "홍길동", "reason": "상속", "state": "이전", "object": "집합"},
+    }
+    empty = {"bullets": [], "zone": "", "price_date": "", "land": [], "building": [], "view_date": "", "owner": None}
+    assert got[2] == got[3] == empty
+    assert got[4] == empty | {"owner": {"type": "소유권보존", "date": "", "holder": "", "reason": "", "state": "이전", "object": ""}}
+
+
 def test_longest_sections(spark):
     df = spark.createDataFrame([(1, "1) ab\n2) x\n1)  a   b c \n9) long enough\n1) a b d")], "id int, body string")
     assert [tuple(r) for r in text.longest_sections(df, "id", "body", r"(\d+)\) ([^\n]*)", [1, 2]).collect()] == [(1, 1, "a b c")]
