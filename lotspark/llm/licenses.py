@@ -73,7 +73,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = docs.select(F.col(id_col).alias("_id"), F.regexp_extract_all(low, F.lit(WORD), 0).alias("w"))
     # the last word's hash stands alone and matches no pair; it keeps a row for every text with words
     grams = F.expr("zip_with(w, slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> xxhash64(a, b))")
-    rolled = words.select("_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(grams).alias("pos", "hash"))
+    # the words themselves end here: explode would copy whatever else is read of the row to each of its pairs
+    paired = words.select("_id", F.size("w").cast("long").alias("n_words"), grams.alias("grams"))
+    rolled = paired.select("_id", "n_words", F.posexplode_outer("grams").alias("pos", "hash"))
     hits = rolled.join(_templates(docs.sparkSession, phrases, notices), "hash", "left").where("template is not null or coalesce(pos, 0) = 0")
     voted = hits.groupBy("_id", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("words").alias("words"),

@@ -381,6 +381,12 @@ def test_licenses(spark, docs, odd):
     assert licenses.scan_licenses(odd).count() == 8 and licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_licenses_in_a_long_text(spark):
+    df = spark.createDataFrame([(1, "a " * 150_000 + "cc by")], "doc_id long, text string")
+    r = licenses.scan_licenses(df).collect()[0]
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) == (150_002, 1, 150_000, 150_000, "cc-by")
+
+
 # --- chats --------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     rows = [(1, 0, "us\ner", "a\\b <|im_end|>\n c $1"), (1, 1, "assistant", "x\n\n\\"), (1, 2, "user", None), (2, 0, "assistant", ""), (2, 1, "assistant", "é<<|"), (2, 1, "assistant", "é<<|"), (3, 0, None, "</s>[INST]<<SYS>>"), (None, 0, "user", "u")]
