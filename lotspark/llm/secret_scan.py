@@ -38,11 +38,11 @@ NEEDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"
 
 #: A name with what sets its value apart; each name is read once, whatever its length.
 NAME = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?\x20*+[:=]\x20*+["']?""", re.ASCII)
-#: Weak parts that a name announces: role, words of the name, pattern of the value. Each is common in clean text and means something beside its complements only.
+#: Weak parts that a name announces: role, words of the name, run of the value and its least length. Each is common in clean text and means something beside its complements only.
 NAMED = {
-    "id_part": ("identifier", ("user", "username", "login", "client_id", "account", "access_key_id"), re.compile(r"[A-Za-z0-9_.@-]{3,}+")),
-    "secret_part": ("secret", ("pass", "pwd", "key", "auth", "credential", "credentials", "private"), re.compile(r"[A-Za-z0-9+/_.=!#$%&*-]{6,}+")),
-    "endpoint_part": ("endpoint", ("host", "hostname", "endpoint", "server", "region"), re.compile(r"[A-Za-z0-9_.:/-]{3,}+")),
+    "id_part": ("identifier", ("user", "username", "login", "client_id", "account", "access_key_id"), re.compile(r"[A-Za-z0-9_.@-]++"), 3),
+    "secret_part": ("secret", ("pass", "pwd", "key", "auth", "credential", "credentials", "private"), re.compile(r"[A-Za-z0-9+/_.=!#$%&*-]++"), 6),
+    "endpoint_part": ("endpoint", ("host", "hostname", "endpoint", "server", "region"), re.compile(r"[A-Za-z0-9_.:/-]++"), 3),
 }
 #: Weak parts by their form: role and pattern.
 WEAK = {
@@ -63,7 +63,7 @@ def named_kind(name: str) -> str | None:
     """
     for parts in (re.split("[_-]+", name), _CAMEL.findall(name)):
         joined = "_".join(parts).lower()
-        at = {kind: max((m.end() for w in words for m in re.finditer(f"(?<![a-z0-9]){w}(?![a-z0-9])", joined)), default=0) for kind, (_, words, _) in NAMED.items()}
+        at = {kind: max((m.end() for w in words for m in re.finditer(f"(?<![a-z0-9]){w}(?![a-z0-9])", joined)), default=0) for kind, (_, words, _, _) in NAMED.items()}
         if any(at.values()):
             return max(at, key=at.get)
     return None
@@ -83,12 +83,19 @@ def find_parts(text: str) -> list[tuple[str, str, bool, int, int]]:
             if b - a >= least:
                 out.append((kind, STRONG_ROLE[kind], True, a, b))
     weak = []
-    if any(x.split("_")[0] in low for _, words, _ in NAMED.values() for x in words):
+    ends: dict[str, int] = {}
+    if any(x.split("_")[0] in low for _, words, _, _ in NAMED.values() for x in words):
         for m in NAME.finditer(text):
             kind = (named_kind if len(m.group(1)) <= 200 else named_kind.__wrapped__)(m.group(1))  # long names aren't remembered
-            value = NAMED[kind][2].match(text, m.end()) if kind else None
-            if value:
-                weak.append((m.start(), kind, NAMED[kind][0], *value.span()))
+            if not kind:
+                continue
+            role, _, run, least = NAMED[kind]
+            a = m.end()
+            if a >= ends.get(kind, 0):  # else an earlier value's run, read once, goes on here
+                value = run.match(text, a)
+                ends[kind] = value.end() if value else a
+            if ends[kind] - a >= least:
+                weak.append((m.start(), kind, role, a, ends[kind]))
     for kind, (role, pattern) in WEAK.items():
         if longest >= 32 if kind == "blob_part" else "://" in text:
             weak += [(m.start(), kind, role, *m.span()) for m in pattern.finditer(text)]

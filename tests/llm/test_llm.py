@@ -432,6 +432,12 @@ def test_base_secrets_of_documents(spark, docs):
         assert got[i].base_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest() and set(named) <= set(got[i].spans.split(","))
 
 
+def test_secrets_in_a_long_text():
+    for one, kind in (("key=", "secret_part"), ("host:", "endpoint_part")):
+        text = one * 50_000
+        assert [p for p in secret_scan.find_parts(text) if p[0] == kind] == [(kind, secret_scan.NAMED[kind][0], False, len(one), len(text))]
+
+
 def test_long_key_headers(spark):
     rows = [(1, f"-----BEGIN {'VERY ' * 30}PRIVATE KEY-----"), (2, "-----BEGIN PRIVATE KEY-----"), (3, "-----BEGIN " + "A" * 200_000)]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
