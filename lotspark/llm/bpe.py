@@ -13,7 +13,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import duckdb
 import numpy as np
@@ -25,12 +27,16 @@ from pyspark.sql import functions as F
 
 from .text_arrays import small_batches, tidy
 
-#: Distinct pre-tokens that a task remembers; beyond it the memory starts anew.
-CACHE = 400_000
+#: Distinct pre-tokens, and bytes of them, that a task remembers; beyond either the memory starts anew.
+CACHE, CACHE_BYTES = 400_000, 16_000_000
 #: Bytes of a pre-token beyond which a heap finds its merges instead of the query.
 LONG = 400
 #: Characters of text whose pre-tokens are collected before the next query.
 BLOCK = 2_000_000
+#: Rows of all rounds that one query may make at most: a pre-token of n bytes makes n (n + 1) / 2 at most. They take some 100 MB.
+ROWS = 1_000_000
+#: Tokens that one query decodes.
+TOKENS = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,11 +76,13 @@ class Tokenizer:
     """Encoder and decoder of one task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.find = regex.compile(pattern).findall
+        self.find = regex.compile(pattern)
         self.ranks = ranks
+        self.tokens = np.array(list(ranks.values()), np.int32)
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
+        self.bytes = 0
         left, right, rank = [], [], []
         for token, i in ranks.items():
             for cut in range(1, len(token)):
@@ -101,15 +109,27 @@ class Tokenizer:
         for word in words:
             if word not in self.known:
                 raw = word.encode("utf-8", "surrogatepass")
+                self.bytes += len(raw)
                 whole = self.ranks.get(raw)
                 if whole is not None:
                     self.known[word] = whole.to_bytes(4, "little")
                 elif len(raw) > LONG:
-                    self.known[word] = np.array(self._merged(raw), "<u4").tobytes()
+                    self.known[word] = self._merged(raw)
                 else:
                     new.append((word, raw))
-        if not new:
-            return
+        # pre-tokens of one length need about as many rounds; a query makes ROWS rows at most, whatever the texts
+        new.sort(key=lambda x: len(x[1]))
+        low = made = 0
+        for high, (_, raw) in enumerate(new):
+            rows = len(raw) * (len(raw) + 1) // 2
+            if made + rows > ROWS:
+                self._query(new[low:high])
+                low, made = high, 0
+            made += rows
+        if low < len(new):
+            self._query(new[low:])
+
+    def _query(self, new: list[tuple[str, bytes]]) -> None:
         lens = np.array([len(raw) for _, raw in new])
         place = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
         token = self.single[np.frombuffer(b"".join(raw for _, raw in new), np.uint8)]
@@ -123,25 +143,33 @@ class Tokenizer:
         for word, a, b in zip(got.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             self.known[new[word][0]] = flat[4 * (a - base) : 4 * (b - base)]
 
-    def _merged(self, raw: bytes) -> list[int]:
-        """Ids of a very long pre-token by a heap of pairs; one contraction a round would take its square."""
+    def _merged(self, raw: bytes) -> bytes:
+        """Ids of a very long pre-token by a heap of pairs; one contraction a round would take its square.
+
+        The heap's entries are rank and place in one number. An entry whose pair has
+        changed meanwhile is passed over. Some 60 times the bytes of ``raw`` are needed.
+        """
         if not self.pairs:  # few tasks meet such a word
             self.pairs = {(a, b): r for a, b, r in self.db.execute("select a, b, rank from pairs").fetchall()}
-        token = self.single[np.frombuffer(raw, np.uint8)].tolist()
-        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
-        heap = [(r, i, i + 1) for i in range(len(token) - 1) if (r := self.pairs.get((token[i], token[i + 1]))) is not None]
+        token = array("i", self.single[np.frombuffer(raw, np.uint8)].tobytes())
+        n = len(token)
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        heap = [r << 32 | i for i in range(n - 1) if (r := self.pairs.get((token[i], token[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, j = heapq.heappop(heap)
-            if token[i] < 0 or after[i] != j or self.pairs.get((token[i], token[j])) != rank:
-                continue  # one of the two was merged meanwhile
+            key = heapq.heappop(heap)
+            rank, i = key >> 32, key & 0xFFFFFFFF
+            j = after[i]
+            if token[i] < 0 or j >= n or self.pairs.get((token[i], token[j])) != rank:
+                continue
             token[i], token[j], after[i] = rank, -1, after[j]
-            if after[i] < len(token):
+            if after[i] < n:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(token) and (r := self.pairs.get((token[a], token[b]))) is not None:
-                    heapq.heappush(heap, (r, a, b))
-        return [t for t in token if t >= 0]
+                if a >= 0 and b < n and (r := self.pairs.get((token[a], token[b]))) is not None:
+                    heapq.heappush(heap, r << 32 | a)
+        done = np.frombuffer(token, np.int32)
+        return done[done >= 0].astype("<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -149,34 +177,40 @@ class Tokenizer:
         block: list[list[str]] = []
         size = 0
         for i, text in enumerate(texts):
-            block.append(self.find(text))
+            if len(text) > BLOCK:  # by itself, some pre-tokens at a time
+                out += self._ids(block)
+                block, size = [], 0
+                found = (m.group() for m in self.find.finditer(text))
+                out.append(b"".join(self._ids([words])[0] for words in batched(found, BLOCK // 10)))
+                continue
+            block.append(self.find.findall(text))
             size += len(text)
             if size >= BLOCK or i == len(texts) - 1:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                self.learn(set().union(*block))
-                known = self.known.__getitem__
-                out += [b"".join(map(known, words)) for words in block]
+                out += self._ids(block)
                 block, size = [], 0
-        return out
+        return out + self._ids(block)
+
+    def _ids(self, block: list[list[str]]) -> list[bytes]:
+        if len(self.known) > CACHE or self.bytes > CACHE_BYTES:
+            self.known.clear()
+            self.bytes = 0
+        self.learn(set().union(*block))
+        known = self.known.__getitem__
+        return [b"".join(map(known, words)) for words in block]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each row of ids; unknown ids are an error."""
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        lens = np.array([len(x) // 4 for x in ids], np.int64)
-        row = np.repeat(np.arange(len(ids)), lens)
-        out, low = [b""] * len(ids), 0
-        ends = np.cumsum(lens)
-        while low < len(ids):  # some million tokens at a time
-            start = int(ends[low] - lens[low])
-            high = max(low + 1, int(np.searchsorted(ends, start + 1_000_000, "right")))
-            some = slice(start, int(ends[high - 1]))
-            if some.stop > some.start:
-                self._table("tokens", row=row[some], place=np.arange(some.stop - some.start), token=flat[some])
-                for r, text in self.db.execute(DECODE).fetchall():
-                    out[r] = bytes.fromhex(text)
-            low = high
-        return out
+        row = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids])
+        out: list[list[bytes]] = [[] for _ in ids]
+        if not np.isin(flat, self.tokens).all():
+            raise ValueError("an id isn't in the vocabulary")
+        for low in range(0, len(flat), TOKENS):
+            some = slice(low, low + TOKENS)
+            self._table("tokens", row=row[some], place=np.arange(len(flat[some])), token=flat[some])
+            for r, text in self.db.execute(DECODE).fetchall():
+                out[r].append(bytes.fromhex(text))
+        return [b"".join(x) for x in out]
 
 
 @tidy

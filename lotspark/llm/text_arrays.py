@@ -88,8 +88,35 @@ def text_chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> I
         at = end
 
 
+def cut_chunks(batch: pa.RecordBatch, text: str, breaks: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray, bool, bool]]:
+    """As ``text_chunks``, but a text of more than ``limit`` bytes is cut behind bytes of the table ``breaks``.
+
+    The last two values say whether the chunk's first text begins in it and its last
+    one ends in it. A run without such a byte stays whole.
+    """
+    for rows, data, offsets in text_chunks(batch, text, limit):
+        if len(data) <= limit or rows.stop - rows.start > 1:
+            yield rows, data, offsets, True, True
+            continue
+        at = 0
+        while at < len(data):
+            end = min(len(data), at + limit)
+            if end < len(data):
+                hits = np.flatnonzero(breaks[data[at:end]])
+                if len(hits):
+                    end = at + int(hits[-1]) + 1
+                else:
+                    beyond = breaks[data[end:]]
+                    end = end + int(beyond.argmax()) + 1 if beyond.any() else len(data)
+            yield rows, data[at:end], np.array([0, end - at]), at == 0, end == len(data)
+            at = end
+
+
 class Words:
-    """Words of a chunk: ``hash``, ``doc`` (row in the chunk) and ``first``/``count`` of each row."""
+    """Words of a chunk: ``hash``, ``doc`` (row in the chunk), ``start`` (byte) and ``first``/``count`` of each row.
+
+    ``letters`` holds the lower-cased bytes of all words, one behind the other, from ``begin`` on each.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
         n = len(offsets) - 1
@@ -104,6 +131,7 @@ class Words:
         inside = low[keep]
         begin_in = np.flatnonzero(begins[keep])
         lens = np.diff(np.append(begin_in, len(inside)))
+        self.start, self.letters, self.begin = starts, inside, begin_in
         self.doc = np.searchsorted(offsets, starts, "right") - 1
         self.count = np.bincount(self.doc, minlength=n).astype(np.int64)
         self.first = np.cumsum(self.count) - self.count

@@ -177,6 +177,36 @@ def test_tokens(spark, docs, odd):
     assert bpe.encode(odd.limit(0), path, P.PATTERN).count() == 0
 
 
+def test_bpe_of_many_distinct_words_keeps_to_its_memory(spark):
+    """Scripts without short words, hex, long runs and a text of 4.5 MB: nothing of it may go to one query whole."""
+    import resource
+
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path(queries.VOCABULARY)
+    ranks = bpe.load_ranks(path)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(5)
+    chinese = ["".join(chr(c) + ("\uff0c" if c % 7 == 0 else "") for c in rng.integers(0x4E00, 0x9FA5, 2000)) for _ in range(1000)]
+    mixed = [
+        rng.bytes(1_000_000).hex(), "".join(map(chr, rng.integers(97, 123, 200_000))), "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 100_000))),
+        " ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (500_000, 8))),
+    ]
+    own = bpe.Tokenizer(ranks, P.PATTERN)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for text in mixed:
+        ids = own.encode([text])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(text)
+        assert own.decode([ids])[0] == text.encode()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # kB, of which the lists that are compared take the most
+    got = bpe.encode_digests(spark.createDataFrame(list(enumerate(chinese)), "doc_id long, text string").coalesce(1), path, P.PATTERN).collect()
+    sha = {i: hashlib.sha256(np.array(enc.encode_ordinary(t), "<u4").tobytes()).hexdigest() for i, t in enumerate(chinese)}
+    assert {r.doc_id: r.ids_sha256 for r in got} == sha
+    with pytest.raises(ValueError):
+        own.decode([np.array([ranks[b"a"], 60_000], "<u4").tobytes()])
+
+
 # --- languages ----------------------------------------------------------------------------------
 def test_language(spark, docs, odd):
     held = docs.withColumn("held", F.expr("pmod(crc32(cast(doc_id as string)), 3) = 1"))
