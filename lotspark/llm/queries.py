@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, licenses, media, neardup, pii, secret_scan, warc
+from . import bpe, chat, decontam, langid, licenses, media, neardup, phrases, pii, secret_scan, warc
 
 #: Stands for the key that a caller keeps secret.
 PII_KEY = "replace-me"
@@ -180,5 +180,30 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *base, F.expr(f"sha2(array_join({own}, ','), 256)").alias("base_sha256"), F.expr(f"array_join({named.format('spans')}, ',')").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_media, op4_warc, op5_chat, op6_neardup, op7_bpe, op8_language, op9_decontamination, op10_secrets)}
-ORACLES = {"op4_warc": SQL4, "op5_chat": SQL5, "op9_decontamination": SQL9}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+SQL13 = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+totals as (select lang, sum(len(w)) as n from w group by lang),
+f as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f
+  from w, unnest(range(1, 6)) as s(k), unnest(range(1, len(w) - k + 2)) as r(i) where len(w) >= k group by all having count(*) >= 100
+), s as (select *, string_split(phrase, ' ') as w from f),
+inside as (select lang, phrase, max(f) as more from (select lang, unnest([array_to_string(w[1 : k - 1], ' '), array_to_string(w[2 : k], ' ')]) as phrase, f from s where k >= 3) group by all),
+cuts as (
+  select s.lang, s.phrase, s.f as a, l.f as l, r.f as r, n, c, (1000 * s.f::hugeint * n::hugeint) // (l.f::hugeint * r.f::hugeint) as score
+  from s join totals on s.lang = totals.lang left join inside i on i.lang = s.lang and i.phrase = s.phrase, unnest(range(1, s.k)) as x(c)
+  join f l on l.lang = s.lang and l.phrase = array_to_string(s.w[1 : c], ' ') join f r on r.lang = s.lang and r.phrase = array_to_string(s.w[c + 1 : s.k], ' ')
+  where s.k >= 2 and (more is null or 100 * more < 100 * s.f)
+), best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, c) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n::bigint as n, score::bigint as score
+from best qualify rank <= 2000
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_media, op4_warc, op5_chat, op6_neardup, op7_bpe, op8_language, op9_decontamination, op10_secrets, op13_collocations)}
+ORACLES = {"op4_warc": SQL4, "op5_chat": SQL5, "op9_decontamination": SQL9, "op13_collocations": SQL13}
