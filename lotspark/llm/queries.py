@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, licenses, media, neardup, phrases, pii, secret_scan, warc
+from . import bpe, chat, decontam, langid, licenses, media, neardup, phrases, pii, repair, secret_scan, warc
 
 #: Stands for the key that a caller keeps secret.
 PII_KEY = "replace-me"
@@ -180,6 +180,74 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *base, F.expr(f"sha2(array_join({own}, ','), 256)").alias("base_sha256"), F.expr(f"array_join({named.format('spans')}, ',')").alias("spans"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut, repeated or given the role user, by a hash of their id."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    h = F.pmod(F.crc32(key), F.lit(20))
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    rows = turns.select(
+        "conv_id", "turn", F.when(h == 4, "user").otherwise(role).alias("role"),
+        F.when(h == 1, "").when(h == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), h.alias("h"),
+    )
+    return rows.where("h > 0").withColumn("again", F.explode(F.expr("if(h = 3, array(0, 1), array(0))"))).drop("h", "again")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_conversations(damaged(turns), conversations=turns.select("conv_id"))
+
+
+#: Forward only: each conversation's four states carry cost, audit and repaired lines from row to row.
+SQL12 = r"""
+with recursive k as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations
+), h as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(key, ''), lambda d: ascii(d)::bigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295) % 20 as h
+  from k
+), d as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role,
+    case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from h, unnest(case when h = 3 then [0, 1] else [0] end) as r(again) where h > 0
+), o as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d
+), f as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 't' else '.' end as fault,
+    left(lag(role) over (partition by conv_id order by i), 1) || left(role, 1) as pair
+  from o
+), c as (
+  select conv_id, list({'r': role, 't': text, 'f': fault} order by i) as rows, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+    count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal
+  from f group by conv_id
+), s(conv_id, i, n, s, u, a) as (
+  select conv_id, 0, {'c': 0, 'a': '', 'l': []::varchar[]}, {'c': 1000000, 'a': '', 'l': []::varchar[]}, {'c': 1000000, 'a': '', 'l': []::varchar[]}, {'c': 1000000, 'a': '', 'l': []::varchar[]} from c
+  union all
+  select conv_id, i + 1,
+    {'c': n.c + 4, 'a': n.a || 'D', 'l': n.l},
+    list_min([{'c': s.c + 4, 'a': s.a || 'D', 'l': s.l}, {'c': n.c + bad + case when left(e.r, 1) = 's' then 0 else 1000000 end, 'a': n.a || 'K', 'l': list_append(n.l, e.r || ':' || e.t)}]),
+    list_min([{'c': pu.c + 4, 'a': pu.a || 'D', 'l': pu.l}] || list_concat(
+      list_transform([n, s, pa], lambda p: {'c': p.c + bad + case when left(e.r, 1) = 'u' then 0 else 1000000 end, 'a': p.a || 'K', 'l': list_append(p.l, e.r || ':' || e.t)}),
+      list_transform([n, s, pa], lambda p: {'c': p.c + bad + 3, 'a': p.a || 'R', 'l': list_append(p.l, 'user:' || e.t)}))),
+    list_min([{'c': pa.c + 4, 'a': pa.a || 'D', 'l': pa.l}, {'c': pu.c + bad + case when left(e.r, 1) = 'a' then 0 else 1000000 end, 'a': pu.a || 'K', 'l': list_append(pu.l, e.r || ':' || e.t)},
+      {'c': pu.c + bad + 3, 'a': pu.a || 'R', 'l': list_append(pu.l, 'assistant:' || e.t)}])
+  from (
+    select *, case e.f when '.' then 0 when 't' then 3 else 1000000 end as bad,
+      list_min([u] || list_transform([n, s, a], lambda p: {'c': p.c + 3, 'a': p.a || 'I', 'l': list_append(p.l, 'user:')})) as pu,
+      list_min([a, {'c': u.c + 3, 'a': u.a || 'I', 'l': list_append(u.l, 'assistant:')}] || list_transform([n, s], lambda p: {'c': p.c + 6, 'a': p.a || 'II', 'l': list_concat(p.l, ['user:', 'assistant:'])})) as pa
+    from (select s.*, rows[s.i + 1] as e from s join c on s.conv_id is not distinct from c.conv_id where s.i < len(rows))
+  )
+), z as (
+  select s.conv_id, list_min([n, a, {'c': u.c + 3, 'a': u.a || 'I', 'l': list_append(u.l, 'assistant:')}, {'c': s.s.c + 6, 'a': s.s.a || 'II', 'l': list_concat(s.s.l, ['user:', 'assistant:'])}]) as best
+  from s join c on s.conv_id is not distinct from c.conv_id where s.i = len(rows)
+)
+select k.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(array_to_string(best.l, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) k left join c on k.conv_id is not distinct from c.conv_id left join z on k.conv_id is not distinct from z.conv_id
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
@@ -205,5 +273,5 @@ from best qualify rank <= 2000
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_media, op4_warc, op5_chat, op6_neardup, op7_bpe, op8_language, op9_decontamination, op10_secrets, op13_collocations)}
-ORACLES = {"op4_warc": SQL4, "op5_chat": SQL5, "op9_decontamination": SQL9, "op13_collocations": SQL13}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_media, op4_warc, op5_chat, op6_neardup, op7_bpe, op8_language, op9_decontamination, op10_secrets, op12_repair, op13_collocations)}
+ORACLES = {"op4_warc": SQL4, "op5_chat": SQL5, "op9_decontamination": SQL9, "op12_repair": SQL12, "op13_collocations": SQL13}
