@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, licenses, media, neardup, phrases, pii, repair, secret_scan, warc
+from . import bpe, chat, decontam, langid, licenses, lm, media, neardup, phrases, pii, repair, secret_scan, warc
 
 #: Stands for the key that a caller keeps secret.
 PII_KEY = "replace-me"
@@ -180,6 +180,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *base, F.expr(f"sha2(array_join({own}, ','), 256)").alias("base_sha256"), F.expr(f"array_join({named.format('spans')}, ',')").alias("spans"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.expr("pmod(crc32(cast(doc_id as string)), 7) <> 2").alias("learn"))
+    return lm.score_texts(docs, "learn").select("doc_id", F.expr("not learnt").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Rows dropped, emptied, cut, repeated or given the role user, by a hash of their id."""
     key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
@@ -273,5 +278,5 @@ from best qualify rank <= 2000
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_media, op4_warc, op5_chat, op6_neardup, op7_bpe, op8_language, op9_decontamination, op10_secrets, op12_repair, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_media, op4_warc, op5_chat, op6_neardup, op7_bpe, op8_language, op9_decontamination, op10_secrets, op11_language_model, op12_repair, op13_collocations)}
 ORACLES = {"op4_warc": SQL4, "op5_chat": SQL5, "op9_decontamination": SQL9, "op12_repair": SQL12, "op13_collocations": SQL13}
