@@ -33,7 +33,7 @@ from .text_arrays import SPACE_SPLIT, Words, cut_chunks, mix, small_batches, tid
 _U = np.uint64
 #: Words that a context's shorter one counts for: a of pairs, b of trigrams.
 PAIR_WEIGHT, TRIPLE_WEIGHT = 1000.0, 5.0
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Tokens of the corpus for each trie, and occurrences of a middle word beyond which it has tries of its own.
 TRIE_TOKENS, HOT = 500_000, 4_000_000
 #: Words for each task that numbers them.
