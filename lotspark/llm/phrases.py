@@ -38,7 +38,7 @@ SHARE, LOWERED = 1 / 16, 0.5
 TABLE_BITS = 24
 #: Bytes of text whose keys meet in one task, about.
 BUCKET_BYTES = 8_000_000
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 WORD_BYTES = byte_class(BREAKS + " \t")
@@ -161,6 +161,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         every, bits = every.unionByName(found), wider
         if found.isEmpty():
             break
+    every = scratch.save(every)  # one table: a join with a union would read the texts once for each of its parts
     exact = bit_table(every, "key", TABLE_BITS)
     spelled = rows.mapInArrow(lambda it: _spelled(it, longest, exact), "key long, lang string, k int, phrase string")
     names = spelled.groupBy("key").agg(F.first("lang").alias("lang"), F.first("k").alias("k"), F.first("phrase").alias("phrase"))
