@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 
 from ..functions import scalar as S
 from ..functions.helpers import lcs
+from ..sources.scratch import saver
+from .substrings import containing
 
 
 def same_complex(lots: DataFrame, trades: DataFrame) -> DataFrame:
@@ -18,14 +20,16 @@ def same_complex(lots: DataFrame, trades: DataFrame) -> DataFrame:
     ``lots``: lot, sgg, umd, jibun, address, area; ``trades``: sgg, umd, jibun,
     name, area and more. Trades of the same town and lot number; for lots without
     any, those whose blank-free name the address contains, within the district.
-    Names are compared once per distinct name of a district, then joined by it.
+    Names meet addresses by their rarest three letters in the district, once per
+    distinct name and address.
     """
     key = ["sgg", "umd", "jibun"]
     t = trades.select(*key, F.struct(*trades.columns).alias("t"))
     exact = lots.join(t, key).select(lots["*"], "t")
     left = lots.join(trades.select(*key).distinct(), key, "left_anti").withColumn("flat", F.regexp_replace("address", r"\s+", ""))
-    names = trades.select("sgg", "name").where("name <> ''").distinct().withColumn("flat_name", F.regexp_replace("name", r"\s+", ""))
-    hit = left.join(names, "sgg").where("contains(flat, flat_name)").select("lot", "sgg", "name")
+    names = trades.select("sgg", "name").where("name <> ''").distinct().withColumn("needle", F.regexp_replace("name", r"\s+", ""))
+    met = containing(left.select("sgg", F.col("flat").alias("text")), names, ("sgg",))
+    hit = left.join(met.withColumnRenamed("text", "flat"), ["sgg", "flat"]).join(names, ["sgg", "needle"]).select("lot", "sgg", "name")
     by_name = hit.join(trades.select("sgg", "name", F.struct(*trades.columns).alias("t")), ["sgg", "name"]).select("lot", "t")
     return exact.unionByName(lots.join(by_name, "lot").select(lots["*"], "t"))
 
@@ -62,26 +66,73 @@ def most_frequent(rows: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     return counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("n"), "first")).alias(value), F.max("n").alias("n"))
 
 
-def match_complexes(lots: DataFrame, complexes: DataFrame, accept: float = 0.6) -> DataFrame:
+def match_complexes(lots: DataFrame, complexes: DataFrame, accept: float = 0.6, stored: DataFrame | None = None) -> DataFrame:
     """lot, complex_no, score: the best complex that shares a district and a town with the lot's address.
 
-    ``lots``: lot, address; ``complexes``: complex_no, name, address. Half a point
-    for the region; half for a name within the other, a fifth for four equal first
-    characters. Only names and regions decide: lots that agree in both are matched once, with
-    the smallest of the complexes that agree in both. Pairs come from an equi-join on
-    (district, town), not on the district alone, whose tokens are too common. Ties go
-    to the smaller complex_no.
+    ``lots``: lot, address; ``complexes``: complex_no, name, address and maybe tag.
+    Half a point for the region; half for a name within the other, 0.4 for the lot's
+    name within the tag, a fifth for four equal first characters. ``stored`` has
+    matches of an earlier run (lot, complex_no, region_ok), which win: a lot with a
+    complex or with a known region isn't matched again, and has that complex, without
+    a score, if the region was right.
+
+    Only names and regions decide: lots that agree in both are matched once, with the
+    smallest of the complexes that agree in both and in the tag. Pairs come from an
+    equi-join on (district, town), not on the district alone, whose tokens are too
+    common. Ties go to the smaller complex_no.
     """
     tokens = lambda c: (S.district_tokens(c).alias("districts"), S.town_tokens(c).alias("towns"))
     region = lambda df: df.withColumn("district", F.explode("districts")).withColumn("town", F.explode("towns")).drop("districts", "towns")
-    named = lots.select("lot", S.canonical_name(S.complex_name(F.col("address"))).alias("a"), *tokens(F.col("address"))).where("a <> ''").withColumn("alike", F.xxhash64("a", "districts", "towns"))
+    settled = None
+    if stored is not None:
+        settled = stored.where("nullif(complex_no, '') is not null or region_ok is not null")
+        lots = lots.join(settled.select("lot"), "lot", "left_anti")
+    # the name's steps are the dear part: addresses go through them once, and both uses read the result
+    alike = F.xxhash64("a", "districts", "towns").alias("alike")
+    named = saver(lots.sparkSession)(lots.select("lot", S.canonical_name(S.complex_name(F.col("address"))).alias("a"), *tokens(F.col("address"))).where("a <> ''").select("*", alike))
     a = region(named.select("a", "districts", "towns", "alike").distinct()).withColumnRenamed("alike", "lot")
-    few = complexes.select("complex_no", S.canonical_name(F.col("name")).alias("b"), *tokens(F.col("address"))).groupBy("b", "districts", "towns").agg(F.min("complex_no").alias("complex_no"))
-    pairs = a.join(region(few), ["district", "town"]).select("lot", "complex_no", "a", "b").distinct()
-    score = F.when((F.col("b") != "") & (F.expr("contains(a, b)") | F.expr("contains(b, a)")), 1.0).when((F.col("b") != "") & (F.substring("a", 1, 4) == F.substring("b", 1, 4)), 0.7).otherwise(0.5)
-    best = pairs.withColumn("score", score).groupBy("lot").agg(F.max_by("complex_no", F.struct("score", -F.col("complex_no"))).alias("complex_no"), F.max("score").alias("score"))
-    found = best.where(F.col("score") >= accept).withColumnRenamed("lot", "alike")
-    return named.select("lot", "alike").join(found, "alike").select("lot", "complex_no", "score")
+    tag = S.canonical_name(F.col("tag")) if "tag" in complexes.columns else F.lit("")
+    few = complexes.select("complex_no", S.canonical_name(F.col("name")).alias("b"), tag.alias("tag"), *tokens(F.col("address"))).groupBy("b", "tag", "districts", "towns").agg(F.min("complex_no").alias("complex_no"))
+    pairs = a.join(region(few), ["district", "town"]).select("lot", "complex_no", "a", "b", "tag").distinct()
+    within = (F.col("b") != "") & (F.expr("contains(a, b)") | F.expr("contains(b, a)"))
+    score = F.when(within, 1.0).when(F.expr("contains(tag, a)"), 0.9).when((F.col("b") != "") & (F.substring("a", 1, 4) == F.substring("b", 1, 4)), 0.7).otherwise(0.5)
+    scored = pairs.withColumn("score", score)
+    top = scored.groupBy("lot").agg(F.max("score").alias("score"))
+    best = scored.join(top.where(F.col("score") >= accept), ["lot", "score"]).groupBy(F.col("lot").alias("alike"), "score").agg(F.min("complex_no").alias("complex_no"))
+    found = named.select("lot", "alike").join(best, "alike").select("lot", "complex_no", "score")
+    if settled is None:
+        return found
+    known = settled.where("region_ok and nullif(complex_no, '') is not null").select("lot", F.col("complex_no").cast(complexes.schema["complex_no"].dataType).alias("complex_no"), F.lit(None).cast("double").alias("score"))
+    return found.unionByName(known)
+
+
+#: Letters that a common subsequence has to have, and the part of the name.
+LEAST_COMMON, COMMON_PART = 4, 0.7
+
+
+def letters(text: Column) -> Column:
+    """The letters of a text, each with its number among the equal ones before it, so that none repeats."""
+    own = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)))
+    return F.transform(own, lambda x, i: F.concat(x, F.size(F.filter(F.slice(own, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
+def coverable(names: DataFrame, register: DataFrame, by: str) -> DataFrame:
+    """Distinct (by, a, b) that may have a common subsequence of 70 % of ``a`` and four letters; none that has is missing.
+
+    Such a ``b`` lacks at most as many letters of ``a`` as may be left out. So of any
+    one letter more than that it has at least one: those that the fewest spellings of
+    the district's register hold are joined, then all letters are counted.
+    """
+    needed = F.greatest(F.lit(LEAST_COMMON), F.ceil(F.lit(COMMON_PART) * F.length("a") - F.lit(1e-9)).cast("int"))
+    a = names.select(by, "a").distinct().where(F.length("a") >= LEAST_COMMON)
+    b = register.select(by, "b").distinct().where(F.length("b") >= LEAST_COMMON)
+    held = b.select(by, "b", F.explode(letters(F.col("b"))).alias("letter"))
+    often = held.groupBy(by, "letter").agg(F.count("*").alias("n"))
+    own = a.select(by, "a", F.explode(letters(F.col("a"))).alias("letter")).join(often, [by, "letter"], "left")
+    rare = own.groupBy(by, "a").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "letter"))).alias("all"))
+    prefix = rare.select(by, "a", F.explode(F.slice("all", F.lit(1), F.length("a") - needed + 1)).alias("x")).select(by, "a", F.col("x.letter").alias("letter"))
+    met = prefix.join(held, [by, "letter"]).select(by, "a", "b").distinct()
+    return met.where((F.length("b") >= needed) & (F.size(F.array_intersect(letters(F.col("a")), letters(F.col("b")))) >= needed))
 
 
 def match_register(names: DataFrame, register: DataFrame) -> DataFrame:
@@ -91,18 +142,21 @@ def match_register(names: DataFrame, register: DataFrame) -> DataFrame:
     else 300 and more if the common subsequence covers 70 % of the name and is four
     long. A name must cover 60 % of what it is matched with. Names are compared once
     per district and spelling, with the smallest code of each spelling in the
-    register; ties go to the smaller code. Only pairs without an exact or contained
-    name whose lengths and letters allow such a subsequence reach the vectorised helper.
+    register; ties go to the smaller code. Equal and contained names are found by
+    pieces (``substrings``), the others by rare letters (``coverable``); the
+    vectorised helper sees only pairs whose letters allow such a subsequence.
     """
     flat = lambda c: F.regexp_replace(c, r"\s+", "")
     named = names.select("id", "district", flat("name").alias("a")).where("a <> ''")
     b = register.select("code", "district", flat("name").alias("b")).where("b <> ''").groupBy("district", "b").agg(F.min("code").alias("code"))
-    pairs = named.select("district", "a").distinct().join(b, "district")
+    spelled = named.select("district", "a").distinct()
     apart = F.abs(F.length("a") - F.length("b"))
-    plain = F.when(F.col("a") == F.col("b"), 1000.0).when(F.expr("contains(a, b) or contains(b, a)"), 500.0 - apart)
-    easy = pairs.withColumn("score", plain).where("score is not null").withColumn("l", F.least(F.length("a"), F.length("b")))
-    able = F.expr("length(b) >= greatest(4, 0.7 * length(a)) and size(filter(split(a, ''), x -> contains(b, x))) >= greatest(4, 0.7 * length(a))")
-    hard = pairs.where(plain.isNull() & able).withColumn("l", lcs("a", "b")).where("l >= 4 and l >= 0.7 * length(a)").withColumn("score", 300 + F.col("l") / F.length("a") * 100 - apart * 0.5)
+    inside = containing(spelled.withColumnRenamed("a", "text"), b.withColumnRenamed("b", "needle"), ("district",)).select("district", F.col("text").alias("a"), F.col("needle").alias("b"))
+    around = containing(b.withColumnRenamed("b", "text"), spelled.withColumnRenamed("a", "needle"), ("district",)).select("district", F.col("needle").alias("a"), F.col("text").alias("b"))
+    plain = F.when(F.col("a") == F.col("b"), 1000.0).otherwise(500.0 - apart)
+    easy = inside.unionByName(around).distinct().join(b, ["district", "b"]).withColumn("score", plain).withColumn("l", F.least(F.length("a"), F.length("b")))
+    able = coverable(spelled, b, "district").where("not contains(a, b) and not contains(b, a)").withColumn("l", lcs("a", "b"))
+    hard = able.where(f"l >= {LEAST_COMMON} and l >= {COMMON_PART} * length(a)").join(b, ["district", "b"]).withColumn("score", 300 + F.col("l") / F.length("a") * 100 - apart * 0.5)
     cols = ["district", "a", "b", "code", "l", "score"]
     best = easy.select(cols).unionByName(hard.select(cols)).groupBy("district", "a").agg(F.max_by(F.struct("code", "b", "l", "score"), F.struct("score", -F.col("code"))).alias("m"))
     fits = best.select("district", "a", "m.*").where("a = b or l >= 0.6 * length(b)").select("district", "a", "code", F.round("score", 6).alias("score"))
@@ -154,18 +208,24 @@ def resolve_district(lots: DataFrame, districts: DataFrame) -> DataFrame:
     """lot, code: the longest district key all of whose tokens occur in the address.
 
     The first token may stand in any of its province's spellings; ``인천 남구`` is
-    read by its new name. ``districts``: key, code, a list fixed by law, so it is
-    broadcast to be probed by every address.
+    read by its new name. ``districts``: key, code. A key meets the addresses that
+    contain its rarest further token, by the token's letters; addresses are read once
+    per spelling.
     """
-    from ..functions.scalar import PROVINCES
-
     old = F.regexp_replace("address", r"(인천(?:광역시)?)\s+남구(?=\s|$)", "$1 미추홀구")
-    toks = districts.withColumn("toks", F.split("key", " "))
-    spellings = F.create_map(*(x for k, vs in PROVINCES.items() for x in (F.lit(k), F.array(*(F.lit(v) for v in [k, *vs])))))
-    d = F.broadcast(toks.select("code", F.length("key").alias("n"), F.slice("toks", 2, 9).alias("rest"), F.coalesce(spellings[F.col("toks")[0]], F.array(F.col("toks")[0])).alias("heads")))
-    hit = F.expr("exists(heads, h -> contains(a, h)) and forall(rest, t -> contains(a, t))")
-    found = lots.withColumn("a", old).join(d, hit).groupBy("lot").agg(F.max_by("code", F.struct("n", "code")).alias("code"))
-    return lots.select("lot").join(found, "lot", "left")
+    spellings = F.create_map(*(x for k, vs in S.PROVINCES.items() for x in (F.lit(k), F.array(*(F.lit(v) for v in [k, *vs])))))
+    toks = districts.select("key", "code", F.split("key", " ").alias("toks"))
+    keys = toks.select("key", "code", F.length("key").alias("n"), F.slice("toks", 2, 9).alias("rest"), F.coalesce(spellings[F.col("toks")[0]], F.array(F.col("toks")[0])).alias("heads"))
+    each = keys.select("key", F.explode("rest").alias("needle"))
+    often = each.groupBy("needle").agg(F.count("*").alias("often"))
+    anchor = each.join(often, "needle").groupBy("key").agg(F.min_by("needle", F.struct("often", -F.length("needle"), "needle")).alias("needle"))
+    alone = keys.where("size(rest) = 0").select("key", F.explode("heads").alias("needle"))
+    anchors = anchor.select("key", "needle").unionByName(alone)
+    a = lots.select("lot", old.alias("text"))
+    met = containing(a, anchors).join(anchors, "needle").join(keys, "key")
+    hit = met.where("exists(heads, h -> contains(text, h)) and forall(rest, t -> contains(text, t))")
+    found = hit.groupBy("text").agg(F.max_by("code", F.struct("n", "code")).alias("code"))
+    return a.join(found, "text", "left").select("lot", "code")
 
 
 def resolve_town(names: DataFrame, codes: DataFrame, renamed: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Incremental upkeep of tables: upserts, diffs, backfills, marks, samples and splits.
 
-All are functions of DataFrames; writing to a staging path and swapping it in is
-``sources.tables.replace``. Nothing overwrites a path that it reads.
+All are functions of DataFrames; writing what they return is the part of
+``sources.versions``. Nothing overwrites a path that it reads.
 """
 
 from __future__ import annotations
@@ -121,8 +121,8 @@ def matched_unsynced(matches: DataFrame, lots: DataFrame) -> DataFrame:
 
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """A sample of n rows that a seed fixes, whatever the partitioning."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """A sample of n rows that a seed fixes, whatever the partitioning: the first by checksum of seed and key."""
+    return rows.orderBy(F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def part_of(key: Column, parts: int) -> Column:

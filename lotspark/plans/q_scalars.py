@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.helpers import nfkc
-from ..sources.driver_tables import oracle, table
+from ..sources.driver_tables import COMPLEX, oracle, table
 
 c = F.col
 
@@ -92,18 +92,15 @@ def p_addresses(spark, d):
 _ALIASES = " ".join(f"when t[1] in ({', '.join(repr(v) for v in [k, *vs])}) then '{k}'" for k, vs in S.PROVINCES.items())
 _CITIES = " ".join(f"when t[1] = '{k}' then '{v}'" for k, v in S.CITY_PROVINCE.items())
 P_ADDRESSES = oracle(rf"""
-with a as (select seq, address, regexp_split_to_array(trim(address), '\s+') as t, trim(regexp_replace(regexp_replace(address, '\s+(제?\d+동|지하\s*\d*층|제?\d+층|[Bb]\d+|\d+호)[\s\S]*$', ''), '\s+', ' ', 'g')) as prefix,
-  trim(regexp_replace(regexp_replace(regexp_replace(address, '\([^)]*\)', ' ', 'g'), ',', ' ', 'g'), '\s+', ' ', 'g')) as plain from items),
+with a as (select seq, address, {COMPLEX} as complex, regexp_split_to_array(trim(address), '\s+') as t, trim(regexp_replace(regexp_replace(address, '\s+(제?\d+동|지하\s*\d*층|제?\d+층|[Bb]\d+|\d+호)[\s\S]*$', ''), '\s+', ' ', 'g')) as prefix from items),
 b as (select *, nullif(trim(regexp_extract(address, '^(.*?[가-힣]+(?:동|읍|면|리|가)\s+(?:산\s*)?\d+(?:-\d+)?)', 1)), '') as geo, trim(regexp_replace(address, '\([^)]*\)', '', 'g')) as bare,
-  case {_CITIES} end as city, list_filter(list_transform(string_split(regexp_extract(address, '\(([^)]*)\)', 1), ','), lambda x: trim(x)), lambda x: not regexp_matches(x, '(로|길)$') and regexp_matches(x, '(동|읍|면|리|가)$')) as br,
-  trim(regexp_replace(regexp_replace(plain, '^([가-힣]+(특별자치도|특별자치시|특별시|광역시|도)\s+)?([가-힣]+시\s+)?([가-힣]+군\s+)?([가-힣]+구\s+)?([가-힣]+(읍|면)\s+)?([가-힣]+동\d+가\s+|[가-힣]+(동|리|가)\s+)?([가-힣0-9]+(로|길)\s+)?', ''), '^\s*\d+(-\d+)?(외\s*\d+필지)?\s+', '')) as r1 from a),
-e as (select *, case when city is not null then t[2] else t[3] end as spot,
-  trim(regexp_replace(trim(regexp_replace(r1, '\s*(제?\s*[0-9가-힣]+동)?\s*(제?\s*[0-9]+층)?\s*(제?\s*[0-9A-Za-z가-힣]*-?[0-9]+호).*$', '')), '\s*(제?\s*[가-힣0-9]*건축물|제\s*\d+동|외\s*\d+필지).*$', '')) as r2 from b)
+  case {_CITIES} end as city, list_filter(list_transform(string_split(regexp_extract(address, '\(([^)]*)\)', 1), ','), lambda x: trim(x)), lambda x: not regexp_matches(x, '(로|길)$') and regexp_matches(x, '(동|읍|면|리|가)$')) as br from a),
+e as (select *, case when city is not null then t[2] else t[3] end as spot from b)
 select seq, prefix, case when regexp_matches(prefix, '([가-힣]+(?:동|리|가))\s+(\d+(?:-\d+)?)') then regexp_extract(prefix, '([가-힣]+(?:동|리|가))\s+(\d+(?:-\d+)?)', 1) || ' ' || regexp_extract(prefix, '([가-힣]+(?:동|리|가))\s+(\d+(?:-\d+)?)', 2) end as dong_lot,
   geo, array_to_string(list_filter([geo, case when prefix is distinct from geo then prefix end, case when bare is distinct from geo and bare is distinct from prefix then bare end], lambda x: x is not null and x <> ''), '; ') as variants,
   coalesce(city, case {_ALIASES} end, t[1]) as province, case when city is not null then t[1] else t[2] end as district,
   case when not regexp_matches(spot, '(로|길)$') and regexp_matches(spot, '(동|읍|면|리|가)$') then spot else coalesce(br[1], '') end as town,
-  nullif(trim(regexp_replace(r2, '(아파트|아파트단지|단지)$', '')), '') as complex,
+  complex,
   array_to_string(list_distinct_in_order(list_filter(regexp_extract_all(address, '([가-힣]+(?:시|군|구))', 1), lambda x: length(x) >= 2)), ',') as districts,
   array_to_string(list_distinct_in_order(list_filter(regexp_extract_all(address, '([가-힣]+(?:읍|면|동|리|가))', 1), lambda x: length(x) >= 2)), ',') as towns from e""")
 for _l in ("list_distinct_in_order(",):  # DuckDB's list_distinct has no order of its own

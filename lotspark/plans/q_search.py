@@ -10,8 +10,10 @@ from pyspark.sql import Window as W
 
 from ..functions import scalar as S
 from ..operators import grading, search, text, upkeep
-from ..sources import tables
+from ..sources import tables, versions
 from ..sources.driver_tables import oracle, table
+from ..sources.scratch import shared_dir
+from ..sources.versions import KeyedTable
 from ..streaming import feeds
 from .q_scalars import P_ADDRESSES
 
@@ -149,12 +151,22 @@ def io5_lookup(spark, d):
     return tables.lookup(it, cache, "k", "pool:").select("item_key", "cached")
 
 
+def _half(spark, d, late):
+    e = _changes(spark, d).where(c("ts") >= F.lit(HALF) if late else c("ts") < F.lit(HALF))
+    return upkeep.latest((e.where("user_id % 3 <> 0") if late else e).select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+
+
+def _ddl(df):
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
 def io6_upsert(spark, d):
-    """The second half of the events upserted over the first, by user; the first event type is kept."""
-    e = _changes(spark, d)
-    old = upkeep.latest(e.where(c("ts") < F.lit(HALF)).select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
-    new = upkeep.latest(e.where(c("ts") >= F.lit(HALF)).where("user_id % 3 <> 0").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
-    return upkeep.upsert(old, new, "user_id", keep=("event_type",))
+    """The first half of the events written by user in buckets, the second half upserted over it; the first event type is kept."""
+    first = _half(spark, d, late=False)
+    users = KeyedTable(spark, f"{shared_dir(spark)}/users-{uuid.uuid4().hex}", "user_id", _ddl(first), 8)
+    users.upsert(first)
+    users.upsert(_half(spark, d, late=True), keep=("event_type",))
+    return users.read()
 
 
 def io7_backfill(spark, d):
@@ -191,7 +203,13 @@ def st2_invalidated(spark, d):
 
 
 def st3_latest(spark, d):
-    return upkeep.latest(_changes(spark, d).select("user_id", "event_id", "ts", "event_type", "value"), "user_id", "ts", "event_id")
+    """A change feed in three batches, the second one sent twice, upserted one after the other."""
+    e = _changes(spark, d).select("user_id", "event_id", "ts", "event_type", "value")
+    users = KeyedTable(spark, f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}", "user_id", _ddl(e), 8)
+    run = feeds.upsert_into(users, "event_id")
+    for n, part in enumerate((0, 1, 1, 2)):
+        run(e.where(c("event_id") % 3 == part), n)
+    return users.read()
 
 
 def st_hourly_counts(spark, d):
@@ -313,14 +331,12 @@ def io1_typed(spark, d):
 
 def io8_facets(spark, d):
     """Nested JSON that replaces an older version, read back."""
-    from ..sources.scratch import shared_dir
-
     n = table(spark, d, "nation").join(table(spark, d, "region"), c("n_regionkey") == c("r_regionkey"))
     cities = n.groupBy(c("r_name").alias("name")).agg(F.array_sort(F.collect_list(F.struct(c("n_name").alias("city"), c("n_nationkey").alias("code")))).alias("cities"))
     path = f"{shared_dir(spark)}/facets-{uuid.uuid4().hex}"
     tables.write_facets(cities.limit(0), path)
     tables.write_facets(cities, path)
-    back = spark.read.schema("name string, cities array<struct<city:string,code:long>>").json(path)
+    back = versions.read(spark, path, "name string, cities array<struct<city:string,code:long>>")
     return back.select("name", F.size("cities").cast("long").alias("n"), F.array_join(F.transform("cities", lambda x: F.concat(x["city"], F.lit(":"), x["code"])), ",").alias("cities"))
 
 
@@ -517,9 +533,12 @@ ORACLES = {
       select coalesce(n.user_id, o.user_id) as user_id, coalesce(n.event_id, o.event_id) as event_id, coalesce(o.event_type, n.event_type) as event_type, coalesce(n.value, o.value) as value from o full join n on o.user_id = n.user_id""",
     "io7_backfill": oracle("select item_key, coalesce(bid_count * 1000, est_price)::bigint as est_price, bid_count from items"),
     "io9_months": "with b as (select distinct date_trunc('month', o_orderdate)::date as base from orders) select base, count(*) as n from b join orders on date_trunc('month', o_orderdate)::date between (base - interval 2 month)::date and base group by 1",
+    "io10_sample": oracle("""with h as (select item_key, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split('7:' || item_key, ''), lambda d: ascii(d)::bigint)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)) as h from items)
+      select item_key from h order by xor(h, 4294967295), item_key limit 200"""),
     "st1_changes": f"with {_E} select event_type, count(*) as n, max(ts) as mark from e where ts > {_HALF} group by 1",
     "st2_invalidated": f"with {_E}, r as (select distinct user_id, 'bids' as result from e where k > 50 or event_type = 'purchase' union select distinct user_id, 'risk' from e where event_type = 'error' union select distinct user_id, 'page' from e) select result, count(*) as users from r group by 1",
-    "st3_latest": f"with {_E} select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value from e group by 1",
+    "st3_latest": f"with {_E} select user_id, max(event_id) as event_id, arg_max(ts, event_id) as ts, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from e group by 1",
     "st_hourly_counts": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "st4_snapshot": f"""with {_E}, o as (select event_id as listing, user_id as complex, ts from e where ts < {_HALF}), n as (select event_id as listing, user_id as complex from e where user_id % 2 = 0 and event_id % 3 <> 0), g as (select distinct complex from n)
       select coalesce(o.listing, n.listing) as listing, coalesce(o.complex, n.complex) as complex, coalesce(o.ts, timestamp '2024-02-01') as first_seen, case when n.listing is not null then timestamp '2024-02-01' else o.ts end as last_seen, n.listing is not null or g.complex is null as is_active

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import geo, grading, trades
-from ..sources.driver_tables import oracle, table
+from ..sources.driver_tables import COMPLEX, oracle, table
 
 c = F.col
 
@@ -44,25 +44,31 @@ def w5_latest_trade(spark, d):
 
 
 def _complexes(spark, d):
-    it = table(spark, d, "items")
-    return it.groupBy("custkey").agg(F.min("address").alias("address")).select(c("custkey").alias("complex_no"), S.complex_name(c("address")).alias("name"), "address")
+    """Every fifth complex is known by a number, with its name in the tag."""
+    it = table(spark, d, "items").groupBy("custkey").agg(F.min("address").alias("address"))
+    name = S.complex_name(c("address"))
+    other = c("custkey") % 5 == 0
+    return it.select(c("custkey").alias("complex_no"), F.when(other, F.concat(F.lit("No "), c("custkey"))).otherwise(name).alias("name"), F.when(other, F.concat(name, F.lit(" new"))).alias("tag"), "address")
 
 
 def j8_complexes(spark, d):
+    """Every seventh lot has a match of an earlier run; of these each third was in the wrong region, each third is unknown."""
     lots = table(spark, d, "items").select(c("seq").alias("lot"), "address")
-    return trades.match_complexes(lots, _complexes(spark, d))
+    k = c("seq") % 3
+    stored = table(spark, d, "items").where("seq % 7 = 0").select(c("seq").alias("lot"), F.when(k < 2, c("custkey").cast("string")).alias("complex_no"), F.when(k == 0, True).when(k == 1, False).alias("region_ok"))
+    return trades.match_complexes(lots, _complexes(spark, d), stored=stored)
 
 
-_NAME = r"""nullif(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(address, '\([^)]*\)', ' ', 'g'), ',', ' ', 'g'), '\s+', ' ', 'g')), '^([가-힣]+(특별자치도|특별자치시|특별시|광역시|도)\s+)?([가-힣]+시\s+)?([가-힣]+군\s+)?([가-힣]+구\s+)?([가-힣]+(읍|면)\s+)?([가-힣]+동\d+가\s+|[가-힣]+(동|리|가)\s+)?([가-힣0-9]+(로|길)\s+)?', ''), '^\s*\d+(-\d+)?(외\s*\d+필지)?\s+', '')), '\s*(제?\s*[0-9가-힣]+동)?\s*(제?\s*[0-9]+층)?\s*(제?\s*[0-9A-Za-z가-힣]*-?[0-9]+호).*$', '')), '\s*(제?\s*[가-힣0-9]*건축물|제\s*\d+동|외\s*\d+필지).*$', '')), '(아파트|아파트단지|단지)$', '')), '')"""
 _CANON = r"replace(replace(replace(replace(lower(regexp_replace({}, '[\s\-_()·,.]', '', 'g')), '이편한세상', 'e편한세상'), '에스케이', 'sk'), '케이비', 'kb'), '엘에이치', 'lh')"
-J8 = oracle(rf"""with l as (select seq as lot, address, {_CANON.format(_NAME)} as a from items),
-k as (select custkey as complex_no, min(address) as address from items group by custkey),
-k2 as (select complex_no, address, {_CANON.format(_NAME)} as b from k),
+J8 = oracle(rf"""with l as (select seq as lot, address, {_CANON.format(COMPLEX)} as a from items where seq % 7 <> 0 or seq % 3 = 2),
+k as (select custkey, min(address) as address from items group by custkey),
+k2 as (select custkey as complex_no, address, case when custkey % 5 = 0 then 'no' || custkey else {_CANON.format(COMPLEX)} end as b, case when custkey % 5 = 0 then {_CANON.format(COMPLEX)} || 'new' else '' end as tag from k),
 lt as (select distinct lot, a, dt, tn from l, unnest(regexp_extract_all(address, '([가-힣]+(?:시|군|구))', 1)) as u(dt), unnest(regexp_extract_all(address, '([가-힣]+(?:읍|면|동|리|가))', 1)) as v(tn) where a <> '' and length(dt) >= 2 and length(tn) >= 2),
-kt as (select distinct complex_no, b, dt, tn from k2, unnest(regexp_extract_all(address, '([가-힣]+(?:시|군|구))', 1)) as u(dt), unnest(regexp_extract_all(address, '([가-힣]+(?:읍|면|동|리|가))', 1)) as v(tn) where length(dt) >= 2 and length(tn) >= 2),
-p as (select distinct lot, complex_no, a, b from lt join kt using (dt, tn)),
-s as (select lot, complex_no, case when b <> '' and (contains(a, b) or contains(b, a)) then 1.0 when b <> '' and left(a, 4) = left(b, 4) then 0.7 else 0.5 end::double as score from p)
-select lot, arg_max(complex_no, (score, -complex_no)) as complex_no, max(score) as score from s group by lot having max(score) >= 0.6""")
+kt as (select distinct complex_no, b, tag, dt, tn from k2, unnest(regexp_extract_all(address, '([가-힣]+(?:시|군|구))', 1)) as u(dt), unnest(regexp_extract_all(address, '([가-힣]+(?:읍|면|동|리|가))', 1)) as v(tn) where length(dt) >= 2 and length(tn) >= 2),
+p as (select distinct lot, complex_no, a, b, tag from lt join kt using (dt, tn)),
+s as (select lot, complex_no, case when b <> '' and (contains(a, b) or contains(b, a)) then 1.0 when contains(tag, a) then 0.9 when b <> '' and left(a, 4) = left(b, 4) then 0.7 else 0.5 end::double as score from p)
+select lot, arg_max(complex_no, (score, -complex_no)) as complex_no, max(score) as score from s group by lot having max(score) >= 0.6
+union all select seq, custkey, null from items where seq % 7 = 0 and seq % 3 = 0""")
 
 
 def j9_register(spark, d):

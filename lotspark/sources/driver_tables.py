@@ -28,6 +28,12 @@ NAMES = "한빛아파트,푸른빌라,대우푸르지오,이편한세상,현대
 COURTS = "A01,A02,B03,C01,D01,E01,F02,G01,H01,I01,J01,L02"
 PEOPLE = "김철수,이영,박,한국은행,서울 새마을금고,최민수현"
 
+#: The complex that an address of ``items`` names, told from what it was made of: places that begin with a bare province keep all words.
+COMPLEX = (
+    f"(case when regexp_matches({_pick(PLACES, 'custkey')}, '^(부산|서울|충남|경기) ') then {_pick(PLACES, 'custkey')} || ' ' || cast(custkey % 97 + 1 as string)"
+    f" || case when custkey % 3 = 0 then '-' || cast(custkey % 5 + 1 as string) else '' end || ' ' else '' end || replace({_pick(NAMES, 'custkey')}, '한빛아파트', '한빛'))"
+)
+
 #: name -> (tables it reads, SQL)
 DERIVED: dict[str, str] = {
     "items": f"""

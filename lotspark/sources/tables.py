@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import found
+from .versions import replace
 
 SCHEMAS = {
     "items": "item_key string, case_no string, court_code string, usage_name string, search_group string, address string, area_text string, building_area string, appraisal_price bigint, min_price bigint, sale_price bigint, sale_rate string, sell_date string, result string, status_reason string, data_class string, tags string, fail_count int, bid_count int, sale_2nd_price bigint, est_price bigint, lat double, lng double, changed_fields array<string>, updated_at timestamp",
@@ -24,9 +25,43 @@ def read(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, **options) -> DataFrame:
-    """A database table in ``parts`` ranges of a numeric key."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options).load()
+def key_ranges(spark: SparkSession, url: str, name: str, key: str, parts: int, **options) -> list[str]:
+    """Predicates that split a database table into ``parts`` ranges of about as many rows each; rows without a key go with the first.
+
+    The database counts the keys by steps between its least and largest one, and the
+    steps that hold too many once more by smaller ones, so keys that lie unevenly
+    still make even ranges; only those counts come back.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    low, high, total = reader.option("query", f"select min({key}) as low, max({key}) as high, count({key}) as n from {name}").load().first()
+    if not total or low == high or parts < 2:
+        return ["1 = 1"]
+
+    def counted(low: int, high: int) -> list[tuple[int, int, int]]:
+        """(first key, key after the last, rows) of the steps that have any."""
+        step = -(-(high - low) // (parts * 16))
+        slots = reader.option("query", f"select slot, count(*) as n from (select ({key} - {low}) / {step} as slot from {name} where {key} >= {low} and {key} < {high}) t group by slot").load()
+        return [(low + int(s) * step, min(high, low + (int(s) + 1) * step), n) for s, n in slots.collect()]
+
+    todo, steps = [(int(low), int(high) + 1, total)], []
+    while todo:
+        low, high, n = todo.pop()
+        if n * parts * 4 > total and high - low > 1:
+            todo += counted(low, high)
+        else:
+            steps.append((low, high, n))
+    edges, seen = [], 0
+    for _, after, n in sorted(steps):
+        seen += n
+        if seen * parts >= total * (len(edges) + 1) and len(edges) < parts - 1:
+            edges.append(after)
+    middle = [f"{key} >= {a} and {key} < {b}" for a, b in zip(edges, edges[1:], strict=False)]
+    return [f"{key} < {edges[0]} or {key} is null", *middle, f"{key} >= {edges[-1]}"]
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str, parts: int, **options) -> DataFrame:
+    """A database table in up to ``parts`` ranges of a whole-number key, one query each; ``key`` is written as SQL wants it, with quotes if need be."""
+    return spark.read.jdbc(url, name, predicates=key_ranges(spark, url, name, key, parts, **options), properties={k: str(v) for k, v in options.items()})
 
 
 TRADE_XML = "item array<struct<dealAmount:string,dealYear:string,dealMonth:string,dealDay:string,excluUseAr:string,umdNm:string,jibun:string,aptNm:string>>"
@@ -62,19 +97,5 @@ def lookup(rows: DataFrame, cache: DataFrame, key: str, prefix: str) -> DataFram
 
 
 def write_facets(df: DataFrame, path: str) -> None:
-    """Nested rows as JSON files that replace the older ones at once."""
+    """Nested rows as JSON files that replace the older ones at once; ``versions.read`` reads them."""
     replace(df, path, "json")
-
-
-def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Write beside the table, then swap: readers never see half a table, and ``df`` may read ``path``."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    fresh, old, now = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", f"{path}.old", path))
-    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").format(kind).save(f"{path}.new")
-    fs.delete(old, True)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(fresh, now)
-    fs.delete(old, True)

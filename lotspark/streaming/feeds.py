@@ -7,8 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.upkeep import latest, upsert
-from ..sources.tables import replace
+from ..sources.versions import KeyedTable
 
 
 def change_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -16,25 +15,15 @@ def change_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def upsert_into(path: str, key: str, order: str, keep: tuple[str, ...] = ()):
-    """``foreachBatch`` function: the latest version of each key of a batch goes into the table at ``path``.
+def upsert_into(table: KeyedTable, order: str, keep: tuple[str, ...] = ()):
+    """``foreachBatch`` function: the latest version of each key of a batch goes into ``table``, whose other buckets stay as they are.
 
-    A version that isn't newer than the table's is dropped, so a batch that is
-    run again changes nothing.
+    A version that isn't newer than the table's is dropped, so a batch that is run
+    again changes nothing.
     """
 
     def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch, key, order)
-        try:
-            old = spark.read.parquet(path)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            replace(new, path)
-            return
-        newer = new.alias("n").join(old.select(F.col(key).alias("k"), F.col(order).alias("o")), F.col(f"n.{key}") == F.col("k"), "left").where(F.col("o").isNull() | (F.col(f"n.{order}") > F.col("o"))).select("n.*")
-        replace(upsert(old, newer, key, keep), path)
+        table.upsert(batch, order, keep)
 
     return run
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from lotspark.functions import scalar as S
 from lotspark.functions.helpers import lcs_length
 from lotspark.operators import geo, grading, payout, rights, search, text, trades, upkeep
+from lotspark.operators.substrings import containing
+from lotspark.sources import versions
+from lotspark.sources.versions import KeyedTable
 
 D = dt.date.fromisoformat
 M = 1_000_000
@@ -233,8 +236,9 @@ def test_stream_equals_batch(spark, tmp_path):
     for n in range(4):
         spark.createDataFrame(rows[n * 10 : n * 10 + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = feeds.change_feed(spark, str(tmp_path / "in"), schema)
-    feeds.run_once(stream, str(tmp_path / "ck"), feeds.upsert_into(str(tmp_path / "out"), "k", "version"))
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("k", "version", "v").collect()))
+    out = KeyedTable(spark, str(tmp_path / "out"), "k", schema, 4)
+    feeds.run_once(stream, str(tmp_path / "ck"), feeds.upsert_into(out, "version"))
+    got = sorted(map(tuple, out.read().select("k", "version", "v").collect()))
     assert got == sorted(map(tuple, upkeep.latest(spark.createDataFrame(rows, schema), "k", "version").select("k", "version", "v").collect()))
 
 
@@ -334,8 +338,9 @@ def test_facets_replace_and_typed_read(spark, tmp_path):
     path = f"file://{tmp_path}/facets"
     for n in (3, 2):
         tables.write_facets(spark.range(n).select("id", F.array("id").alias("a")), path)
-        assert spark.read.json(path).count() == n
-    assert not [p for p in tmp_path.iterdir() if p.name != "facets"]
+        assert versions.read(spark, path).count() == n
+    versions.sweep(spark, path)
+    assert len([p for p in (tmp_path / "facets").iterdir() if p.name[0] != "."]) == 2 and versions.read(spark, path).count() == 2
     spark.createDataFrame([("s", 1)], "sgg string, extra int").write.parquet(f"{tmp_path}/t")
     read = tables.read(spark, "trades", f"{tmp_path}/t")
     assert read.columns[0] == "sgg" and "extra" not in read.columns and read.first().amount is None
@@ -356,3 +361,109 @@ def test_latitudes_beyond_the_grid(spark):
     assert geo.near_pairs(far, far, 500.0, max_lat=75.0).count() == 1
     with pytest.raises(Exception, match="latitude"):
         geo.near_pairs(far, far, 500.0).collect()
+
+
+def files(spark, table):
+    return set(table.read().inputFiles())
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    t = KeyedTable(spark, f"file://{tmp_path}/t", "k", "k string, version int, v string", 16)
+    assert t.read().count() == 0
+    t.upsert(spark.range(1000).selectExpr("concat('k', id) as k", "1 as version", "concat('a', id) as v"))
+    before = files(spark, t)
+    new = spark.createDataFrame([("k5", 2, "new"), ("k5", 3, "newest"), ("k7", 0, "stale"), ("x", 1, "x"), (None, 1, "none")], "k string, version int, v string")
+    touched = t.upsert(new, "version", keep=())
+    after = files(spark, t)
+    assert len(touched) <= 4 and len(before & after) == 16 - len(touched) > 0
+    got = {r.k: (r.version, r.v) for r in t.read().collect()}
+    assert got["k5"] == (3, "newest") and got["k7"] == (1, "a7") and got["x"] == (1, "x") and len(got) == 1002
+    assert t.upsert(new, "version") and {r.k: (r.version, r.v) for r in t.read().collect()} == got  # again changes nothing
+    assert t.upsert(new.limit(0)) == []
+    with pytest.raises(ValueError):
+        KeyedTable(spark, f"file://{tmp_path}/t", "k", "k string, version int, v string", 8).read()
+    versions.sweep(spark, f"file://{tmp_path}/t")
+    assert {r.k: (r.version, r.v) for r in t.read().collect()} == got
+
+
+def test_a_stopped_or_late_writer_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    versions.replace(spark.range(3), path)
+    with monkeypatch.context() as m:
+
+        def stop(*_):
+            raise KeyboardInterrupt
+
+        m.setattr(versions, "commit", stop)
+        with pytest.raises(KeyboardInterrupt):
+            versions.replace(spark.range(5), path)
+    assert versions.read(spark, path).count() == 3
+    number, manifest = versions.current(spark, path)
+    versions.replace(versions.read(spark, path).union(spark.range(1)), path)  # reads what it replaces
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, path, manifest, number)
+    assert versions.read(spark, path).count() == 4
+    versions.sweep(spark, path)
+    assert versions.read(spark, path).count() == 4 and len([p for p in (tmp_path / "t").iterdir() if p.name[0] != "."]) == 2
+
+
+def test_jdbc_ranges(spark):
+    """A database that the test keeps in memory: even ranges of uneven keys, all rows once."""
+    from lotspark.sources import tables
+
+    from .compare import SF
+
+    url, driver = "jdbc:derby:memory:ranges;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    orders = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("cast(if(o_orderkey % 3 = 0, o_orderkey * o_orderkey, o_orderkey) as bigint) as id", "o_totalprice as price")
+    rows = orders.unionByName(spark.createDataFrame([(None, 1.0)], "id long, price double"))
+    rows.coalesce(1).write.jdbc(url, "orders_in", properties={"driver": driver})
+    back = tables.read_jdbc(spark, url, "orders_in", '"id"', 6, driver=driver)
+    parts = [r[0] for r in back.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+    assert back.rdd.getNumPartitions() == 6 and max(parts) < 2.5 * rows.count() / 6
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    rows.limit(0).write.jdbc(url, "empty_in", properties={"driver": driver})
+    assert tables.read_jdbc(spark, url, "empty_in", '"id"', 6, driver=driver).count() == 0
+
+
+def test_needles_in_texts(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    texts = [(i % 3, word(rng.randint(0, 30))) for i in range(300)] + [(0, None)]
+    needles = [(i % 4, word(rng.randint(0, 6))) for i in range(120)] + [(1, None)]
+    t, n = spark.createDataFrame(texts, "g int, text string"), spark.createDataFrame(needles, "g int, needle string")
+    want = {(g, x, y) for g, x in texts for h, y in needles if g == h and x is not None and y and y in x}
+    assert {tuple(r) for r in containing(t, n, ("g",)).collect()} == want
+    whole = {(x, y) for _, x in texts for _, y in needles if x is not None and y and y in x}
+    assert {tuple(r) for r in containing(t, n).collect()} == whole
+    assert containing(t.limit(0), n, ("g",)).count() == containing(t, n.limit(0)).count() == 0
+
+
+def test_register_of_one_large_district_equals_all_pairs(spark):
+    """Thousands of spellings in one district: what the letters leave out would have had no common subsequence."""
+    rng = random.Random(9)
+    parts = ["한빛", "푸른", "대우", "래미안", "현대", "신도시", "마을", "1차", "2단지", "아파트", "빌라", "타운", "센트럴", "파크", "e편한"]
+    spell = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+    a, b = sorted({spell() for _ in range(300)}), sorted({spell() for _ in range(2500)})
+    left = spark.createDataFrame([(1, x) for x in a], "district int, a string")
+    right = spark.createDataFrame([(1, x) for x in b], "district int, b string")
+    got = {(r.a, r.b) for r in trades.coverable(left, right, "district").collect()}
+    want = {(x, y) for x in a for y in b if (n := lcs_length(x, y)) >= 4 and n >= 0.7 * len(x)}
+    assert want <= got and len(got) < 0.1 * len(a) * len(b)
+
+
+def test_stored_matches_win_and_tags_count(spark):
+    at = "경기도 수원시 매탄동 12 "
+    lots = spark.createDataFrame([(1, at + "한빛 101호"), (2, at + "한빛 102호"), (3, at + "푸른 101호"), (4, at + "한빛 103호"), (5, at + "이름 101호")], "lot int, address string")
+    complexes = spark.createDataFrame([(10, "한빛", "", "경기도 수원시 매탄동"), (11, "다른이름", "푸른 마을", "경기도 수원시 매탄동")], "complex_no int, name string, tag string, address string")
+    stored = spark.createDataFrame([(1, "77", True), (2, None, False), (4, None, None)], "lot int, complex_no string, region_ok boolean")
+    got = {r.lot: (r.complex_no, r.score) for r in trades.match_complexes(lots, complexes, stored=stored).collect()}
+    assert got == {1: (77, None), 3: (11, 0.9), 4: (10, 1.0), 5: (11, 1.0)}
+    assert {r.lot for r in trades.match_complexes(lots, complexes).collect()} == {1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("address, name", [
+    ("서울특별시 강서구 화곡동 12-3 한빛아파트 101동 5층504호", "한빛"), ("경기도 수원시 영통구 매탄동 12외 3필지 래미안 제101동 제5층 제504호", "래미안"), ("서울 종로구 종로5가 1 푸른단지", "서울 종로구 종로5가 1 푸른"),
+    ("화성시 동탄면 오산리 7 이편한세상 (화곡동, 한빛) B101호", "이편한세상"), ("강원도 강릉시 교동", "교동"), ("경기도 과천시 테헤란로 12", "12"), ("", None), (None, None), ("대구광역시 달서구 월성동 1 한빛5층 501호", "한빛"), ("부산광역시 중구 동광동3가 5 제2동 상가", None),
+])
+def test_complex_names(spark, address, name):
+    assert one(spark, S.complex_name(F.col("a").cast("string")), a=address) == name
