@@ -87,9 +87,9 @@ def match_complexes(lots: DataFrame, complexes: DataFrame, accept: float = 0.6,
     if stored is not None:
         settled = stored.where("nullif(complex_no, '') is not null or region_ok is not null")
         lots = lots.join(settled.select("lot"), "lot", "left_anti")
-    # the name's steps are the dear part: addresses go through them once, and both uses read the result
-    alike = F.xxhash64("a", "districts", "towns").alias("alike")
-    named = saver(lots.sparkSession)(lots.select("lot", S.canonical_name(S.complex_name(F.col("address"))).alias("a"), *tokens(F.col("address"))).where("a <> ''").select("*", alike))
+    # the name's steps are the dear part: an address goes through them once, before anything filters or hashes the result
+    read = saver(lots.sparkSession)(lots.select("lot", S.canonical_name(S.complex_name(F.col("address"))).alias("a"), *tokens(F.col("address"))))
+    named = read.where("a <> ''").withColumn("alike", F.xxhash64("a", "districts", "towns"))
     a = region(named.select("a", "districts", "towns", "alike").distinct()).withColumnRenamed("alike", "lot")
     tag = S.canonical_name(F.col("tag")) if "tag" in complexes.columns else F.lit("")
     few = complexes.select("complex_no", S.canonical_name(F.col("name")).alias("b"), tag.alias("tag"), *tokens(F.col("address"))).groupBy("b", "tag", "districts", "towns").agg(F.min("complex_no").alias("complex_no"))
