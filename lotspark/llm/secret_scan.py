@@ -37,11 +37,11 @@ STRONG = {
 NEEDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("AKIA",), "pem": ("-----BEGIN",), "github": ("gh",), "jwt": ("eyJ",), "hex": ()}
 
 #: A name with what sets its value apart; each name is read once, whatever its length.
-NAME = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?\x20*+[:=]\x20*+["']?""", re.ASCII)
+NAME = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?[\x20\t]*+(?:=>|:=|[:=])[\x20\t]*+["']?""", re.ASCII)
 #: Weak parts that a name announces: role, words of the name, run of the value and its least length. Each is common in clean text and means something beside its complements only.
 NAMED = {
     "id_part": ("identifier", ("user", "username", "login", "client_id", "account", "access_key_id"), re.compile(r"[A-Za-z0-9_.@-]++"), 3),
-    "secret_part": ("secret", ("pass", "pwd", "key", "auth", "credential", "credentials", "private"), re.compile(r"[A-Za-z0-9+/_.=!#$%&*-]++"), 6),
+    "secret_part": ("secret", ("password", "passwd", "passphrase", "pass", "pwd", "secret", "token", "key", "auth", "credential", "credentials", "private"), re.compile(r"[A-Za-z0-9+/_.=!#$%&*@?^~-]++"), 6),
     "endpoint_part": ("endpoint", ("host", "hostname", "endpoint", "server", "region"), re.compile(r"[A-Za-z0-9_.:/-]++"), 3),
 }
 #: Weak parts by their form: role and pattern.
@@ -49,6 +49,8 @@ WEAK = {
     "blob_part": ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")),
     "endpoint_part": ("endpoint", re.compile(r"(?<![A-Za-z0-9_])(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_.:@/?&=%-]{4,}+", _F)),
 }
+#: User and password of an address are both parts of a credential.
+USER_INFO = re.compile(r"://([A-Za-z0-9_.%+-]++):([^\s:/@\"'<>]++)@")
 KINDS = [*STRONG, "id_part", "secret_part", "blob_part", "endpoint_part"]
 #: Roles that strong spans take when they stand beside weak parts.
 STRONG_ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "pem": "secret", "github": "secret", "jwt": "secret"}
@@ -99,9 +101,13 @@ def find_parts(text: str) -> list[tuple[str, str, bool, int, int]]:
     for kind, (role, pattern) in WEAK.items():
         if longest >= 32 if kind == "blob_part" else "://" in text:
             weak += [(m.start(), kind, role, *m.span()) for m in pattern.finditer(text)]
+    if "://" in text and "@" in text:
+        for m in USER_INFO.finditer(text):
+            weak += [(m.start(1), "id_part", "identifier", *m.span(1)), (m.start(2), "secret_part", "secret", *m.span(2))]
     last: dict[str, int] = {}
+    told = {x[3] for x in out if x[1] == "secret"}  # a secret that is reported anyway is no weak part as well
     for begin, kind, role, a, b in sorted(weak):
-        if begin >= last.get(kind, 0):
+        if begin >= last.get(kind, 0) and not (role == "secret" and a in told):
             out.append((kind, role, False, a, b))
             last[kind] = b
     return out
