@@ -10,6 +10,8 @@ whole, in one task.
 
 from __future__ import annotations
 
+import math
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +22,31 @@ from lotspark.llm.queries import PII_KEY, VOCABULARY
 from lotspark.llm.scratch import Scratch, mark, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Cosine that random vectors of so many dimensions have by chance; what is less like every language is in none.
-LEAST_SCORE = langid.DIMS**-0.5
+#: Standard deviations of a random vector's cosine beyond which a text is in a language.
+SURE = 4.0
+#: Texts with fewer letters may be too short to be like any language; they stay if so many of their letters are ones that the languages use.
+SHORT_LETTERS, SHORT_SHARE = 60, 0.9
+
+
+def least_score(languages: int, dims: int = langid.DIMS) -> float:
+    """Cosine that the best of so many languages has with a random vector by chance in one case of some ten thousand."""
+    return (SURE + math.sqrt(2 * math.log(max(1, languages)))) / math.sqrt(dims)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language that the corpus' labels know: without a letter or with no likeness to any beyond chance."""
+    """Drops texts in no language that the corpus' labels know: without a letter, or no more like any than chance.
+
+    A text with fewer than ``SHORT_LETTERS`` letters, such as a greeting, is told by
+    its letters instead, if its score doesn't say it.
+    """
     model = langid.train_prototypes(docs)
+    alphabet = langid.train_alphabet(docs)
     named = langid.identify_language(docs.select(*COLUMNS), model)
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_SCORE) & F.col("doc_id").isNotNull()).select(*COLUMNS)
+    letters = F.regexp_replace("text", r"[^\p{L}]", "")
+    strange = F.length(F.regexp_replace(F.lower(letters), f"[{alphabet}]", "")) if alphabet else F.length(letters)
+    short = (F.length(letters) < SHORT_LETTERS) & (strange <= (1 - SHORT_SHARE) * F.length(letters))
+    kept = F.when(F.col("score") > least_score(len(model)), True).otherwise(short)
+    return named.where((F.col("lang_pred") != "und") & F.col("doc_id").isNotNull() & kept).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
