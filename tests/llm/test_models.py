@@ -134,7 +134,7 @@ def test_repair_does_not_depend_on_blocks(spark):
     assert whole == cut
     assert whole[-9]["audit"] == "" and whole[-9]["cost"] == 0 and whole[-1]["blank"] == 1 and whole[-1]["gaps"] == 0 and whole[-1]["audit"] == "D"
     assert (whole[-2]["gaps"], whole[-2]["duplicate"], whole[-2]["truncated"], whole[-2]["illegal"]) == (6, 1, 1, 2)
-    assert whole[-3]["duplicate"] == 59 and whole[None]["audit"] == "RR"
+    assert whole[-3]["duplicate"] == 59 and whole[None]["audit"] == "IKKI"
     assert repair.repair_conversations(both.limit(0)).count() == 0
 
 
