@@ -35,7 +35,7 @@ _U = np.uint64
 PAIR_WEIGHT, TRIPLE_WEIGHT = 1000.0, 5.0
 CHUNK = 4 << 20
 #: Tokens of the corpus for each trie, and occurrences of a middle word beyond which it has tries of its own.
-TRIE_TOKENS, HOT = 500_000, 4_000_000
+TRIE_TOKENS, HOT = 500_000, 1_500_000
 #: Words for each task that numbers them.
 BUCKET_TOKENS = 2_000_000
 END, START = 0, 1
@@ -336,7 +336,9 @@ def _answers(a: float, b: float) -> Callable[[pa.Table], pa.Table]:
     def task(group: pa.Table) -> pa.Table:
         rows = [[unpacked(x) for x in blobs] for blobs in group.column("grams").to_pylist()]
         lens = [len(r[0]) for r in rows]
-        steps = answered([np.concatenate(c) for c in zip(*rows, strict=True)], a, b)
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+        del rows
+        steps = answered(columns, a, b)
         ends = np.cumsum(lens)
         return pa.table({"trie": group.column("trie"), "chunk": group.column("chunk"), "steps": [packed(steps[e - n : e]) for e, n in zip(ends.tolist(), lens, strict=True)]})
 
