@@ -28,14 +28,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .gram_counts import SENT, received, sent, summed
 from .ngram_trie import STEPS, Ranges, Rising, Trie, code, value
 from .scratch import Scratch
-from .text_arrays import SPACE_SPLIT, Words, cut_chunks, mix, small_batches, tidy
+from .text_arrays import SPACE_SPLIT, Words, cut_chunks, mix, small_batches, tidy, tidy_group
 
 _U = np.uint64
 #: Words that a context's shorter one counts for: a of pairs, b of trigrams.
 PAIR_WEIGHT, TRIPLE_WEIGHT = 1000.0, 5.0
 CHUNK = 4 << 20
 #: Tokens of the corpus for each trie, and occurrences of a middle word beyond which it has tries of its own.
-TRIE_TOKENS, HOT = 500_000, 1_500_000
+TRIE_TOKENS, HOT = 250_000, 1_500_000
 #: Words for each task that numbers them.
 BUCKET_TOKENS = 2_000_000
 END, START = 0, 1
@@ -116,6 +116,7 @@ def _words_sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
 def _numbered(buckets: int) -> Callable[[pa.Table], pa.Table]:
     """Each chunk's words of a bucket get their numbers, small ones for frequent words, and counts."""
 
+    @tidy_group
     def task(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         keys, counts, lens = received(group)
@@ -133,6 +134,7 @@ def _numbered(buckets: int) -> Callable[[pa.Table], pa.Table]:
     return task
 
 
+@tidy_group
 def _joined(chunk: pa.Table, replies: pa.Table) -> pa.Table:
     """A chunk with the numbers and totals of its words."""
     if not chunk.num_rows:
@@ -227,6 +229,7 @@ def _pairs_sent(batches: Iterator[pa.RecordBatch], buckets: int, ends: int, limi
         yield sent(row["chunk"], keys, counts, buckets)
 
 
+@tidy_group
 def _pairs_counted(group: pa.Table) -> pa.Table:
     keys, counts, lens = received(group)
     distinct, at = np.unique(keys, return_inverse=True)
@@ -236,6 +239,7 @@ def _pairs_counted(group: pa.Table) -> pa.Table:
     return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "keys": cut(keys), "pair_totals": [packed(total[e - n : e]) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]})
 
 
+@tidy_group
 def _with_pairs(chunk: pa.Table, replies: pa.Table) -> pa.Table:
     replies = replies.sort_by("bucket")
     keys = b"".join(replies.column("keys").to_pylist())
@@ -333,6 +337,7 @@ def answered(columns: list[np.ndarray], a: float, b: float) -> np.ndarray:
 
 
 def _answers(a: float, b: float) -> Callable[[pa.Table], pa.Table]:
+    @tidy_group
     def task(group: pa.Table) -> pa.Table:
         rows = [[unpacked(x) for x in blobs] for blobs in group.column("grams").to_pylist()]
         lens = [len(r[0]) for r in rows]
@@ -348,6 +353,7 @@ def _answers(a: float, b: float) -> Callable[[pa.Table], pa.Table]:
 def _added(tries: int, ends: int, whole: float, limit: int, kind: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A chunk's texts with their sums."""
 
+    @tidy_group
     def task(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         row = {c: chunk.column(c)[0].as_py() for c in chunk.schema.names}
         g = _Grams(row)

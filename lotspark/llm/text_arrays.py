@@ -55,17 +55,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return freed memory to the system; else a worker keeps it for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        pass
+
+
 def tidy(task: Callable) -> Callable:
-    """A function over batches that returns freed memory to the system at its end, as later stages use the same worker."""
+    """A function over batches that gives memory back at its end, as later stages use the same worker."""
 
     @wraps(task)
     def run(*args, **kwargs):
         yield from task(*args, **kwargs)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library keeps it
-            pass
+        give_back()
+
+    return run
+
+
+def tidy_group(task: Callable) -> Callable:
+    """A function of one group's tables that gives memory back after each group."""
+
+    @wraps(task)
+    def run(*tables):
+        out = task(*tables)
+        give_back()
+        return out
 
     return run
 
