@@ -76,15 +76,19 @@ def tidy(task: Callable) -> Callable:
 
 
 def tidy_group(task: Callable) -> Callable:
-    """A function of one group's tables that gives memory back after each group."""
+    """A function of a group's table, or of the two of a cogroup, that gives memory back after each group."""
 
-    @wraps(task)
-    def run(*tables):
-        out = task(*tables)
+    def one(group: pa.Table) -> pa.Table:
+        out = task(group)
         give_back()
         return out
 
-    return run
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = task(left, right)
+        give_back()
+        return out
+
+    return one if task.__code__.co_argcount == 1 else two  # Spark counts the parameters
 
 
 def text_chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
