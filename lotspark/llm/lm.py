@@ -35,7 +35,7 @@ _U = np.uint64
 PAIR_WEIGHT, TRIPLE_WEIGHT = 1000.0, 5.0
 CHUNK = 4 << 20
 #: Tokens of the corpus for each trie, and occurrences of a middle word beyond which it has tries of its own.
-TRIE_TOKENS, HOT = 250_000, 1_500_000
+TRIE_TOKENS, HOT = 250_000, 3_000_000
 #: Words for each task that numbers them.
 BUCKET_TOKENS = 2_000_000
 END, START = 0, 1
