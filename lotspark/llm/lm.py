@@ -395,7 +395,7 @@ def score_texts(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    scratch = Scratch(spark, "lm")
+    scratch = Scratch(spark, "lm", keep_shuffles=False)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(learn_col), F.lit(False)).alias("_learn"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     texts = f"chunk long, owner long, ids array<{kind}>, learn array<boolean>, closes boolean, lens binary, tokens binary, carry array<long>"
@@ -413,7 +413,9 @@ def score_texts(
     asking = full
     if ends > hot or _any_hot(full, hot):
         pairs = full.mapInArrow(lambda it: _pairs_sent(it, buckets, ends, hot), SENT).groupBy("bucket").applyInArrow(_pairs_counted, "chunk long, bucket long, keys binary, pair_totals binary")
-        asking = full.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_with_pairs, f"{schema}, pairs binary, pair_totals binary")
+        asking = scratch.save(full.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_with_pairs, f"{schema}, pairs binary, pair_totals binary"))
+        scratch.drop(full)
+        full = asking.drop("pairs", "pair_totals")
     grams = asking.mapInArrow(lambda it: _grams_sent(it, tries, ends, whole, hot), GRAMS)
     steps = scratch.save(grams.groupBy("trie").applyInArrow(_answers(pair_weight, triple_weight), "trie long, chunk long, steps binary"))
     added = _added(tries, ends, whole, hot, to_arrow_type(rows.schema["_id"].dataType))

@@ -49,11 +49,20 @@ def release(since: int = 0) -> None:
         _delete(*_roots.pop())
 
 
+#: Spark's setting by which a query's shuffle files go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Parquet tables under one fresh folder of the shared directory."""
+    """Parquet tables under one fresh folder of the shared directory.
+
+    Without ``keep_shuffles`` the shuffle files of a table go once it is written, not
+    only when the driver collects its garbage.
+    """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, keep_shuffles: bool = True):
         self.spark = spark
+        self.keep_shuffles = keep_shuffles
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
         _roots.append((spark, self.root))
@@ -62,7 +71,12 @@ class Scratch:
         """Write ``df`` and return it as read back."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, before if self.keep_shuffles else "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
