@@ -205,6 +205,16 @@ def _hot(grams: _Grams, totals: np.ndarray, limit: int) -> np.ndarray:
     return totals[grams.v_at] > limit
 
 
+def _pair_counts(g: _Grams, totals: np.ndarray, hot: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk's pairs that hot middle words need, as rising keys, and how often each stands in its texts to learn from."""
+    frequent = totals > limit
+    own = frequent[g.v_at] | frequent[g.w_at]
+    # each token stands for the pair that ends in it; two starts stand before each text
+    starts = hot & (g.v == START) & (g.u == START)
+    found, asked = np.append(pair_key(g.v[own], g.w[own]), pair_key(g.u[starts], g.v[starts])), np.append(*g.pairs(hot))
+    return summed(np.append(found, asked), np.concatenate([g.n[own], g.n[starts], np.zeros(len(asked), np.int64)]))
+
+
 def _dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -220,13 +230,7 @@ def _pairs_sent(batches: Iterator[pa.RecordBatch], buckets: int, ends: int, limi
         hot = _hot(g, totals, limit)
         if not hot.any():
             continue
-        frequent = totals > limit
-        own = frequent[g.v_at] | frequent[g.w_at]
-        # each token stands for the pair that ends in it; two starts stand before each text
-        starts = hot & (g.v == START) & (g.u == START)
-        found, asked = np.append(pair_key(g.v[own], g.w[own]), pair_key(g.u[starts], g.v[starts])), np.append(*g.pairs(hot))
-        keys, counts = summed(np.append(found, asked), np.concatenate([g.n[own], g.n[starts], np.zeros(len(asked), np.int64)]))
-        yield sent(row["chunk"], keys, counts, buckets)
+        yield sent(row["chunk"], *_pair_counts(g, totals, hot, limit), buckets)
 
 
 @tidy_group
@@ -235,16 +239,15 @@ def _pairs_counted(group: pa.Table) -> pa.Table:
     distinct, at = np.unique(keys, return_inverse=True)
     total = np.bincount(at, counts, len(distinct)).astype(np.int64)[at]
     ends = np.cumsum(lens)
-    cut = lambda a: [a[e - n : e].tobytes() for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
-    return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "keys": cut(keys), "pair_totals": [packed(total[e - n : e]) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]})
+    return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "pair_totals": [packed(total[e - n : e]) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]})
 
 
 @tidy_group
 def _with_pairs(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+    """A chunk with the counts of its pairs, in the order of their keys, which it works out again."""
     replies = replies.sort_by("bucket")
-    keys = b"".join(replies.column("keys").to_pylist())
     totals = packed(np.concatenate([np.zeros(0, np.int64), *(unpacked(x) for x in replies.column("pair_totals").to_pylist())]))
-    return chunk.append_column("pairs", pa.array([keys], pa.binary())).append_column("pair_totals", pa.array([totals], pa.binary()))
+    return chunk.append_column("pair_totals", pa.array([totals], pa.binary()))
 
 
 GRAMS = "trie long, chunk long, grams array<binary>"
@@ -263,7 +266,7 @@ def _grams_sent(batches: Iterator[pa.RecordBatch], tries: int, ends: int, whole:
         columns = [x[order] for x in (g.v, g.w, g.u, g.n, one)]
         if hot.any():
             vw, uv = g.pairs(hot)
-            keys, counts = np.frombuffer(row["pairs"], _U), unpacked(row["pair_totals"])
+            keys, counts = _pair_counts(g, totals, hot, limit)[0], unpacked(row["pair_totals"])
             more = np.zeros((3, len(at)), np.int64)
             more[0, hot], more[1, hot], more[2, hot] = totals[g.v_at[hot]], counts[np.searchsorted(keys, vw)], counts[np.searchsorted(keys, uv)]
             more = more[:, order]
@@ -412,10 +415,10 @@ def score_texts(
     scratch.drop(chunks, numbers)
     asking = full
     if ends > hot or _any_hot(full, hot):
-        pairs = full.mapInArrow(lambda it: _pairs_sent(it, buckets, ends, hot), SENT).groupBy("bucket").applyInArrow(_pairs_counted, "chunk long, bucket long, keys binary, pair_totals binary")
-        asking = scratch.save(full.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_with_pairs, f"{schema}, pairs binary, pair_totals binary"))
+        pairs = full.mapInArrow(lambda it: _pairs_sent(it, buckets, ends, hot), SENT).groupBy("bucket").applyInArrow(_pairs_counted, "chunk long, bucket long, pair_totals binary")
+        asking = scratch.save(full.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_with_pairs, f"{schema}, pair_totals binary"))
         scratch.drop(full)
-        full = asking.drop("pairs", "pair_totals")
+        full = asking.drop("pair_totals")
     grams = asking.mapInArrow(lambda it: _grams_sent(it, tries, ends, whole, hot), GRAMS)
     steps = scratch.save(grams.groupBy("trie").applyInArrow(_answers(pair_weight, triple_weight), "trie long, chunk long, steps binary"))
     added = _added(tries, ends, whole, hot, to_arrow_type(rows.schema["_id"].dataType))
