@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geo import near_pairs
+from .ranking import medians
 
 YEARS = 3
 
@@ -66,4 +67,4 @@ def vehicle_pairs(targets: DataFrame, cases: DataFrame, as_of: Column, year_tol:
 
 def vehicle_median(pairs: DataFrame, least: int = 2) -> DataFrame:
     """target, cases, expected_bid: the median price, cut to whole won, of at least two cases."""
-    return pairs.groupBy("target").agg(F.count("*").alias("cases"), F.floor(F.percentile("price", 0.5)).cast("long").alias("expected_bid")).where(F.col("cases") >= least)
+    return medians(pairs, ["target"], "price").where(F.col("n") >= least).select("target", F.col("n").alias("cases"), F.floor("median").cast("long").alias("expected_bid"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalar import PROVINCES, address_parts, reconciled_result
+from .ranking import with_places
 
 #: Status groups, statuses in the order of their first match, sorts.
 STATUS_GROUPS = {
@@ -132,11 +133,11 @@ def region_tree(lots: DataFrame) -> DataFrame:
     return r.where("g < 7").select("province", "district", "town", "n", F.col("g").cast("int").alias("g"))
 
 
-def facets(lots: DataFrame, *columns: str) -> DataFrame:
-    """facet, value, n, place: the values of each column by falling frequency, in one pass."""
+def facets(lots: DataFrame, *columns: str, save) -> DataFrame:
+    """facet, value, n, place: the values of each column by falling frequency; ``save`` writes and rereads a table."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))).alias("f")
     n = lots.select(pairs).select("f.*").where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(W.partitionBy("facet").orderBy(F.col("n").desc(), "value")))
+    return with_places(n, ["facet"], [F.col("n").desc(), F.col("value").asc()], save)
 
 
 def in_stated_order(lots: DataFrame, keys: list[str]) -> DataFrame:

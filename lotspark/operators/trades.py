@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import scalar as S
 from ..functions.helpers import lcs
 from ..sources.scratch import saver
+from .ranking import medians
 from .substrings import containing
 
 
@@ -187,7 +188,7 @@ def posted_price(lots: DataFrame, units: DataFrame, tol: float = 0.7) -> DataFra
     u = units.join(lots.select("lot", F.col("area").alias("w_area"), F.col("floor").alias("w_floor")), "lot").withColumn("latest", F.max("year").over(lot)).where("year = latest")
     u = u.withColumn("fits", F.coalesce(F.abs(F.col("area") - F.col("w_area")) <= tol, F.lit(True))).withColumn("some", F.max(F.col("fits").cast("int")).over(lot)).where("fits or some = 0")
     u = u.withColumn("level", F.coalesce(F.col("floor") == F.col("w_floor"), F.lit(False))).withColumn("any", F.max(F.col("level").cast("int")).over(lot)).where("level or any = 0")
-    return u.groupBy("lot").agg(F.max("year").alias("year"), F.floor(F.percentile("price", 0.5)).cast("long").alias("price"), F.count("*").alias("n"))
+    return medians(u, ["lot", "year"], "price").select("lot", "year", F.floor("median").cast("long").alias("price"), "n")
 
 
 def winning_rounds(lots: DataFrame, rounds: DataFrame, first: bool = False) -> DataFrame:

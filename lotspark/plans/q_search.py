@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 
 from ..functions import scalar as S
 from ..operators import grading, search, text, upkeep
-from ..sources import tables, versions
+from ..sources import months, tables, versions
 from ..sources.driver_tables import oracle, table
-from ..sources.scratch import shared_dir
+from ..sources.scratch import saver, shared_dir
 from ..sources.versions import KeyedTable
 from ..streaming import feeds
 from .q_scalars import P_ADDRESSES
@@ -81,7 +81,7 @@ def a8_region_tree(spark, d):
 
 
 def a9_facets(spark, d):
-    return search.facets(_items(spark, d), "usage_name", "search_group", "court_code", "status")
+    return search.facets(_items(spark, d), "usage_name", "search_group", "court_code", "status", save=saver(spark))
 
 
 def a10_usages(spark, d):
@@ -182,6 +182,15 @@ def io9_months(spark, d):
     return months.join(o, "ym").groupBy("base").agg(F.count("*").alias("n"))
 
 
+def io9_partitions(spark, d):
+    """Lines shipped in the three months up to each month of late orders, from a table in month partitions."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", c("l_quantity").cast("double").alias("l_quantity"), "l_shipdate")
+    path = f"{shared_dir(spark)}/shipped-{uuid.uuid4().hex}"
+    months.write_months(lines, "l_shipdate", path)
+    bases = table(spark, d, "orders").where(c("o_orderdate") >= F.lit(dt.date(1998, 5, 1))).select(c("o_orderdate").cast("date").alias("base"))
+    return months.read_months(spark, path, _ddl(lines), bases, 3).groupBy("base").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
 def io10_split(spark, d):
     return _items(spark, d).select(upkeep.part_of(c("item_key"), 8).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
@@ -196,6 +205,17 @@ def st1_changes(spark, d):
     return new.groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("mark"))
 
 
+def st1_stream(spark, d):
+    """Changes read as a stream that stops and starts again once more have landed: each run sees what is new."""
+    e = table(spark, d, "events").select("event_id", "ts", "event_type")
+    root = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    for landed in (c("ts") < F.lit(HALF), c("ts") >= F.lit(HALF)):
+        e.where(landed).write.mode("append").parquet(f"{root}/in")
+        feeds.run_once(feeds.change_feed(spark, f"{root}/in", _ddl(e)), f"{root}/mark", feeds.append_batches(f"{root}/out"))
+    back = spark.read.schema(f"{_ddl(e)}, batch long").parquet(f"{root}/out")
+    return back.groupBy("batch", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("mark"))
+
+
 def st2_invalidated(spark, d):
     """Result tables to recompute by the fields that changed."""
     e = _changes(spark, d).withColumn("changed_fields", F.array(c("event_type"), F.when(c("k") > 50, "price").otherwise("status")))
@@ -261,6 +281,18 @@ def st7_unsent(spark, d):
     return upkeep.still_to_do(p.select(S.site_name(c("url")).alias("site")).distinct(), sent, "site")
 
 
+def st7_stream(spark, d):
+    """Links that the second run of a stream sends: those of the first are in its state."""
+    p = table(spark, d, "pages").select("page_id", S.site_name(c("url")).alias("site")).where("site is not null")
+    links = p.withColumn("ts", F.timestamp_seconds(c("page_id")))
+    root = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
+    for run in (0, 1):
+        links.where(c("page_id") % 2 == run).write.mode("append").parquet(f"{root}/in")
+        new = feeds.unsent(feeds.change_feed(spark, f"{root}/in", _ddl(links)), "site", "ts", "36500 days")
+        feeds.run_once(new, f"{root}/state", feeds.append_batches(f"{root}/sent-{run}"))
+    return spark.read.schema(_ddl(links)).parquet(f"{root}/sent-1").select("site")
+
+
 def w9_ledger(spark, d):
     e = _changes(spark, d).select("event_id", "user_id", F.when(c("event_type") == "purchase", -c("k")).otherwise(c("k") % 7).cast("long").alias("amount"))
     return upkeep.running_balance(e, "user_id", "event_id", "amount")
@@ -497,7 +529,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f1_search, f2_regions, f2_province, f2_case, f3_active, t1_page, t1_page_unknown_last, a6_status_counts, a7_group_counts, a8_region_tree, a9_facets, a10_usages, a21_region_distribution, a20_coverage, s0_favourites, t3_sale_days, s2_stale_points, s4_patterns, j18_untagged,
-        io4_json, io5_lookup, io6_upsert, io7_backfill, io9_months, io10_split, io10_sample, st1_changes, st2_invalidated, st3_latest, st_hourly_counts, st4_snapshot, st5_purge, f8_open_work, j15_points, j16_zones, j17_unsynced, w12_sections, io1_typed, io8_facets, st6_until_covered, st7_unsent, w9_ledger, w10_membership, j19_members, j22_specs, w6_first_occurrence, w6b_distinct_points, w11_main_building,
+        io4_json, io5_lookup, io6_upsert, io7_backfill, io9_months, io9_partitions, io10_split, io10_sample, st1_changes, st1_stream, st2_invalidated, st3_latest, st_hourly_counts, st4_snapshot, st5_purge, f8_open_work, j15_points, j16_zones, j17_unsynced, w12_sections, io1_typed, io8_facets, st6_until_covered, st7_unsent, st7_stream, w9_ledger, w10_membership, j19_members, j22_specs, w6_first_occurrence, w6b_distinct_points, w11_main_building,
         f6_relevance, x1_duplicate_titles, x1_kept_titles, t6_newest, t7_rounds, p30_sections, p30_detail, p31_waiver, io2_trades, io3_summary, r7_multi_family, r8_debt_demand, r11_brief,
     )
 }
@@ -533,10 +565,12 @@ ORACLES = {
       select coalesce(n.user_id, o.user_id) as user_id, coalesce(n.event_id, o.event_id) as event_id, coalesce(o.event_type, n.event_type) as event_type, coalesce(n.value, o.value) as value from o full join n on o.user_id = n.user_id""",
     "io7_backfill": oracle("select item_key, coalesce(bid_count * 1000, est_price)::bigint as est_price, bid_count from items"),
     "io9_months": "with b as (select distinct date_trunc('month', o_orderdate)::date as base from orders) select base, count(*) as n from b join orders on date_trunc('month', o_orderdate)::date between (base - interval 2 month)::date and base group by 1",
+    "io9_partitions": "with b as (select distinct date_trunc('month', o_orderdate)::date as base from orders where o_orderdate >= date '1998-05-01') select base, count(*) as n, round(sum(l_quantity), 2)::double as quantity from b join lineitem on date_trunc('month', l_shipdate)::date between (base - interval 2 month)::date and base group by 1",
     "io10_sample": oracle("""with h as (select item_key, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split('7:' || item_key, ''), lambda d: ascii(d)::bigint)),
         lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)) as h from items)
       select item_key from h order by xor(h, 4294967295), item_key limit 200"""),
     "st1_changes": f"with {_E} select event_type, count(*) as n, max(ts) as mark from e where ts > {_HALF} group by 1",
+    "st1_stream": f"select case when ts < {_HALF} then 0 else 1 end::bigint as batch, event_type, count(*) as n, max(ts) as mark from events group by 1, 2",
     "st2_invalidated": f"with {_E}, r as (select distinct user_id, 'bids' as result from e where k > 50 or event_type = 'purchase' union select distinct user_id, 'risk' from e where event_type = 'error' union select distinct user_id, 'page' from e) select result, count(*) as users from r group by 1",
     "st3_latest": f"with {_E} select user_id, max(event_id) as event_id, arg_max(ts, event_id) as ts, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from e group by 1",
     "st_hourly_counts": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
@@ -547,6 +581,7 @@ ORACLES = {
     "f8_open_work": "select distinct user_id from events where user_id not in (select user_id from events where event_type = 'purchase' and ts > timestamp '2024-01-24')",
     "st6_until_covered": "select distinct user_id, user_id % 12 <> 3 as found, case when user_id % 12 = 3 then 1 else user_id % 4 + 1 end::int as round from events where user_id % 10 <> 0",
     "st7_unsent": f"select distinct {_SITE} as site from pages where {_SITE} not in (select {_SITE} from pages where page_id % 2 = 0)",
+    "st7_stream": f"select distinct {_SITE} as site from pages where {_SITE} not in (select {_SITE} from pages where page_id % 2 = 0)",
     "w9_ledger": f"with {_E}, a as (select event_id, user_id, (case when event_type = 'purchase' then -k else k % 7 end)::bigint as amount from e) select *, (sum(amount) over w)::bigint as balance, sum(amount) over w < 0 as overdrawn from a window w as (partition by user_id order by event_id)",
     "w10_membership": W10,
     "j19_members": "with p as (select user_id, count(*) as n from events where event_type = 'purchase' group by 1) select c_mktsegment as grade, count(*) as members, count(n) as payers, coalesce(sum(n), 0)::bigint as payments from customer left join p on c_custkey = user_id group by 1",

@@ -28,6 +28,15 @@ def upsert_into(table: KeyedTable, order: str, keep: tuple[str, ...] = ()):
     return run
 
 
+def append_batches(path: str):
+    """``foreachBatch`` function: each batch becomes partition ``batch`` of the table at ``path``; one that is run again replaces itself."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run
+
+
 def unsent(links: DataFrame, key: str, ts: str, memory: str = "7 days") -> DataFrame:
     """Stream of links that weren't sent within the watermark."""
     return links.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, memory).dropDuplicatesWithinWatermark([key])

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from lotspark.functions import scalar as S
 from lotspark.functions.helpers import lcs_length
-from lotspark.operators import geo, grading, payout, rights, search, text, trades, upkeep
+from lotspark.operators import geo, grading, payout, ranking, rights, search, text, trades, upkeep
 from lotspark.operators.substrings import containing
-from lotspark.sources import versions
+from lotspark.sources import months, versions
 from lotspark.sources.versions import KeyedTable
 
 D = dt.date.fromisoformat
@@ -467,3 +467,41 @@ def test_stored_matches_win_and_tags_count(spark):
 ])
 def test_complex_names(spark, address, name):
     assert one(spark, S.complex_name(F.col("a").cast("string")), a=address) == name
+
+
+def test_places_over_ranges(spark):
+    from lotspark.sources.scratch import saver
+
+    draw = random.Random(5)
+    rows = [("hot" if i % 3 else draw.choice([None, "a", "b"]), draw.randrange(50), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, n int, i int")
+    got = {(r.g, r.n, r.i): r.place for r in ranking.with_places(df, ["g"], [F.col("n").desc(), F.col("i").asc()], saver(spark)).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        want |= {r: at for at, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1)}
+    assert got == want
+    assert ranking.with_places(df.limit(0), ["g"], [F.col("n").desc()], saver(spark)).count() == 0
+
+
+def test_medians(spark):
+    import statistics
+
+    draw = random.Random(6)
+    groups = {g: [draw.randrange(20) for _ in range(n)] for g, n in (("hot", 2001), ("even", 400), ("one", 1), ("two", 2))}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("two", None), (None, 4)]
+    got = {r.g: (r.n, r.median) for r in ranking.medians(spark.createDataFrame(rows, "g string, v long"), ["g"], "v").collect()}
+    assert got == {g: (len(vs), statistics.median(vs)) for g, vs in groups.items()} | {"none": (1, None), "two": (3, statistics.median(groups["two"])), None: (1, 4.0)}
+
+
+def test_only_wanted_months_are_read(spark, tmp_path):
+    days = [D(f"2023-{m:02d}-15") for m in range(1, 13)]
+    path = str(tmp_path / "by-month")
+    months.write_months(spark.createDataFrame([(i, d) for i, d in enumerate(days)] + [(99, None)], "i int, day date"), "day", path)
+    bases = spark.createDataFrame([(D("2023-06-02"),), (D("2023-06-30"),), (D("2023-11-11"),), (None,)], "base date")
+    for folder in (tmp_path / "by-month").iterdir():  # what isn't wanted can't even be read
+        if folder.is_dir() and folder.name not in {"ym=202304", "ym=202305", "ym=202306"}:
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"no parquet")
+    got = months.read_months(spark, path, "i int, day date", bases.where("base < date'2023-07-01'"), 3)
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted((r.base, r.i) for r in got.collect()) == [(D("2023-06-01"), i) for i in (3, 4, 5)]
