@@ -506,6 +506,22 @@ EDITS = {
 }
 
 
+def test_large_pictures_are_compared_in_blocks():
+    import tracemalloc
+
+    large = media._box(np.random.default_rng(7).integers(0, 256, (1536, 2048)).astype(float), 2)
+    large = np.rint((large - large.min()) / (large.max() - large.min()) * 255).astype(np.uint8)
+    tracemalloc.start()
+    a, crop = media.describe(large), media.describe(np.ascontiguousarray(large[300:1200, 400:1500]))
+    assert len(a[1]) > 15_000 and len(media.alike(a[1], crop[1])[0]) > 1000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    wa, wb = a[1][:1500], np.concatenate([crop[1][:700], a[1][:200] ^ np.uint64(7)])
+    far = np.bitwise_count(wa[:, None] ^ wb[None]).astype(int).sum(axis=2)
+    assert [x.tolist() for x in media.alike(wa, wb)] == [x.tolist() for x in np.nonzero(far <= media.MAX_BITS)]
+
+
 @pytest.mark.parametrize("name", EDITS)
 def test_image_recall(name):
     """At least 0.9 of edited pictures have enough words in common with the original and show its scene."""
