@@ -20,6 +20,9 @@ LIMITS = [
     ("other", "2018-09-18", 50_000_000, 17_000_000), ("other", "2021-05-11", 60_000_000, 20_000_000), ("other", "2023-02-21", 75_000_000, 25_000_000),
 ]
 
+#: Kind of right: stage in which it is paid.
+STAGES = {"mortgage": "priority", "jeonse": "priority", "prov_seizure": "general", "seizure": "general"}
+
 
 def limit_table(spark: SparkSession, limits: list[tuple] = LIMITS) -> DataFrame:
     """region, from, until (null: open), max_deposit, max_priority; the first row of a region is open to the past."""
@@ -43,9 +46,9 @@ def claims_of(rights: DataFrame, tenants: DataFrame) -> DataFrame:
     who demands payment and has a fixed date ranks by the later of that date and the
     day after moving in. Rights come before tenants of the same date.
     """
-    r = rights.where(F.col("kind").isin("mortgage", "jeonse", "prov_seizure", "seizure")).select(
-        "lot", F.col("seq").cast("long"), F.when(F.col("kind").isin("mortgage", "jeonse"), "priority").otherwise("general").alias("stage"), "amount",
-        F.when(F.col("kind").isin("mortgage", "jeonse"), F.col("reg_date")).alias("priority_date"), F.lit(None).cast("long").alias("tenant"),
+    stages = F.create_map(*(F.lit(x) for kind_stage in STAGES.items() for x in kind_stage))
+    r = rights.withColumn("stage", stages[F.col("kind")]).where("stage is not null").select(
+        "lot", F.col("seq").cast("long"), "stage", "amount", F.when(F.col("stage") == "priority", F.col("reg_date")).alias("priority_date"), F.lit(None).cast("long").alias("tenant"),
     )
     t = tenants.where(F.coalesce("demanded", F.lit(False)) & F.col("fixed").isNotNull() & F.col("move_in").isNotNull()).select(
         "lot", (F.col("seq") + 1_000_000).cast("long").alias("seq"), F.lit("priority").alias("stage"), F.col("deposit").alias("amount"),
@@ -66,8 +69,9 @@ def distribute(lots: DataFrame, tenants: DataFrame, claims: DataFrame, limits: D
     base = with_limits(lots, limits).select("lot", F.lit("lot").alias("row"), "fund", "base_date", "max_deposit", "max_priority")
     owed = tenants.select("lot", F.lit("tenant").alias("row"), F.col("seq").cast("long").alias("seq"), F.col("seq").cast("long").alias("tenant"), "move_in", "deposit", F.coalesce("demanded", F.lit(False)).alias("demanded"))
     asked = claims.select("lot", F.col("stage").alias("row"), "seq", "tenant", "amount", "priority_date")
-    # a lot, its tenants and its claims in one table, dealt by lot once; all that follows are windows within a lot
-    rows = base.unionByName(owed, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True).repartition("lot")
+    # a lot, its tenants and its claims in one table, dealt by lot once; all that follows are windows within a lot,
+    # in an order that serves those by lot and by tenant until the claims need their own
+    rows = base.unionByName(owed, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True).repartition("lot").sortWithinPartitions("lot", "tenant")
     lot, tenant = W.partitionBy("lot"), W.partitionBy("lot", "tenant")
     rows = rows.withColumns({c: F.max(c).over(lot) for c in ("fund", "base_date", "max_deposit", "max_priority")}).where("fund is not null")
     # small tenants, together at most half the fund; beyond it in proportion, rounded down

@@ -22,8 +22,9 @@ def is_candidate() -> Column:
 
 def baselines(rights: DataFrame) -> DataFrame:
     """lot, base_date, base_seq: the earliest candidate right of each lot that has one."""
-    first = F.min(F.struct("reg_date", "seq")).alias("b")
-    return rights.where(is_candidate() & F.col("reg_date").isNotNull()).groupBy("lot").agg(first).select("lot", F.col("b.reg_date").alias("base_date"), F.col("b.seq").alias("base_seq"))
+    # no filter before the groups: pushed down, it would work out a derived kind once per mention
+    first = F.min(F.when(is_candidate() & F.col("reg_date").isNotNull(), F.struct("reg_date", "seq"))).alias("b")
+    return rights.groupBy("lot").agg(first).where("b is not null").select("lot", F.col("b.reg_date").alias("base_date"), F.col("b.seq").alias("base_seq"))
 
 
 def judge_rights(rights: DataFrame) -> DataFrame:

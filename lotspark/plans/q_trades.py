@@ -241,9 +241,9 @@ def g1_trade_area(spark, d):
 
     p = table(spark, d, "places")
     n = F.substring("id", 2, 12).cast("long")
-    lots, parcels = p.where("kind = 'customer'").select(n.alias("id"), "lat", "lng"), p.where("kind = 'supplier'").select(n.alias("parcel"), "lat", "lng")
-    edges = geo.near_pairs(parcels, parcels, 450.0).where("a.parcel < b.parcel").select(c("a.parcel").alias("src"), c("b.parcel").alias("dst"))
-    return geo.trade_area(lots, parcels, edges, saver(spark), reach_m=2500.0, bridge_m=400.0, core_m=1200.0)
+    lots, parcels = p.where("kind = 'customer'").select(n.alias("id"), "lat", "lng"), p.where("kind = 'supplier'").select(n.alias("parcel"), "lat", "lng", (n * 7 % 90 + 10).alias("area"))
+    save = saver(spark)
+    return geo.trade_area(lots, parcels, geo.adjoining(parcels, 450.0, save), save, reach_m=2500.0, bridge_m=400.0, core_m=1200.0)
 
 
 _M2 = "2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))"
@@ -251,8 +251,8 @@ G1_AREA = f"""with recursive s as materialized (select substr(id, 2)::bigint as
 e as (select a.n as a, b.n as b from s a join s b on a.n <> b.n and {_M2} <= 450),
 r(node, label) as (select n, n from s union select e.b, r.label from r join e on r.node = e.a where r.label < e.b),
 k as (select node, min(label) as component from r group by node),
-m as (select substr(a.id, 2)::bigint as id, component, min({_M2}) as metres, count(*) as parcels, count(*) filter ({_M2} <= 1200) as core from places a join s b on a.kind = 'customer' and {_M2} <= 2500 join k on k.node = b.n group by 1, 2),
-o as (select *, row_number() over (partition by id order by metres > 400, case when metres <= 400 then metres else -parcels end, component) as place from m)
+m as (select substr(a.id, 2)::bigint as id, component, min({_M2}) as metres, count(*) as parcels, count(*) filter ({_M2} <= 1200) as core, sum(b.n * 7 % 90 + 10) as area from places a join s b on a.kind = 'customer' and {_M2} <= 2500 join k on k.node = b.n group by 1, 2),
+o as (select *, row_number() over (partition by id order by metres > 400, case when metres <= 400 then metres else -area end, component) as place from m)
 select substr(p.id, 2)::bigint as id, component, coalesce(parcels, 0) as parcels, coalesce(core, 0) as core_parcels from places p left join o on o.id = substr(p.id, 2)::bigint and place = 1 where p.kind = 'customer'"""
 
 

@@ -152,6 +152,59 @@ def test_lcs_and_register(spark):
     assert {r.id: r.code for r in trades.match_register(names, reg).collect()} == {1: 10, 3: 12}
 
 
+def _labels(spark, edges, save):
+    return {r.node: r.component for r in geo.components(edges, save).collect()}
+
+
+@pytest.mark.parametrize("spread, n", [(0.004, 250), (0.02, 400), (0.06, 500)])
+def test_adjoining_equals_all_pairs(spark, spread, n):
+    from lotspark.sources.scratch import saver
+
+    rng, save = random.Random(n), saver(spark)
+    spots = [(37 + rng.random() * spread, 127 + rng.random() * spread) for _ in range(n)]
+    spots += spots[:20] + [(59.9 + rng.random() * spread, -1 + rng.random() * spread) for _ in range(n // 4)]
+    p = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)] + [(10_000, None, 127.0), (10_001, 37.0, None)], "parcel long, lat double, lng double")
+    pairs = geo.near_pairs(p, p, 150.0).where("a.parcel < b.parcel").select(F.col("a.parcel").alias("src"), F.col("b.parcel").alias("dst"))
+    assert _labels(spark, geo.adjoining(p, 150.0, save), save) == _labels(spark, pairs, save)
+
+
+def test_adjoining_near_misses(spark):
+    """Rings of points around a centre, just inside and just outside of reach: outermost points decide nothing alone."""
+    import math
+
+    from lotspark.sources.scratch import saver
+
+    save, deg = saver(spark), 1 / 111_194.93
+    for metres, linked in ((149.9, True), (150.1, False)):
+        spots = [(0.0, 0.0)] + [(metres * deg * math.sin(t / 50), metres * deg * math.cos(t / 50)) for t in range(3)]
+        p = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "parcel long, lat double, lng double")
+        assert (0 in _labels(spark, geo.adjoining(p, 150.0, save), save)) is linked
+
+
+def test_adjoining_of_a_dense_cell(spark):
+    """100,000 points within one cell and as many in the next make a star each, not pairs."""
+    from lotspark.sources.scratch import saver
+
+    save = saver(spark)
+    lat = lambda base: (F.lit(base) + F.col("id") % 317 * 1e-6).alias("lat")
+    lng = (F.lit(127.0) + F.col("id") % 313 * 1e-6).alias("lng")
+    p = spark.range(100_000).select(F.col("id").alias("parcel"), lat(37.0), lng).union(spark.range(100_000).select(F.col("id") + 100_000, lat(37.0012), lng))
+    edges = save(geo.adjoining(p, 150.0, save))
+    assert edges.count() < 250_000
+    assert geo.components(edges, save).groupBy("component").count().collect() == [(0, 200_000)]
+
+
+def test_trade_area_takes_the_largest_area(spark):
+    from lotspark.sources.scratch import saver
+
+    lots = spark.createDataFrame([(1, 37.0, 127.0)], "id long, lat double, lng double")
+    spots = [(1, 37.004, 127.0, 10), (2, 37.0041, 127.0, 10), (3, 36.996, 127.0, 50)]
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    for columns, component in ((["parcel", "lat", "lng", "area"], 3), (["parcel", "lat", "lng"], 1)):
+        p = spark.createDataFrame(spots, "parcel long, lat double, lng double, area long").select(columns)
+        assert geo.trade_area(lots, p, edges, saver(spark)).first().component == component
+
+
 def test_components(spark):
     from lotspark.sources.scratch import saver
 
