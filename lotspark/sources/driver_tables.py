@@ -34,7 +34,7 @@ COMPLEX = (
     f" || case when custkey % 3 = 0 then '-' || cast(custkey % 5 + 1 as string) else '' end || ' ' else '' end || replace({_pick(NAMES, 'custkey')}, '한빛아파트', '한빛'))"
 )
 
-#: name -> (tables it reads, SQL)
+#: Table by its SQL. Rows are numbered by ``lot``, not ``l_orderkey``, so that later groups and joins by lot find them dealt by it.
 DERIVED: dict[str, str] = {
     "items": f"""
       select o_orderkey as seq,
@@ -68,24 +68,24 @@ DERIVED: dict[str, str] = {
         cast(o_orderdate as date) as sell_day, o_orderstatus as status
       from orders""",
     "rights": f"""
-      select l_orderkey as lot, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) as seq,
+      select lot, row_number() over (partition by lot order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) as seq,
         {_pick('근저당권설정,가압류,소유권이전 청구권 가등기,압 류,전세권설정,임차권 설정,소유권이전,가처분,담보가등기,임의경매개시결정,지상권', '(l_partkey + l_linenumber)')} as purpose,
         cast(l_shipdate as date) as reg_date, cast(floor(l_extendedprice) as bigint) * 1000 as amount,
         l_partkey % 2 = 0 as whole, l_suppkey % 3 <> 0 as demanded, case when l_partkey % 4 = 0 then '건물철거' else '' end as note
-      from lineitem""",
+      from (select *, l_orderkey as lot from lineitem)""",
     "tenants": """
-      select l_orderkey as lot, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) as seq,
+      select lot, row_number() over (partition by lot order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) as seq,
         case when l_suppkey % 7 <> 0 then cast(l_shipdate as date) + cast(l_partkey % 60 as int) - 40 end as move_in,
         case when l_suppkey % 3 <> 0 then cast(l_shipdate as date) + cast(l_partkey % 90 as int) - 40 end as fixed,
         cast(floor(l_extendedprice) as bigint) * 1000 as deposit, l_returnflag <> 'A' as demanded,
         l_partkey % 5 as occupant
-      from lineitem where l_returnflag <> 'N' or l_linenumber = 1""",
+      from (select *, l_orderkey as lot from lineitem) where l_returnflag <> 'N' or l_linenumber = 1""",
     "schedule": """
-      select l_orderkey as lot, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) as id,
+      select lot, row_number() over (partition by lot order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) as id,
         case when l_returnflag = 'A' then '유찰' when l_returnflag = 'R' then '매각' else '매각 허가' end as result,
         case when l_linestatus = 'F' then cast(floor(l_extendedprice) as bigint) end as sale_price, cast(l_quantity as int) as bid_count,
         cast(l_shipdate as date) as sell_day, case when l_suppkey % 4 <> 0 then 'S' || cast(l_suppkey as string) end as winner_name
-      from lineitem""",
+      from (select *, l_orderkey as lot from lineitem)""",
     "trades": """
       select l_partkey % 50 as sgg, l_partkey % 400 as umd, cast(l_partkey as string) as jibun, p_name as name, l_quantity as area, l_orderkey % 3 as build_no,
         cast(floor(l_extendedprice) as bigint) * 1000 as amount, cast(l_shipdate as date) as deal_date,
