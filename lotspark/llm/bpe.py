@@ -1,8 +1,8 @@
 """Byte-level BPE with a given vocabulary, run by DuckDB inside Spark's tasks.
 
 Spark deals the texts. A task cuts them into pre-tokens and hands each distinct
-one to a recursive query: rows (word, place, token) join the table of pairs that
-a merge makes, each word contracts its leftmost pair of least rank, and words
+one to a recursive query: each round contracts a word's leftmost pair of least
+rank and joins its new pairs with the table of those that make a token, and words
 without a pair leave, until none is left. Rank and merged token are one number
 here, as in every vocabulary of this kind. Ordered aggregation turns tokens back
 into bytes.
@@ -33,8 +33,8 @@ CACHE, CACHE_BYTES = 400_000, 16_000_000
 LONG = 400
 #: Characters of text whose pre-tokens are collected before the next query.
 BLOCK = 2_000_000
-#: Rows of all rounds that one query may make at most: a pre-token of n bytes makes n (n + 1) / 2 at most. They take some 100 MB.
-ROWS = 1_000_000
+#: Tokens in the rows of all rounds that one query may make at most: a pre-token of n bytes makes n (n + 1) / 2 at most.
+ROWS = 2_000_000
 #: Tokens that one query decodes.
 TOKENS = 200_000
 
@@ -45,28 +45,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-#: A row's key is its pair's rank and place in one number, so the least key of a word is its leftmost pair of
-#: least rank, the head. The row after the head is eaten; only the head and the row before it get new pairs.
-ENCODE = """
-with recursive step(word, round, place, token, after, next_place, key) as (
-  select s.word, 0, s.place, s.token, s.after, s.next_place, p.rank * 4294967296 + s.place
-  from (select word, place, token, lead(token) over w as after, lead(place) over w as next_place from start window w as (partition by word order by place)) s
-  left join pairs p on p.a = s.token and p.b = s.after
+#: Rank of two tokens that make none.
+NONE = 2**31 - 1
+#: A word's row holds its tokens and, at each token's place, the rank of its pair with the next one; the place of the
+#: first least rank is the head. Only the pairs before and behind the merged token are looked up again.
+ENCODE = f"""
+with recursive step(word, ids, ranks, low) as (
+  select word, ids, ranks, list_min(ranks) from start
   union all
-  select n.word, n.round, n.place, n.token, n.after, n.next_place, case when n.changed then p.rank * 4294967296 + n.place else n.key end
-  from (
-    select s.word, s.round + 1 as round, s.place, s.key, s.place = m.head or s.next_place = m.head as changed,
-           case when s.place = m.head then m.merged else s.token end as token,
-           case when s.place = m.head then m.after when s.next_place = m.head then m.merged else s.after end as after,
-           case when s.place = m.head then m.next_place else s.next_place end as next_place
-    from step s join (
-      select h.word, h.head, h.merged, h.eaten, e.after, e.next_place
-      from (select word, (min(key) & 4294967295)::integer as head, (min(key) >> 32)::integer as merged, arg_min(next_place, key) as eaten from step group by word having min(key) is not null) h
-      join step e on e.word = h.word and e.place = h.eaten
-    ) m on s.word = m.word and s.place <> m.eaten
-  ) n left join pairs p on n.changed and p.a = n.token and p.b = n.after
+  select word, ids, ranks, list_min(ranks) from (
+    select n.word, n.ids,
+           list_concat(case when n.head > 1 then list_append(n.ranks[1:greatest(n.head - 2, 0)], coalesce(l.rank, {NONE})) else [] end, [coalesce(r.rank, {NONE})], n.ranks[n.head + 2:]) as ranks
+    from (
+      select word, head, low, ranks, list_concat(ids[1:head - 1], [low], ids[head + 2:]) as ids, case when head > 1 then ids[head - 1] end as before, ids[head + 2] as after
+      from (select word, ids, ranks, low, list_position(ranks, low) as head from step where low < {NONE})
+    ) n left join pairs l on l.a = n.before and l.b = n.low left join pairs r on r.a = n.low and r.b = n.after
+  )
 )
-select word, list(token order by place) as ids from step join (select word, max(round) as round from step group by word) using (word, round) group by word
+select word, ids from step where low = {NONE}
 """
 
 DECODE = "select row, string_agg(t.hex, '' order by place) as hex from tokens join vocabulary t using (token) group by row"
@@ -93,7 +89,10 @@ class Tokenizer:
                     rank.append(i)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._table("pairs", a=left, b=right, rank=rank)
-        self.db.execute("alter table pairs alter rank type bigint")
+        #: ranks of pairs of single bytes
+        self.first = np.full(1 << 16, NONE, np.int32)
+        for x in range(1 << 16):
+            self.first[x] = ranks.get(x.to_bytes(2, "big"), NONE)
         self.pairs: dict[tuple[int, int], int] = {}
         self.db.register("v", pa.table({"token": pa.array(list(self.bytes_of), pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]}))
         self.db.execute("create table vocabulary as select * from v")
@@ -106,17 +105,16 @@ class Tokenizer:
     def learn(self, words: set[str]) -> None:
         """Encode pre-tokens that aren't known yet; whole tokens need no merge."""
         new = []
-        for word in words:
-            if word not in self.known:
-                raw = word.encode("utf-8", "surrogatepass")
-                self.bytes += len(raw)
-                whole = self.ranks.get(raw)
-                if whole is not None:
-                    self.known[word] = whole.to_bytes(4, "little")
-                elif len(raw) > LONG:
-                    self.known[word] = self._merged(raw)
-                else:
-                    new.append((word, raw))
+        for word in words.difference(self.known):
+            raw = word.encode("utf-8", "surrogatepass")
+            self.bytes += len(raw)
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                self.known[word] = whole.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                self.known[word] = self._merged(raw)
+            else:
+                new.append((word, raw))
         # pre-tokens of one length need about as many rounds; a query makes ROWS rows at most, whatever the texts
         new.sort(key=lambda x: len(x[1]))
         low = made = 0
@@ -130,13 +128,17 @@ class Tokenizer:
             self._query(new[low:])
 
     def _query(self, new: list[tuple[str, bytes]]) -> None:
-        lens = np.array([len(raw) for _, raw in new])
-        place = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-        token = self.single[np.frombuffer(b"".join(raw for _, raw in new), np.uint8)]
+        ends = np.cumsum([len(raw) for _, raw in new])
+        raw = np.frombuffer(b"".join(raw for _, raw in new), np.uint8)
+        token = self.single[raw]
         if (token < 0).any():
             raise ValueError("the vocabulary lacks single bytes")
-        self._table("start", word=np.repeat(np.arange(len(new)), lens), place=place + 1, token=token)
+        rank = self.first[np.append(raw[:-1].astype(np.int32) << 8 | raw[1:], 0)]
+        rank[ends - 1] = NONE  # a word's last byte has no next one
+        cut = pa.array(np.append(0, ends).astype(np.int32))
+        self.db.register("start", pa.table({"word": pa.array(np.arange(len(new), dtype=np.int32)), "ids": pa.ListArray.from_arrays(cut, pa.array(token)), "ranks": pa.ListArray.from_arrays(cut, pa.array(rank))}))
         got = self.db.sql(ENCODE).to_arrow_table()
+        self.db.unregister("start")
         ids = got.column("ids").combine_chunks()
         flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy()
         base = int(ends[0])

@@ -208,6 +208,18 @@ def test_bpe_of_many_distinct_words_keeps_to_its_memory(spark):
         own.decode([np.array([ranks[b"a"], 60_000], "<u4").tobytes()])
 
 
+def test_bpe_makes_a_row_a_word_and_round(monkeypatch):
+    """Not one for each of a word's tokens, which took the square of its length and most of the query's time."""
+    import public_tokenizers as P
+
+    ranks = bpe.load_ranks(P.path(queries.VOCABULARY))
+    words = [" qxzjvk", "aaaaaaaaab", "ééé中文", "x" * 120]
+    ids = [len(x) // 4 for x in bpe.Tokenizer(ranks, P.PATTERN).encode(words)]
+    monkeypatch.setattr(bpe, "ENCODE", bpe.ENCODE.rsplit("\nselect word, ", 1)[0] + "\nselect word, [count(*)::integer] as ids from step group by word")
+    made = [int.from_bytes(x, "little") for x in bpe.Tokenizer(ranks, P.PATTERN).encode(words)]
+    assert made == [len(w.encode()) - n + 1 for w, n in zip(words, ids, strict=True)]
+
+
 # --- languages ----------------------------------------------------------------------------------
 def test_language(spark, docs, odd):
     held = docs.withColumn("held", F.expr("pmod(crc32(cast(doc_id as string)), 3) = 1"))
