@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .text_arrays import mix
+
 _U = np.uint64
 SENT = "bucket long, chunk long, keys binary, counts binary"
 
@@ -51,13 +53,27 @@ def received(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(counts).astype(np.int64), np.array([len(x) for x in keys], np.int64)
 
 
+def place(keys: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """One hash of a key and of a chunk that holds it."""
+    return mix(keys ^ mix(chunks))
+
+
 def frequent(rows: DataFrame, least: int) -> DataFrame:
-    """(key, n) of the keys in rows of ``SENT`` that occur at least ``least`` times."""
+    """(key, n, place) of the keys in rows of ``SENT`` that occur at least ``least`` times; ``place`` is that of one chunk with the key."""
 
     def count(group: pa.Table) -> pa.Table:
-        keys, counts, _ = received(group)
-        keys, total = summed(keys, counts)
+        keys, counts, sizes = received(group)
+        if not len(keys):
+            return pa.table({"key": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "place": pa.array([], pa.int64())})
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        total = np.add.reduceat(counts[order], edge)
         own = total >= least
-        return pa.table({"key": keys[own].view(np.int64), "n": total[own]})
+        edge = edge[own]
+        keys = keys[edge]
+        row = np.searchsorted(np.cumsum(sizes), order[edge], "right")
+        chunks = group.column("chunk").to_numpy().view(_U)[row]
+        return pa.table({"key": keys.view(np.int64), "n": total[own].astype(np.int64), "place": place(keys, chunks).view(np.int64)})
 
-    return rows.groupBy("bucket").applyInArrow(count, "key long, n long")
+    return rows.groupBy("bucket").applyInArrow(count, "key long, n long, place long")

@@ -9,7 +9,10 @@ another full pass counts what has become a candidate by that, until no border fa
 A frequent phrase has frequent parts only, so nothing is missed, whatever the sample.
 
 Proposed phrases go to the tasks as a table of bits of one fixed size: it may
-propose some more, never fewer. Counts are exchanged by ``gram_counts``.
+propose some more, never fewer. Counts are exchanged by ``gram_counts``, by hash
+only; the counting task names one chunk of text for each frequent phrase, and a
+last pass spells it there, not in every chunk that holds it. Chunks are known by
+their content. If texts come in other chunks by then, what is left is spelled wherever it stands.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bit_table import bit_table, may_hold
-from .gram_counts import SENT, frequent, sent, summed
+from .gram_counts import SENT, frequent, place, sent, summed
 from .scratch import Scratch
 from .text_arrays import Words, byte_class, cut_chunks, mix, small_batches, tidy
 
@@ -36,6 +39,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 SHARE, LOWERED = 1 / 16, 0.5
 #: The proposed phrases go to the tasks in 2 MB, whatever their number.
 TABLE_BITS = 24
+#: Bits for each frequent phrase in the two tables of places, and the exponent that they stop at, 16 MB.
+PLACE_BITS, MOST_BITS = 16, 27
 #: Bytes of text whose keys meet in one task, about.
 BUCKET_BYTES = 8_000_000
 CHUNK = 2 << 20
@@ -73,6 +78,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield data, offsets, langs.slice(rows.start, rows.stop - rows.start).to_pylist()
 
 
+def _name(data: np.ndarray, offsets: np.ndarray, langs: list[str]) -> np.uint64:
+    """A hash of all that a chunk holds."""
+    h = xxhash.xxh64(np.ascontiguousarray(data))
+    h.update(np.ascontiguousarray(offsets))
+    h.update("\0".join(langs).encode("utf-8", "surrogatepass"))
+    return _U(h.intdigest())
+
+
 def _sampled(data: np.ndarray, offsets: np.ndarray, share: float, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """A part of the chunk's pieces; each stands or falls by its place."""
     doc = np.zeros(len(data), np.int64)
@@ -90,9 +103,10 @@ def _sampled(data: np.ndarray, offsets: np.ndarray, share: float, salt: int) ->
 @tidy
 def _counted(batches: Iterator[pa.RecordBatch], longest: int, buckets: int, bits: bytes | None, last: bytes | None, share: float) -> Iterator[pa.RecordBatch]:
     """Rows of ``gram_counts.SENT``. Without ``bits``: all phrases of a sample; with ``last``, only what that table didn't make a candidate."""
-    for chunk, (data, offsets, langs) in enumerate(_texts(batches)):
+    for number, (data, offsets, langs) in enumerate(_texts(batches)):
+        chunk = _name(data, offsets, langs)
         if bits is None:
-            data, offsets = _sampled(data, offsets, share, chunk)
+            data, offsets = _sampled(data, offsets, share, number)
         p = Phrases(data, offsets, langs, longest)
         found = [p.key[1]] if last is None else []
         if bits is None:
@@ -107,13 +121,14 @@ def _counted(batches: Iterator[pa.RecordBatch], longest: int, buckets: int, bits
                 found.append(p.key[k][own])
         keys, counts = summed(np.concatenate(found))
         if len(keys):
-            yield sent(chunk, keys, counts, buckets)
+            yield sent(int(chunk.view(np.int64)), keys, counts, buckets)
 
 
 @tidy
-def _spelled(batches: Iterator[pa.RecordBatch], longest: int, bits: bytes) -> Iterator[pa.RecordBatch]:
-    """(key, lang, k, phrase) of the phrases that the table may hold, each once a chunk."""
+def _spelled(batches: Iterator[pa.RecordBatch], longest: int, bits: bytes, places: tuple[bytes, bytes] | None) -> Iterator[pa.RecordBatch]:
+    """(key, lang, k, phrase) of the phrases that the table may hold, each once a chunk; with ``places``, only in a chunk that may be its place."""
     for data, offsets, langs in _texts(batches):
+        chunk = np.array([_name(data, offsets, langs)], _U)
         p = Phrases(data, offsets, langs, longest)
         w = p.words
         ends = np.append(w.begin, len(w.letters)).astype(np.int64)
@@ -121,6 +136,9 @@ def _spelled(batches: Iterator[pa.RecordBatch], longest: int, bits: bytes) -> It
         for k in range(1, longest + 1):
             at = np.flatnonzero(p.whole[k])
             at = at[may_hold(bits, p.key[k][at])]
+            if places is not None:
+                here = place(p.key[k][at], chunk)
+                at = at[may_hold(places[0], here) & may_hold(places[1], here << _U(32))]
             keys, one = np.unique(p.key[k][at], return_index=True)
             at = at[one]
             if len(at):
@@ -130,6 +148,16 @@ def _spelled(batches: Iterator[pa.RecordBatch], longest: int, bits: bytes) -> It
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), lang, pa.array(np.full(len(at), k, np.int32)), phrase.cast(pa.large_string()).cast(pa.string())], ["key", "lang", "k", "phrase"])
 
 
+def _spell(rows: DataFrame, every: DataFrame, longest: int, placed: bool) -> DataFrame:
+    """(key, lang, k, phrase) of all keys of ``every`` and of some others, each once."""
+    exact, places = bit_table(every, "key", TABLE_BITS), None
+    if placed:
+        bits = min(MOST_BITS, max(TABLE_BITS, (PLACE_BITS * every.count()).bit_length()))
+        places = bit_table(every, "place", bits), bit_table(every.withColumn("low", F.shiftleft("place", 32)), "low", bits)
+    spelled = rows.mapInArrow(lambda it: _spelled(it, longest, exact, places), "key long, lang string, k int, phrase string")
+    return spelled.groupBy("key").agg(F.first("lang").alias("lang"), F.first("k").alias("k"), F.first("phrase").alias("phrase"))
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, share: float = SHARE, lowered: float = LOWERED) -> DataFrame:
     """(lang, k, phrase, f, n): every phrase of 1 to ``longest`` words that occurs ``least`` times or more in its language.
 
@@ -162,11 +190,13 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         if found.isEmpty():
             break
     every = scratch.save(every)  # one table: a join with a union would read the texts once for each of its parts
-    exact = bit_table(every, "key", TABLE_BITS)
-    spelled = rows.mapInArrow(lambda it: _spelled(it, longest, exact), "key long, lang string, k int, phrase string")
-    names = spelled.groupBy("key").agg(F.first("lang").alias("lang"), F.first("k").alias("k"), F.first("phrase").alias("phrase"))
+    names = scratch.save(_spell(rows, every, longest, True))
+    rest = every.join(names, "key", "left_anti").select("key")
+    if not rest.isEmpty():  # texts came in other chunks than they were counted in
+        rest = scratch.save(rest)
+        names = names.unionByName(_spell(rows, rest, longest, False).join(rest, "key", "left_semi"))
     totals = rows.mapInArrow(_totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
-    return scratch.save(names.join(every.withColumnRenamed("n", "f"), "key").join(totals, "lang").select("lang", "k", "phrase", "f", "n"))
+    return scratch.save(names.join(every.select("key", F.col("n").alias("f")), "key").join(totals, "lang").select("lang", "k", "phrase", "f", "n"))
 
 
 @tidy

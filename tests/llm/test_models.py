@@ -163,6 +163,37 @@ def test_phrases_are_whole_whatever_the_sample(spark):
     assert max(r.rank for r in top) == 3 and len(top) <= 12
 
 
+@pytest.mark.parametrize("moved", [False, True])
+def test_phrases_are_spelled_in_one_chunk(spark, tmp_path, monkeypatch, moved):
+    """Not in each of the chunks that hold them; all the same if the chunks aren't the counted ones any more."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    size, made, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], DataFrame.mapInArrow
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(50)), rng.choice(["en", None])) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(10).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def recorded(self, task, schema, *args):
+        if "phrase" in schema:
+            if moved:
+                spark.conf.set(size, "7")
+            made.append(plain(self, task, schema, *args))
+            return made[-1]
+        return plain(self, task, schema, *args)
+
+    before = spark.conf.get(size)
+    spark.conf.set(size, "20")
+    monkeypatch.setattr(DataFrame, "mapInArrow", recorded)
+    try:
+        got = {(r.lang, r.phrase): r.f for r in phrases.frequent_phrases(spark.read.parquet(f"{tmp_path}/documents.parquet"), least=20).collect()}
+        spelled = [x.count() for x in made]
+    finally:
+        spark.conf.set(size, before)
+    want = Counter((lang or "und", text[2 * i : 2 * (i + k) - 1]) for _, text, lang in rows for k in range(1, 6) for i in range(51 - k))
+    assert got == {k: n for k, n in want.items() if n >= 20}
+    assert len(spelled) == 2 and spelled[1] > len(got) if moved else len(spelled) == 1 and len(got) <= spelled[0] <= 1.1 * len(got)
+
+
 # --- languages ----------------------------------------------------------------------------------
 def test_language_stage_drops_other_scripts_and_keeps_short_texts(spark):
     import corpus_pipeline as cp
