@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,24 +16,32 @@ from .ranking import medians
 from .substrings import containing
 
 
-def same_complex(lots: DataFrame, trades: DataFrame) -> DataFrame:
-    """Lots with the trades of their complex.
+def by_key_or_name(lots: DataFrame, trades: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lots whose town and lot number have trades; the other ones with ``name``, once for each complex that they name.
 
-    ``lots``: lot, sgg, umd, jibun, address, area; ``trades``: sgg, umd, jibun,
-    name, area and more. Trades of the same town and lot number; for lots without
-    any, those whose blank-free name the address contains, within the district.
-    Names meet addresses by their rarest three letters in the district, once per
-    distinct name and address.
+    ``lots``: lot, sgg, umd, jibun, address, area; ``trades``: sgg, umd, jibun, name.
+    Of a lot without trades under its number, the blank-free address contains the
+    name, within the district. Names meet addresses by their rarest three letters in
+    the district, once per distinct name and address.
     """
-    key = ["sgg", "umd", "jibun"]
-    t = trades.select(*key, F.struct(*trades.columns).alias("t"))
-    exact = lots.join(t, key).select(lots["*"], "t")
-    left = lots.join(trades.select(*key).distinct(), key, "left_anti").withColumn("flat", F.regexp_replace("address", r"\s+", ""))
+    keys = trades.select(*KEY).distinct()
+    left = lots.join(keys, KEY, "left_anti").withColumn("flat", F.regexp_replace("address", r"\s+", ""))
     names = trades.select("sgg", "name").where("name <> ''").distinct().withColumn("needle", F.regexp_replace("name", r"\s+", ""))
     met = containing(left.select("sgg", F.col("flat").alias("text")), names, ("sgg",))
-    hit = left.join(met.withColumnRenamed("text", "flat"), ["sgg", "flat"]).join(names, ["sgg", "needle"]).select("lot", "sgg", "name")
-    by_name = hit.join(trades.select("sgg", "name", F.struct(*trades.columns).alias("t")), ["sgg", "name"]).select("lot", "t")
-    return exact.unionByName(lots.join(by_name, "lot").select(lots["*"], "t"))
+    named = left.join(met.withColumnRenamed("text", "flat"), ["sgg", "flat"]).join(names, ["sgg", "needle"])
+    return lots.join(keys, KEY, "left_semi"), named.select(*lots.columns, "name")
+
+
+#: What trades of a complex agree in: town and lot number, or district and name.
+KEY, NAME = ["sgg", "umd", "jibun"], ["sgg", "name"]
+
+
+def same_complex(lots: DataFrame, trades: DataFrame) -> DataFrame:
+    """Lots with the trades of their complex, as of ``by_key_or_name``: a row for each pair, so only for few lots."""
+    keyed, named = by_key_or_name(lots, trades)
+    t = F.struct(*trades.columns).alias("t")
+    exact = keyed.join(trades.select(*KEY, t), KEY).select(keyed["*"], "t")
+    return exact.unionByName(named.join(trades.select(*NAME, t), NAME).drop("name"))
 
 
 def similar_trades(lots: DataFrame, trades: DataFrame, share: float = 0.2) -> DataFrame:
@@ -47,18 +56,34 @@ def similar_trades(lots: DataFrame, trades: DataFrame, share: float = 0.2) -> Da
     return lots.select("lot").join(n, "lot", "left").select("lot", F.coalesce("similar", F.lit(0)).alias("similar"))
 
 
-def trade_chips(lots: DataFrame, matched: DataFrame, share: float = 0.05, newest: int = 100, days: int = 92) -> DataFrame:
+def trade_chips(lots: DataFrame, trades: DataFrame, save: Callable[[DataFrame], DataFrame], share: float = 0.05, newest: int = 100, days: int = 92) -> DataFrame:
     """Per lot: nb_count, the trades of its size in the last days among the newest hundred; recent price and day.
 
     Trades of a size are counted only if there are any; ties of a day go to the
-    larger trade_id.
+    larger trade_id, then amount. The newest come first, so those of the last days
+    among them are as many as there are, or all of the hundred. It takes the hundred
+    latest days of each complex and size, worked out once for the lots that agree in
+    both, and no pair of a lot and a trade. ``save`` writes and rereads what lots have
+    by number, so that its shuffles can go before those by name begin.
     """
-    near = F.col("t.area").between(F.col("area") * (1 - share), F.col("area") * (1 + share))
-    order = W.partitionBy("lot").orderBy(F.col("t.deal_date").desc(), F.col("t.trade_id").desc(), F.col("t.amount").desc())
-    top = matched.where(near).withColumn("n", F.row_number().over(order)).where(F.col("n") <= newest)
-    late = F.col("t.deal_date") >= F.date_sub("as_of", days)
-    per = top.groupBy("lot").agg(F.count_if(late).alias("nb_count"), F.max(F.when(F.col("n") == 1, F.col("t.amount"))).alias("recent_price"), F.max("t.deal_date").alias("recent_date"))
-    return lots.select("lot").join(per, "lot", "left").select("lot", F.coalesce("nb_count", F.lit(0)).alias("nb_count"), "recent_price", "recent_date")
+    near = F.col("t_area").between(F.col("area") * (1 - share), F.col("area") * (1 + share))
+    latest = F.slice(F.sort_array(F.flatten(F.collect_list("days")), asc=False), 1, newest).alias("days")
+
+    def of_complex(some: DataFrame, by: list[str]) -> DataFrame:
+        # dealt by complex once, for what follows too
+        t = trades.select(*by, F.col("area").alias("t_area"), F.struct("deal_date", "trade_id", "amount").alias("t")).where("t_area is not null").repartition(*by)
+        order = W.partitionBy(*by, "t_area").orderBy(F.col("t").desc())
+        top = t.withColumn("n", F.row_number().over(order)).where(F.col("n") <= newest)
+        sizes = top.groupBy(*by, "t_area").agg(F.max("t").alias("last"), F.collect_list("t.deal_date").alias("days"))
+        asked = some.select(*by, "area").distinct()
+        per = asked.join(sizes, by).where(near).groupBy(*by, "area").agg(F.max("last").alias("last"), latest)
+        late = F.size(F.filter("days", lambda d: d >= F.date_sub("as_of", days)))
+        return some.select("lot", "as_of", *by, "area").join(per, [*by, "area"]).select("lot", late.alias("late"), "last")
+
+    keyed, named = by_key_or_name(lots, trades)
+    all_of = save(of_complex(keyed, KEY)).unionByName(of_complex(named, NAME))
+    per = all_of.groupBy("lot").agg(F.least(F.sum("late"), F.lit(newest).cast("long")).alias("nb_count"), F.max("last").alias("last"))
+    return lots.select("lot").join(per, "lot", "left").select("lot", F.coalesce("nb_count", F.lit(0)).alias("nb_count"), F.col("last.amount").alias("recent_price"), F.col("last.deal_date").alias("recent_date"))
 
 
 def most_frequent(rows: DataFrame, key: str, value: str, seq: str) -> DataFrame:

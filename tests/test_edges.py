@@ -25,3 +25,34 @@ def test_path_points_at_the_edge_of_two_cells(spark, tmp_path):
     customer = "select unnest([31016, 17396, 33776, 4307])::bigint as c_custkey, 'BUILDING' as c_mktsegment"
     supplier = "select unnest([2067, 1159, 2251, 287])::bigint as s_suppkey"
     assert same_as_sql(spark, tmp_path, "a18_flow_grid", customer=customer, supplier=supplier)
+
+
+#: A town of one complex: by number, by name, by both names of an address, by none; days before and after the lots' own.
+PART = "select i::bigint as p_partkey, ['red ring', 'hot red ring', 'blue bolt'][i % 3 + 1] as p_name, 'Brand#1' as p_brand, 'LARGE' as p_type, 5 as p_size, 900.0::double as p_retailprice from range(0, 600, 50) r(i)"
+ORDERS = "select i::bigint as o_orderkey, (i * 50 % 600)::bigint as o_custkey, 1000.0::double as o_totalprice, timestamp '1996-01-01' + interval (i) day as o_orderdate from range(60) r(i)"
+LINES = """select (i % 40)::bigint as l_orderkey, (i * 50 % 300)::bigint as l_partkey, i % 7 as l_suppkey, (i % 3)::int as l_linenumber, (8 + i % 36)::double as l_quantity, (1000 + i % 11)::double as l_extendedprice,
+  timestamp '1995-10-01' + interval (i % 150) day as l_shipdate from range(6000) r(i)"""
+
+
+def test_complexes_are_added_up_before_lots_meet_them(spark, tmp_path):
+    rows = same_as_sql(spark, tmp_path, "a11_chips", part=PART, orders=ORDERS, lineitem=LINES)
+    assert max(r[1] for r in rows) == 100
+    assert joined_rows(QUERIES["a11_chips"](spark, str(tmp_path))) <= 6000
+
+
+def joined_rows(df) -> int:
+    """Rows that the joins of a query put out, at most, as counted while it runs."""
+    df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            plan.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            plan.append(node.plan())
+        found = node.metrics().get("numOutputRows")
+        if "Join" in node.nodeName() and found.isDefined():
+            most = max(most, found.get().value())
+        kids = node.children()
+        plan += [kids.apply(i) for i in range(kids.size())]
+    return most
