@@ -44,6 +44,18 @@ def same_complex(lots: DataFrame, trades: DataFrame) -> DataFrame:
     return exact.unionByName(named.join(trades.select(*NAME, t), NAME).drop("name"))
 
 
+def complex_totals(lots: DataFrame, trades: DataFrame) -> DataFrame:
+    """lot, trades, amount: number and sum of the trades of a lot's complex, for lots that have any.
+
+    Trades are added up by complex before lots meet them, so no pair of a lot and a
+    trade is made.
+    """
+    keyed, named = by_key_or_name(lots, trades)
+    sums = lambda by: trades.groupBy(*by).agg(F.count("*").alias("trades"), F.sum("amount").alias("amount"))
+    both = [some.join(sums(by), by).select("lot", "trades", "amount") for some, by in ((keyed, KEY), (named, NAME))]
+    return both[0].unionByName(both[1]).groupBy("lot").agg(F.sum("trades").alias("trades"), F.sum("amount").alias("amount"))
+
+
 def similar_trades(lots: DataFrame, trades: DataFrame, share: float = 0.2) -> DataFrame:
     """Per lot: trades of its town within ``share`` of its area."""
     # trades are counted by area first, and meet lots by areas of one magnitude

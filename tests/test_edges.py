@@ -37,7 +37,10 @@ LINES = """select (i % 40)::bigint as l_orderkey, (i * 50 % 300)::bigint as l_pa
 def test_complexes_are_added_up_before_lots_meet_them(spark, tmp_path):
     rows = same_as_sql(spark, tmp_path, "a11_chips", part=PART, orders=ORDERS, lineitem=LINES)
     assert max(r[1] for r in rows) == 100
-    assert joined_rows(QUERIES["a11_chips"](spark, str(tmp_path))) <= 6000
+    con_rows = same_as_sql(spark, tmp_path, "j7_same_complex", part=PART, orders=ORDERS, lineitem=LINES)
+    assert len(con_rows) == 60
+    for name in ("a11_chips", "j7_same_complex"):
+        assert joined_rows(QUERIES[name](spark, str(tmp_path))) <= 6000
 
 
 def joined_rows(df) -> int:
