@@ -16,6 +16,9 @@ GENERIC = (
     "지게차", "굴삭기", "트럭", "버스", "덤프", "탱크로리",
 )
 
+#: Bits of the table of words that vehicles have, and years of a span.
+WORD_BITS, SPAN = 1 << 14, 6
+
 
 def purchase_grade(v: DataFrame, year: Column, tolerance: int = 9999, worst_count: int = 5, worst_damage: int = 6_000_000) -> DataFrame:
     """id, allowed (km), ok and reasons; ok is null if neither age and mileage nor damage is known.
@@ -51,27 +54,50 @@ def match_ads(targets: DataFrame, ads: DataFrame, cheapest: int = 300, kept: int
     badge names another engine size are dropped and 60 kept. Vehicles whose only
     terms are class words match nothing.
 
+    Vehicles that agree in all but the engine meet the ads once, and where they meet
+    ads only the cheapest 300 go on, so no pair of a vehicle and an ad is shuffled. Rows of one
+    id are one vehicle, with the smallest of their engine sizes.
+
     ``targets``: id, terms (array), year, fuel, mileage, litre; ``ads``: ad, text,
     year, fuel, mileage, price.
     """
-    t = targets.where(~F.forall("terms", lambda x: F.lower(x).isin(*GENERIC))).withColumn("word", F.explode(F.transform(F.array_distinct("terms"), F.lower)))
-    words = F.array_distinct(F.split(F.lower("text"), "[^0-9a-z가-힣]+"))
+    spark = targets.sparkSession
+    named = targets.where(~F.forall("terms", lambda x: F.lower(x).isin(*GENERIC)) & F.col("year").isNotNull() & F.col("mileage").isNotNull())
+    looks = named.select("id", "litre", "fuel", "year", "mileage", F.array_sort(F.array_distinct(F.transform("terms", F.lower))).alias("terms"))
+    looks = looks.withColumn("look", F.xxhash64("terms", "year", "mileage", F.coalesce("fuel", F.lit("?"))))
+    own = looks.groupBy("id").agg(F.array_sort(F.collect_set("look")).alias("looks"), F.min("litre").alias("litre")).withColumn("alike", F.xxhash64("looks"))
+    each = looks.select("look", "terms", "year", "mileage", "fuel").distinct()
+    t = own.select("alike", "looks").distinct().select("alike", F.explode("looks").alias("look")).join(each, "look").withColumn("word", F.explode("terms"))
+    # of an ad's words only those go on that some vehicle may have, by a table of bits of fixed size
+    bit = lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BITS))
+    asked = named.select(F.explode(F.transform("terms", lambda w: bit(F.lower(w)))).alias("id")).distinct().withColumn("hit", F.lit(True))
+    bits = spark.range(WORD_BITS).join(asked, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("bits")).select(F.col("bits.hit").alias("bits"))
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), "[^0-9a-z가-힣]+")), lambda w: F.get("bits", bit(w).cast("int")))
     low, high = F.greatest(F.lit(0), F.col("mileage") - km), F.col("mileage") + km
-    # a target stands in its three years and in the one or two stretches of mileage that its range touches
-    stretch = lambda x: F.floor(x / (2 * km))
-    t = t.select("id", "fuel", "litre", "word", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("year"))
+    # a target stands in the one or two spans of years and stretches of mileage that its range touches
+    span, stretch = (lambda x: F.floor(x / SPAN)), (lambda x: F.floor(x / (2 * km)))
+    t = t.select("alike", "fuel", "word", F.col("year").alias("t_year"), low.alias("low"), high.alias("high"), F.explode(F.sequence(span(F.col("year") - 1), span(F.col("year") + 1))).alias("span"))
     t = t.withColumn("stretch", F.explode(F.sequence(stretch(F.col("low")), stretch(F.col("high")))))
-    a = ads.select("ad", S.litres(F.col("text")).alias("sizes"), F.col("fuel").alias("a_fuel"), F.col("mileage").alias("a_km"), "price", "year", stretch(F.col("mileage")).alias("stretch"), F.explode(words).alias("word"))
-    pairs = t.join(a, ["word", "year", "stretch"]).where("a_km between low and high").select("id", "fuel", "litre", "ad", "sizes", "a_fuel", "price")
-    # dealt by id once, for what follows too
-    pairs = pairs.repartition("id").dropDuplicates(["id", "ad"])
-    own = W.partitionBy("id")
-    pairs = pairs.withColumn("same", F.coalesce(F.col("fuel") == F.col("a_fuel"), F.lit(False))).withColumn("strict", F.max(F.col("same").cast("int")).over(own)).where("same or strict = 0")
-    cheap = own.orderBy(F.col("price").asc_nulls_last(), "ad")
-    first = pairs.withColumn("n", F.row_number().over(cheap)).where(F.col("n") <= cheapest)
-    fits = F.col("litre").isNull() | (F.size("sizes") == 0) | F.exists("sizes", lambda x: F.abs(x - F.col("litre")) <= litre_tol + 1e-9)
-    last = first.where(fits).withColumn("n", F.row_number().over(cheap)).where(F.col("n") <= kept)
-    return last.groupBy("id").agg(F.count("*").alias("ads"), F.bround(F.avg(F.nullif("price", F.lit(0))), 0).cast("long").alias("mean_price"), (F.max("fuel").isNotNull() & (F.max("strict") == 0)).alias("relaxed"))
+    a = ads.crossJoin(F.broadcast(bits)).select("ad", S.litres(F.col("text")).alias("sizes"), F.col("fuel").alias("a_fuel"), F.col("mileage").alias("a_km"), "price", "year", span(F.col("year")).alias("span"), stretch(F.col("mileage")).alias("stretch"), F.explode(words).alias("word"))
+    place = ["word", "span", "stretch"]
+    pairs = t.join(a, place).where("a_km between low and high and year between t_year - 1 and t_year + 1").select(*place, "alike", "fuel", "ad", "sizes", "a_fuel", "price")
+    same = F.coalesce(F.col("fuel") == F.col("a_fuel"), F.lit(False)).cast("int")
+    here = W.partitionBy(*place, "alike")
+    pairs = pairs.withColumn("same", same).withColumn("strict", F.max("same").over(here)).where("same = 1 or strict = 0")
+    cheap = [F.col("price").asc_nulls_last(), "ad"]
+    # equal rows have one rank, so the ranks up to 300 hold the cheapest 300 different ones
+    some = pairs.withColumn("n", F.dense_rank().over(here.orderBy(*cheap, "sizes", "a_fuel", "fuel"))).where(F.col("n") <= cheapest)
+    all_of = W.partitionBy("alike")
+    some = some.select("alike", "fuel", "ad", "sizes", "a_fuel", "price", "same").repartition("alike").distinct().withColumn("strict", F.max("same").over(all_of)).where("same = 1 or strict = 0")
+    first = some.withColumn("n", F.row_number().over(all_of.orderBy(*cheap))).where(F.col("n") <= cheapest)
+    top = first.groupBy("alike").agg(F.array_sort(F.collect_list(F.struct("n", "price", "sizes"))).alias("top"), (F.max("fuel").isNotNull() & (F.max("strict") == 0)).alias("relaxed"))
+    fits = lambda x: F.col("litre").isNull() | (F.size(x["sizes"]) == 0) | F.exists(x["sizes"], lambda y: F.abs(y - F.col("litre")) <= litre_tol + 1e-9)
+    kept_ = own.select("alike", "litre").distinct().join(top, "alike").withColumn("last", F.slice(F.filter("top", fits), 1, kept)).where("size(last) > 0")
+    known = F.filter(F.transform("last", lambda x: F.nullif(x["price"], F.lit(0))), lambda p: p.isNotNull())
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, p: s + p) / F.size(known))
+    per = kept_.select("alike", "litre", F.size("last").cast("long").alias("ads"), F.bround(mean, 0).cast("long").alias("mean_price"), "relaxed")
+    o, p = own.select("id", "alike", "litre").alias("o"), per.alias("p")
+    return o.join(p, (F.col("o.alike") == F.col("p.alike")) & F.col("o.litre").eqNullSafe(F.col("p.litre"))).select("id", "ads", "mean_price", "relaxed")
 
 
 def best_reviews(targets: DataFrame, reviews: DataFrame, others: int = 5) -> DataFrame:

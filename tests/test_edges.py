@@ -43,6 +43,17 @@ def test_complexes_are_added_up_before_lots_meet_them(spark, tmp_path):
         assert joined_rows(QUERIES[name](spark, str(tmp_path))) <= 6000
 
 
+#: Vehicles of two fuels, one maker and year and two mileages, half of them for sale; ids and prices repeat.
+CARS = """select (i % 1900)::bigint as l_orderkey, (i % 2 * 50)::bigint as l_partkey, i % 7 as l_suppkey, (i % 3)::int as l_linenumber, (8 + i // 2 % 2)::double as l_quantity, (1000 + i % 170)::double as l_extendedprice,
+  if(i % 3 = 0, 'O', 'F') as l_linestatus, timestamp '1999-10-01' + interval (i % 150) day as l_shipdate from range(4000) r(i)"""
+
+
+def test_alike_vehicles_meet_the_ads_once(spark, tmp_path):
+    for name in ("j11_ads",):
+        assert len(same_as_sql(spark, tmp_path, name, part=PART, lineitem=CARS)) > 100
+        assert joined_rows(QUERIES[name](spark, str(tmp_path))) < 50_000
+
+
 def joined_rows(df) -> int:
     """Rows that the joins of a query put out, at most, as counted while it runs."""
     df.collect()
