@@ -49,7 +49,7 @@ CARS = """select (i % 1900)::bigint as l_orderkey, (i % 2 * 50)::bigint as l_par
 
 
 def test_alike_vehicles_meet_the_ads_once(spark, tmp_path):
-    for name in ("j11_ads",):
+    for name in ("j11_ads", "f7_generic"):
         assert len(same_as_sql(spark, tmp_path, name, part=PART, lineitem=CARS)) > 100
         assert joined_rows(QUERIES[name](spark, str(tmp_path))) < 50_000
 
