@@ -7,6 +7,8 @@ building is spread over its areas and floors instead of meeting in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +56,35 @@ def expected_bid(targets: DataFrame, pairs: DataFrame, keep: Column) -> DataFram
     return targets.select(F.col("key").alias("target")).join(sums, "target", "left").select("target", F.coalesce(F.col("cases") > 0, F.lit(False)).alias("available"), "expected_bid", F.coalesce("cases", F.lit(0)).alias("cases"), F.coalesce("excluded", F.lit(0)).alias("excluded"))
 
 
-def vehicle_pairs(targets: DataFrame, cases: DataFrame, as_of: Column, year_tol: int = 1, mileage_tol: float = 0.2, days: int = 3 * 365) -> DataFrame:
-    """Pairs (target, case, price) of one maker and model, alike in year and mileage, sold lately or on an unknown day.
-
-    Both: id, maker, model, model_year, mileage; cases also price and sell_day.
-    """
-    t = targets.where("model_year > 0 and mileage > 0 and model <> ''").select(F.col("id").alias("target"), "maker", "model", F.col("model_year").alias("t_year"), F.col("mileage").alias("t_mileage"), F.explode(F.sequence(F.col("model_year") - year_tol, F.col("model_year") + year_tol)).alias("model_year"))
-    c = cases.where("price > 0 and mileage > 0").select(F.col("id").alias("case"), "maker", "model", "model_year", "mileage", "price", "sell_day")
-    near = F.col("mileage").between(F.col("t_mileage") * (1 - mileage_tol), F.col("t_mileage") * (1 + mileage_tol)) & (F.col("sell_day").isNull() | (F.col("sell_day") >= F.date_sub(as_of, days)))
-    return t.join(c, ["maker", "model", "model_year"]).where(near & (F.col("target") != F.col("case"))).select("target", "case", "price")
+def vehicle_median(targets: DataFrame, cases: DataFrame, as_of: Column, year_tol: int = 1, mileage_tol: float = 0.2, days: int = 3 * 365, least: int = 2) -> DataFrame:
+    """target, cases, expected_bid: the median price, cut to whole won, of at least two cases.
 
+    Cases are of the target's maker and model, alike in year and mileage, sold lately
+    or on an unknown day, and not of its id. Both: id, maker, model, model_year,
+    mileage; cases also price and sell_day.
 
-def vehicle_median(pairs: DataFrame, least: int = 2) -> DataFrame:
-    """target, cases, expected_bid: the median price, cut to whole won, of at least two cases."""
-    return medians(pairs, ["target"], "price").where(F.col("n") >= least).select("target", F.col("n").alias("cases"), F.floor("median").cast("long").alias("expected_bid"))
+    Targets that agree in all four have the same cases, so the prices of such a kind
+    are counted once, equal ones in one row. Rows of one id are one target; one that
+    a case has the id of counts by itself.
+    """
+    own = ["maker", "model"]
+    t = targets.where("model_year > 0 and mileage > 0 and model <> '' and maker is not null and id is not null")
+    c = cases.where("price > 0 and mileage > 0 and model_year is not null and id is not null").where(F.col("sell_day").isNull() | (F.col("sell_day") >= F.date_sub(as_of, days)))
+    met = lambda x, y: (F.abs(y["model_year"] - x["model_year"]) <= year_tol) & y["mileage"].between(x["mileage"] * (1 - mileage_tol), x["mileage"] * (1 + mileage_tol))
+    look = F.struct(*own, "model_year", "mileage")
+    ids = t.select("id", look.alias("t")).unionByName(c.select("id", look.alias("c")), allowMissingColumns=True)
+    ids = ids.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.collect_set("c").alias("cs")).where("size(ts) > 0")
+    itself = F.exists("ts", lambda x: F.exists("cs", lambda y: (x["maker"] == y["maker"]) & (x["model"] == y["model"]) & met(x, y)))
+    rows = ids.select(F.col("id").alias("target"), "ts", F.when(itself, F.col("id")).alias("but")).withColumn("alike", F.xxhash64("ts", F.col("but").isNotNull(), F.coalesce("but", F.lit(0))))
+    looks = rows.select("alike", "ts", "but").distinct().select("alike", "but", F.explode("ts").alias("t")).groupBy("alike", "but", "t").agg(F.count("*").alias("times"))
+    size = lambda x: F.floor(F.ln(x) / math.log((1 + mileage_tol) / (1 - mileage_tol)))
+    low, high = F.col("t.mileage") * (1 - mileage_tol), F.col("t.mileage") * (1 + mileage_tol)
+    asked = looks.select("*", "t.maker", "t.model", F.explode(F.sequence(F.col("t.model_year") - year_tol, F.col("t.model_year") + year_tol)).alias("model_year")).withColumn("size", F.explode(F.sequence(size(low), size(high))))
+    near = F.col("mileage").between(low, high)
+    place = [*own, "model_year", "size"]
+    few = c.groupBy(*own, "model_year", "mileage", "price").agg(F.count("*").alias("n")).withColumn("size", size(F.col("mileage")))
+    all_of = asked.where("but is null").join(few, place).where(near).select("alike", "price", (F.col("n") * F.col("times")).alias("n"))
+    few = c.select(F.col("id").alias("case"), *own, "model_year", "mileage", "price", size(F.col("mileage")).alias("size"))
+    others = asked.where("but is not null").join(few, place).where(near & (F.col("case") != F.col("but"))).select("alike", "price", F.col("times").alias("n"))
+    found = medians(all_of.unionByName(others), ["alike"], "price", weight="n").where(F.col("n") >= least)
+    return rows.select("target", "alike").join(found, "alike").select("target", F.col("n").alias("cases"), F.floor("median").cast("long").alias("expected_bid"))

@@ -28,14 +28,15 @@ def with_places(rows: DataFrame, group: list[str], order: list[Column], save: Ca
     return inside.join(before, same).select(*rows.columns, (F.col(name) + F.col("_before")).alias(name))
 
 
-def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+def medians(rows: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Per value of the columns ``by``: n (rows) and median (double, between the two middle values of an even number).
 
     Equal values are counted before the shuffle and the counts run on to the middle,
     so no task holds a group: its distinct values are sorted, on disk if need be.
-    Null values count in n only; without others the median is null.
+    Null values count in n only; without others the median is null. With ``weight``, a
+    row stands for as many as that column says.
     """
-    counts = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).withColumn("_known", F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(0))
+    counts = rows.groupBy(*by, F.col(value).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c")).withColumn("_known", F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(0))
     own = W.partitionBy(*by).orderBy(F.col("_v").asc_nulls_last())
     upto = counts.withColumn("_upto", F.sum("_known").over(own.rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_known").over(own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     middle = lambda at: F.min(F.when(F.col("_upto") > F.expr(at), F.col("_v"))).cast("double")

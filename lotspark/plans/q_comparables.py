@@ -67,8 +67,7 @@ def j5_radius(spark, d):
 
 def j6_vehicles(spark, d):
     v = table(spark, d, "vehicles").withColumn("model", S.plain_model(c("model"), c("maker")))
-    pairs = comparables.vehicle_pairs(v.where("live"), v.where("not live"), F.lit(dt.date(2000, 6, 1)))
-    return comparables.vehicle_median(pairs)
+    return comparables.vehicle_median(v.where("live"), v.where("not live"), F.lit(dt.date(2000, 6, 1)))
 
 
 _AS_OF = "date '2000-06-01'"

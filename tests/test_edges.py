@@ -48,6 +48,11 @@ CARS = """select (i % 1900)::bigint as l_orderkey, (i % 2 * 50)::bigint as l_par
   if(i % 3 = 0, 'O', 'F') as l_linestatus, timestamp '1999-10-01' + interval (i % 150) day as l_shipdate from range(4000) r(i)"""
 
 
+def test_prices_of_alike_vehicles_are_counted_once(spark, tmp_path):
+    assert len(same_as_sql(spark, tmp_path, "j6_vehicles", part=PART, lineitem=CARS)) > 100
+    assert joined_rows(QUERIES["j6_vehicles"](spark, str(tmp_path))) <= 4000
+
+
 def test_alike_vehicles_meet_the_ads_once(spark, tmp_path):
     for name in ("j11_ads", "f7_generic"):
         assert len(same_as_sql(spark, tmp_path, name, part=PART, lineitem=CARS)) > 100
