@@ -12,10 +12,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .geo import near_pairs
+from ..functions.scalar import distance_m
+from .geo import METRES_PER_DEGREE
 from .ranking import medians
 
 YEARS = 3
+#: Degrees north or south beyond which no lot is looked for.
+MAX_LAT = 60.0
 
 
 def same_building(targets: DataFrame, cases: DataFrame, area_tol: float = 6.0, price_tol: int = 25_000_000) -> DataFrame:
@@ -35,25 +38,45 @@ def same_building(targets: DataFrame, cases: DataFrame, area_tol: float = 6.0, p
 
 
 def within_radius(targets: DataFrame, cases: DataFrame, radius_m: float = 1000.0, area_tol: float = 6.0, price_tol: int = 15_000_000, floor_tol: int = 1) -> DataFrame:
-    """Pairs as of ``same_building``, but within a radius and by floors; both also: lat, lng, floor."""
-    c = cases.where("sale_price > 0 and appraisal is not null and rate is not null").dropDuplicates(["key"])
-    # within a cell only lots of like area meet
-    cell = lambda x: F.floor(x / area_tol)
-    t = targets.dropDuplicates(["key"]).withColumn("size", F.explode(F.sequence(cell(F.col("area")) - 1, cell(F.col("area")) + 1)))
-    pairs = near_pairs(t, c.withColumn("size", cell(F.col("area"))), radius_m, also=["size"])
-    a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
-    near = (F.abs(b("area") - a("area")) <= area_tol) & (F.abs(b("appraisal") - a("appraisal")) <= price_tol) & (F.abs(b("floor") - a("floor")) <= floor_tol) & b("day").between(F.add_months(a("day"), -12 * YEARS), a("day")) & (a("key") != b("key"))
-    return pairs.where(near).select(a("key").alias("target"), b("key").alias("case"), b("rate").alias("rate"), b("sale_price").alias("sale_price"))
-
-
-def expected_bid(targets: DataFrame, pairs: DataFrame, keep: Column) -> DataFrame:
+    """Pairs as of ``same_building``, but within a radius and by floors; both also: lat, lng, floor.
+
+    Places are squares three times as wide as the radius, by stretches of price and floor
+    twice as wide as their tolerances: a target stands in those that its ranges touch,
+    a case in its own. There rows hold hashes of their keys, which ``expected_bid`` looks up.
+    """
+    high = 3 * radius_m / METRES_PER_DEGREE
+    there = F.when(F.abs("lat") > MAX_LAT, F.raise_error(F.lit(f"a latitude beyond {MAX_LAT}")).cast("double")).otherwise(F.col("lat"))
+    wide = lambda cy: F.lit(high) / F.cos(F.radians(F.greatest(F.abs(cy), F.abs(cy + 1)) * high))
+    step, storey = (lambda x: F.floor(x / (2 * price_tol))), (lambda x: F.floor(x / (2 * max(floor_tol, 1))))
+    span = lambda f, x, d: F.explode(F.sequence(f(x - d), f(x + d)))
+    own = ["area", "appraisal", "floor", "day", "lat", "lng"]
+    known = F.forall(F.array(*(F.col(x).isNotNull() for x in own)), lambda x: x)
+    rows = lambda df, *more: df.withColumn("lat", there).where(known).select(F.xxhash64("key").alias("h"), *own, *more)
+
+    named = targets.dropDuplicates(["key"])
+    reach = F.lit(radius_m * 1.001 / METRES_PER_DEGREE)
+    t = rows(named).withColumn("cy", span(lambda y: F.floor(y / high), F.col("lat"), reach))
+    t = t.withColumn("cx", span(lambda x: F.floor(x / wide(F.col("cy"))), F.col("lng"), reach / F.cos(F.radians(F.abs("lat") + reach))))
+    t = t.withColumn("step", span(step, F.col("appraisal"), F.lit(price_tol))).withColumn("storey", span(storey, F.col("floor"), F.lit(floor_tol)))
+    c = rows(cases.where("sale_price > 0 and appraisal is not null and rate is not null").dropDuplicates(["key"]), "rate", "sale_price").withColumn("cy", F.floor(F.col("lat") / high))
+    c = c.withColumn("cx", F.floor(F.col("lng") / wide(F.col("cy")))).withColumn("step", step(F.col("appraisal"))).withColumn("storey", storey(F.col("floor")))
+    place = F.xxhash64("cy", "cx", "step", "storey").alias("place")
+    a, b = t.select(place, "h", *own).alias("a"), c.select(place, "h", *own, "rate", "sale_price").alias("b")
+    x, y = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
+    near = (F.abs(y("area") - x("area")) <= area_tol) & (F.abs(y("appraisal") - x("appraisal")) <= price_tol) & (F.abs(y("floor") - x("floor")) <= floor_tol) & y("day").between(F.add_months(x("day"), -12 * YEARS), x("day")) & (x("h") != y("h"))
+    pairs = a.join(b.hint("merge"), (x("place") == y("place")) & near & (distance_m(x("lat"), x("lng"), y("lat"), y("lng")) <= radius_m))
+    return pairs.select(x("h").alias("target"), y("h").alias("case"), y("rate").alias("rate"), y("sale_price").alias("sale_price"))
+
+
+def expected_bid(targets: DataFrame, pairs: DataFrame, keep: Column, hashed: bool = False) -> DataFrame:
     """Per target: available, expected_bid (half-even mean), cases and excluded (pairs that ``keep`` rejects).
 
-    ``pairs`` holds a pair once, as the joins above give them out. Targets without a
-    case stay, unavailable.
+    ``pairs`` holds a pair once, as the joins above give them out. With ``hashed``, its
+    targets are hashes of keys. Targets without a case stay, unavailable.
     """
     sums = pairs.groupBy("target").agg(F.count_if(keep).alias("cases"), F.count_if(~keep).alias("excluded"), F.bround(F.avg(F.when(keep, F.col("sale_price"))), 0).cast("long").alias("expected_bid"))
-    return targets.select(F.col("key").alias("target")).join(sums, "target", "left").select("target", F.coalesce(F.col("cases") > 0, F.lit(False)).alias("available"), "expected_bid", F.coalesce("cases", F.lit(0)).alias("cases"), F.coalesce("excluded", F.lit(0)).alias("excluded"))
+    by = F.xxhash64("key") if hashed else F.col("key")
+    return targets.select(F.col("key").alias("target"), by.alias("by")).join(sums.withColumnRenamed("target", "by"), "by", "left").select("target", F.coalesce(F.col("cases") > 0, F.lit(False)).alias("available"), "expected_bid", F.coalesce("cases", F.lit(0)).alias("cases"), F.coalesce("excluded", F.lit(0)).alias("excluded"))
 
 
 def vehicle_median(targets: DataFrame, cases: DataFrame, as_of: Column, year_tol: int = 1, mileage_tol: float = 0.2, days: int = 3 * 365, least: int = 2) -> DataFrame:

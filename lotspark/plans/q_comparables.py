@@ -62,7 +62,7 @@ def j5_radius(spark, d):
     it = table(spark, d, "items")
     n = it.select(c("item_key").alias("key"), "lat", "lng", S.exclusive_area(c("area_text"), c("building_area")).alias("area"), c("appraisal_price").alias("appraisal"), S.floor_no(c("address")).alias("floor"), c("sell_day").alias("day"), S.sale_rate(c("sale_rate")).alias("rate"), "sale_price", "status")
     t, k = n.where("status <> 'F'"), n.where("status = 'F'")
-    return comparables.expected_bid(t, comparables.within_radius(t, k), c("rate") < 100)
+    return comparables.expected_bid(t, comparables.within_radius(t, k), c("rate") < 100, hashed=True)
 
 
 def j6_vehicles(spark, d):

@@ -75,3 +75,24 @@ def joined_rows(df) -> int:
         kids = node.children()
         plan += [kids.apply(i) for i in range(kids.size())]
     return most
+
+
+def test_radius_meets_at_the_edges_of_places(spark):
+    """All pairs of lots around the edges of squares, prices and floors; past them none."""
+    import datetime as dt
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lotspark.operators import comparables
+
+    draw = random.Random(3)
+    rows = [(i, 37 + draw.random() / 25 - (74 if i % 2 else 0) * (i % 3 == 0), draw.random() / 25, 50.0 + draw.randint(0, 9), draw.choice([0, 15, 30, 31, 45]) * 1_000_000, draw.randint(-1, 5), dt.date(2000, 1, 1) + dt.timedelta(draw.randint(0, 1500))) for i in range(700)]
+    rad = math.radians
+    metres = lambda a, b: 2 * 6371000 * math.asin(math.sqrt(math.sin(rad(b[1] - a[1]) / 2) ** 2 + math.cos(rad(a[1])) * math.cos(rad(b[1])) * math.sin(rad(b[2] - a[2]) / 2) ** 2))
+    back = lambda d: d.replace(year=d.year - 3, day=min(d.day, 28) if d.month == 2 else d.day)
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and metres(a, b) <= 1000 and abs(a[3] - b[3]) <= 6 and abs(a[4] - b[4]) <= 15_000_000 and abs(a[5] - b[5]) <= 1 and back(a[6]) <= b[6] <= a[6])
+    lots = spark.createDataFrame(rows, "key long, lat double, lng double, area double, appraisal long, floor int, day date").withColumn("rate", F.lit(70.0)).withColumn("sale_price", F.lit(5))
+    hashes = {r.h: r.key for r in lots.select("key", F.xxhash64("key").alias("h")).collect()}
+    assert sorted((hashes[r.target], hashes[r.case]) for r in comparables.within_radius(lots, lots).collect()) == want and want
