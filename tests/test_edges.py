@@ -96,3 +96,23 @@ def test_radius_meets_at_the_edges_of_places(spark):
     lots = spark.createDataFrame(rows, "key long, lat double, lng double, area double, appraisal long, floor int, day date").withColumn("rate", F.lit(70.0)).withColumn("sale_price", F.lit(5))
     hashes = {r.h: r.key for r in lots.select("key", F.xxhash64("key").alias("h")).collect()}
     assert sorted((hashes[r.target], hashes[r.case]) for r in comparables.within_radius(lots, lots).collect()) == want and want
+
+
+def test_price_curve_deals_a_lots_rows_once(spark):
+    from .compare import SF
+
+    df = QUERIES["price_curve"](spark, SF)
+    df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            plan.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            plan.append(node.plan())
+        found = node.metrics().get("shuffleRecordsWritten")
+        most = max(most, found.get().value() if found.isDefined() else 0)
+        kids = node.children()
+        plan += [kids.apply(i) for i in range(kids.size())]
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count() * 2 + spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert 0 < most <= rows
